@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from payproof.functions.text import strip
+from payproof.functions.text import let, strip
 
 MONEY = "decimal(18,4)"
 
@@ -18,29 +18,49 @@ POINT_THOUSANDS = r"^-?\d{1,3}(\.\d{3})+$"
 CENTS_AFTER = r"\d%s\d{2}(\s*[A-Za-z€£$)-]*)?$"
 
 
-def _read(c: Column) -> Column:
-    """The amount, or NULL when the text is not one."""
-    t = strip(c)
+def _undress(t: Column) -> Column:
+    """An amount with currency, spaces, credit marks or brackets around it; NULL when there is no number in it."""
     bare = F.regexp_replace(F.replace(t, F.lit("\u2212"), F.lit("-")), SYMBOLS, "")
-    bare = F.when(bare.rlike(r"[^\d.,()+-]"), F.regexp_replace(bare, CURRENCY, "")).otherwise(bare)
-    suffix = F.upper(F.right(bare, F.lit(2)))
-    credit = suffix == "CR"
-    body = F.when(suffix.isin("CR", "DR"), F.left(bare, F.length(bare) - 2)).otherwise(bare)
-    trailing = body.endswith("-") & ~body.startswith("-")
-    body2 = F.when(trailing, F.left(body, F.length(body) - 1)).otherwise(body)
-    european = F.replace(F.replace(body2, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    number = F.replace(F.when(body2.rlike(COMMA_DECIMALS), european).otherwise(body2), F.lit(","), F.lit(""))
-    brackets = number.startswith("(") & number.endswith(")")
-    value = F.btrim(number, F.lit("()")).try_cast(MONEY)
-    sign = F.when(credit, -1).otherwise(1) * F.when(trailing, -1).otherwise(1) * F.when(brackets, -1).otherwise(1)
-    dressed = F.when(number.rlike(r"\d"), (value * sign).cast(MONEY))
-    return F.when(t.rlike(PLAIN), t.try_cast(MONEY)).otherwise(dressed)
+
+    def no_currency(x: Column) -> Column:
+        return F.when(x.rlike(r"[^\d.,()+-]"), F.regexp_replace(x, CURRENCY, "")).otherwise(x)
+
+    def no_mark(x: Column) -> Column:
+        """(text without CR/DR, whether it was a credit)"""
+        mark = F.upper(F.right(x, F.lit(2)))
+        return F.struct(F.when(mark.isin("CR", "DR"), F.left(x, F.length(x) - 2)).otherwise(x).alias("x"), (mark == "CR").alias("credit"))
+
+    def no_trailing_minus(m: Column) -> Column:
+        minus = m["x"].endswith("-") & ~m["x"].startswith("-")
+        return F.struct(F.when(minus, F.left(m["x"], F.length(m["x"]) - 1)).otherwise(m["x"]).alias("x"),
+                        (F.when(m["credit"], -1).otherwise(1) * F.when(minus, -1).otherwise(1)).alias("sign"))
+
+    def point_decimals(m: Column) -> Column:
+        european = F.replace(F.replace(m["x"], F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+        return F.struct(F.replace(F.when(m["x"].rlike(COMMA_DECIMALS), european).otherwise(m["x"]), F.lit(","), F.lit("")).alias("x"),
+                        m["sign"].alias("sign"))
+
+    def value(m: Column) -> Column:
+        brackets = m["x"].startswith("(") & m["x"].endswith(")")
+        v = F.when(m["x"].rlike(r"\d"), F.btrim(m["x"], F.lit("()")).try_cast(MONEY))
+        return (v * m["sign"] * F.when(brackets, -1).otherwise(1)).cast(MONEY)
+    steps = (no_currency, no_mark, no_trailing_minus, point_decimals, value)
+    out = bare
+    for step in steps:
+        out = let(out, step)
+    return out
+
+
+def read_amount(c: Column) -> Column:
+    """Money as DECIMAL(18,4), or NULL when the text is not an amount below ten trillion."""
+    def small(v: Column) -> Column:
+        return F.when(F.abs(v) < F.lit(10 ** 13), v)
+    return let(strip(c), lambda t: F.when(t.rlike(PLAIN), t.try_cast(MONEY)).otherwise(let(_undress(t), small)))
 
 
 def parse_amount(c: Column) -> Column:
-    """Money as DECIMAL(18,4); unreadable text and anything of ten trillion or more reads as zero."""
-    v = _read(c)
-    return F.when(F.abs(v) < F.lit(10 ** 13), v).otherwise(F.lit(0)).cast(MONEY)
+    """Money as DECIMAL(18,4); text that is not an amount reads as zero."""
+    return F.coalesce(read_amount(c), F.lit(0)).cast(MONEY)
 
 
 def european_thousands(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from payproof import schema as S
 from payproof.functions.money import parse_amount
-from payproof.functions.text import strip
+from payproof.functions.text import let, strip
 
 # --- fixed values: patterns for expense and bank wording ----------------------
 NON_SUPPLIER_PHRASES = (
@@ -80,18 +80,20 @@ def contradicts(verdict: Column, reason: Column) -> Column:
 
 def head_count(c: Column) -> Column:
     """'4', '4.0' or 'four'; anything else, or a number outside 1-200, is unknown and reads 0."""
-    t = F.lower(strip(c))
-    word = F.array_position(F.array(*[F.lit(w) for w in S.NUMBER_WORDS]), t)
-    n = parse_amount(t)
-    whole = (n == F.floor(n)) & (n > 0) & (n <= 200)
-    return F.when(word > 0, word.cast("int")).when(whole, n.cast("int")).otherwise(F.lit(0))
+    words = F.array(*[F.lit(w) for w in S.NUMBER_WORDS])
+
+    def count(t: Column) -> Column:
+        def whole(n: Column) -> Column:
+            return F.when((n == F.floor(n)) & (n > 0) & (n <= 200), n.cast("int")).otherwise(F.lit(0))
+        word = F.array_position(words, t)
+        return F.when(word > 0, word.cast("int")).otherwise(let(parse_amount(t), whole))
+    return let(F.lower(strip(c)), count)
 
 
 def people_of(people: Column, notes: Column) -> Column:
     """The head count of a meal: its own column, else what the notes say ('Team dinner - 5 people')."""
-    said = head_count(people)
     noted = F.concat(F.regexp_extract(notes, HEADCOUNT_IN_NOTES, 1), F.regexp_extract(notes, HEADCOUNT_IN_NOTES, 3))
-    return F.when(said > 0, said).when(noted != "", head_count(noted)).otherwise(F.lit(0))
+    return let(head_count(people), lambda said: F.when(said > 0, said).otherwise(head_count(noted)))
 
 
 def receipt_of(ref: Column) -> Column:
