@@ -1,5 +1,5 @@
 """Importing this module registers every query."""
-from payproof.plans import checks, gates  # noqa: F401
+from payproof.plans import checks, gates, reviews  # noqa: F401
 from payproof.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

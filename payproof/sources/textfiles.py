@@ -76,20 +76,19 @@ BLOCK = ("dataset_id string, start bigint, name string, number_line bigint, numb
 FIELDS = ["number", "total_due", "total", "bank", "vendor"]
 
 
-def _split_document(doc: pd.DataFrame) -> pd.DataFrame:
-    """The invoices of one document, from its lines that say something. A new number after a total starts the next
-    invoice, which keeps the supplier found so far."""
-    doc = doc.sort_values("line_number")
-    top = doc.iloc[0]
+def _split_document(dataset_id: str, lines: list[dict]) -> list[dict]:
+    """The invoices of one document, from its lines that say something, in order. A new number after a total starts
+    the next invoice, which keeps the supplier found so far."""
+    top = lines[0]
     base = top["pdf"].split(" #")[0]
     out: list[dict] = []
 
     def fresh(name: str, start: int, **known) -> dict:
-        out.append({"dataset_id": top["dataset_id"], "start": start, "name": name, "context": False, **known})
+        out.append({"start": start, "name": name, "context": False, **known})
         return out[-1]
-    now = fresh(top["pdf"], int(top["line_number"]))
-    for row in doc.iloc[1:].to_dict("records"):
-        n = int(row["line_number"])
+    now = fresh(top["pdf"], top["line_number"])
+    for row in lines[1:]:
+        n = row["line_number"]
         if row["number"] and "number" in now and ("total" in now or "total_due" in now) and row["number"] != now["number"][1]:
             now = fresh(f"{base} #{len(out) + 1}", n - 1, **{k: now[k] for k in ("vendor", "guess") if k in now})
         for field in ("number", "total_due", "total"):
@@ -104,19 +103,28 @@ def _split_document(doc: pd.DataFrame) -> pd.DataFrame:
     rows = []
     for b in out:
         b["total"] = b.get("total_due", b.get("total", (None, None)))
-        flat = {"dataset_id": b["dataset_id"], "start": b["start"], "name": b["name"]}
+        flat = {"dataset_id": dataset_id, "start": b["start"], "name": b["name"]}
         for field in ("number", "total", "bank", "vendor", "guess"):
             flat[f"{field}_line"], flat[field] = b.get(field, (None, None))
         rows.append(flat)
-    frame = pd.DataFrame(rows)
-    return frame.astype({c: "Int64" for c in frame.columns if c.endswith("_line") or c == "start"})
+    return rows
+
+
+def _split_documents(batches):
+    columns = [c.split()[0] for c in BLOCK.split(", ")]
+    for batch in batches:
+        rows = [r for d, lines in zip(batch["dataset_id"], batch["lines"]) for r in _split_document(d, list(lines))]
+        frame = pd.DataFrame(rows, columns=columns)
+        yield frame.astype({c: "Int64" for c in columns if c.endswith("_line") or c == "start"})
 
 
 def invoice_blocks(lines: DataFrame) -> DataFrame:
-    """One row per invoice found in the text. Lines are read and given their document by Spark; only the lines of one
-    scanned document that carry a field (its head, its second line, numbers, totals, accounts) meet in one group."""
+    """One row per invoice found in the text. Spark reads the lines and finds the document each belongs to; the lines
+    of one scanned document that carry a field (its head, its second line, numbers, totals, accounts) become one row,
+    and documents pass through Python in Arrow batches."""
     f = latest(_features(lines), "head").where("head_at IS NOT NULL")
     said = f.where("line_number = head_at OR line_number = head_at + 1 OR number IS NOT NULL OR total_due IS NOT NULL OR total IS NOT NULL "
                    "OR bank IS NOT NULL OR vendor IS NOT NULL")
-    return (said.select("dataset_id", "head_at", "line_number", "pdf", *FIELDS, "in_context", text.strip(F.col("short")).alias("first_words"))
-            .groupBy("dataset_id", "head_at").applyInPandas(_split_document, BLOCK))
+    fields = F.struct("line_number", "pdf", *FIELDS, "in_context", text.strip(F.col("short")).alias("first_words"))
+    return (said.groupBy("dataset_id", "head_at").agg(F.array_sort(F.collect_list(fields)).alias("lines"))
+            .select("dataset_id", "lines").mapInPandas(_split_documents, BLOCK))
