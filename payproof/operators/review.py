@@ -59,7 +59,7 @@ def unique(findings: DataFrame) -> DataFrame:
     rest = [c for c in ranked.columns if c not in ("dataset_id", "source_file", "line_number", "clause", "area_rank", "sev_rank")]
     order = F.struct("area_rank", "sev_rank", *[c for c in ("title", "anchor") if c in rest])
     one = (ranked.groupBy("dataset_id", "source_file", "line_number", "clause")
-           .agg(F.min_by(F.struct("area_rank", "sev_rank", *rest), order).alias("r")))
+           .agg(F.min_by(F.struct("area_rank", "sev_rank", *rest), order).alias("chosen")))
     one = one.select("dataset_id", "source_file", "line_number", "clause", "chosen.*")
     numbered = running(one, ["dataset_id"], [("_area", F.col("area_rank")), ("_sev", F.col("sev_rank")), ("_blk", line_block(F.col("line_number")))],
                        [F.col("line_number"), F.col("source_file"), F.col("clause")], {"before": F.lit(1)})

@@ -62,7 +62,7 @@ def scores(runs: DataFrame, key: DataFrame) -> DataFrame:
 def trap_kinds(pairs: DataFrame, key: DataFrame) -> DataFrame:
     """Kinds of trap each run fell for, read from 'TRAP (kind) ...'."""
     hit = pairs.where("expect = 'trap'").select(*RUN, "id").distinct().join(key.select("dataset_id", "id", "description"), ["dataset_id", "id"])
-    return hit.select(*RUN, F.regexp_replace(F.substring_index("description", ")", 1), r"TRAP \(", "").alias("kind")).distinct()
+    return hit.select(*RUN, F.replace(F.substring_index("description", ")", 1), F.lit("TRAP ("), F.lit("")).alias("kind")).distinct()
 
 
 def skeptic_scores(runs: DataFrame, key: DataFrame) -> DataFrame:

@@ -200,7 +200,7 @@ reg("score_prf", lambda r, k: scoring.scores(r, k).select("dataset_id", "engine"
     LEFT JOIN (SELECT dataset_id, engine, count(DISTINCT finding) FILTER (expect <> 'trap') AS true_pos, count(DISTINCT id) FILTER (expect = 'trap') AS traps_flagged FROM m GROUP BY ALL) t
       ON t.dataset_id = p.dataset_id AND t.engine = p.engine""")
 reg("score_traps", lambda r, k: scoring.trap_kinds(scoring.matches(r, k), k), ["runs", "answer_key"], _MATCH + """
-    SELECT DISTINCT m.dataset_id, engine, regexp_extract(description, 'TRAP \\((.*?)\\)', 1) AS kind FROM m JOIN answer_key k ON k.dataset_id = m.dataset_id AND k.id = m.id WHERE m.expect = 'trap'""")
+    SELECT DISTINCT m.dataset_id, engine, replace(split_part(description, ')', 1), 'TRAP (', '') AS kind FROM m JOIN answer_key k ON k.dataset_id = m.dataset_id AND k.id = m.id WHERE m.expect = 'trap'""")
 reg("score_skeptic", scoring.skeptic_scores, ["runs", "answer_key"], _MATCH + """,
     real AS (SELECT DISTINCT dataset_id, engine, finding FROM m WHERE expect <> 'trap'),
     j AS (SELECT r.*, real.finding IS NOT NULL AS hit FROM runs r LEFT JOIN real ON real.dataset_id = r.dataset_id AND real.engine = r.engine AND real.finding = r.finding WHERE verdict IN ('Confirmed', 'Doubtful')),
