@@ -47,6 +47,7 @@ def _fold_tables() -> tuple[str, str, str, dict[str, str]]:
             one_to.append(plain)
         else:
             many[ch] = plain
+    many.pop("ß")                         # common enough to be replaced on its own
     return "".join(one_from), "".join(one_to), "".join(gone), many
 
 
@@ -65,7 +66,8 @@ def fold(c: Column) -> Column:
         letters = F.transform(F.split(s, ""), lambda ch: F.coalesce(
             F.try_element_at(F.str_to_map(pairs, F.lit("\n"), F.lit("\t")), ch), ch))
         return F.when(s.rlike("[" + "".join(many) + "]"), F.array_join(letters, "")).otherwise(s)
-    return F.lower(F.when(c.rlike(ASCII_ONLY), c).otherwise(let(F.translate(c, one_from + gone, one_to), spell_out)))
+    plain = F.replace(F.translate(c, one_from + gone, one_to), F.lit("ß"), F.lit("ss"))
+    return F.lower(F.when(c.rlike(ASCII_ONLY), c).otherwise(let(plain, spell_out)))
 
 
 def norm_name(c: Column) -> Column:
