@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 def cells(line: Column, sep: str = ",") -> Column:
     """Cells of a line: quoted ones lose their quotes, doubled quotes become one; a quote inside a cell is a character."""
     s = re.escape(sep)
-    raw = F.regexp_extract_all(line, F.lit(f'(?s)(?:^|{s})("(?:[^"]|"")*"[^{s}]*|[^{s}]*)'), 1)
+    raw = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(f'(?s){s}("(?:[^"]|"")*"[^{s}]*|[^{s}]*)'), 1)
 
     def open_up(c: Column) -> Column:
         inner = F.regexp_replace(c, '(?s)^"((?:[^"]|"")*)"', "$1")

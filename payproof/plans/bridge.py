@@ -169,7 +169,7 @@ parts AS (
   FROM p WHERE line_number % 71 = 0
   UNION ALL
   SELECT dataset_id, min(line_number) * 4 + 2, pay_date, 'BACS batch', CAST(-sum(paid_amount) AS DECIMAL(18,4)), 'payment run'
-  FROM p WHERE line_number % 5 = 0 AND paid_amount > 0 GROUP BY dataset_id, pay_date HAVING count(*) > 1)
+  FROM p WHERE line_number % 5 = 0 AND paid_amount > 0 AND extract(day FROM pay_date) = 13 GROUP BY dataset_id, pay_date HAVING count(*) > 1)
 SELECT dataset_id, 'bank_statement.csv' AS source_file, line_number, {_csv(_BANK_COLS)} AS text, date, description, amount,
        CAST(amount AS STRING) AS amount_text, reference
 FROM parts"""
