@@ -1,16 +1,20 @@
 """Reports and feeds as registered queries; the streaming job itself is tested in tests/test_streaming.py."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payproof import schema as S
 from payproof.operators import expenses, payments, vendors
 from payproof.operators.findings import union
-from payproof.plans.registry import o_fmt
+from payproof.plans import bridge
+from payproof.plans.registry import o_fmt, register, with_views
 from payproof.plans.reviews import SHADOW, reg
 from payproof.operators import review
-from payproof.sources import headers
+from payproof.scale import checkpointed, shared_folder
+from payproof.sources import headers, lines
 from payproof.streaming import folder
 
 L = S.LIMITS
@@ -65,3 +69,41 @@ reg("snk_workbook_tables", lambda f, d, n: review.with_decisions(f, d, SHADOW, n
     .groupBy("dataset_id", "decision").agg(F.count("*").alias("findings")), ["findings", "decisions", "lines"], f"""
     SELECT f.dataset_id, CASE WHEN f.clause IN ({', '.join(repr(c) for c in SHADOW)}) THEN 'Shadow (not in review)' ELSE coalesce(d.status, 'Pending') END AS decision, count(*) AS findings
     FROM findings f LEFT JOIN decisions d ON d.dataset_id = f.dataset_id AND d.finding = f.finding GROUP BY ALL""")
+
+
+# ---------------------------------------------------------------- the recurring check, over the table files as they lie in their folder
+def _watch_events(spark: SparkSession, sf_dir: str, runs: int) -> str:
+    """Stream the events file of the folder through the expense checks, `runs` times over the same remembered state, as a
+    scheduled job would. Gives the folder of the reports."""
+    out = f"{shared_folder(spark)}/watch-{uuid.uuid4().hex}"
+    for run in range(runs):
+        def batch(df: DataFrame, _: int, run: int = run) -> None:
+            e = checkpointed(df.sparkSession.sql(bridge.EXPENSES, events=df))
+            found = union([expenses.no_receipt(e, L).findings, expenses.personal_item(e, L).findings])
+            folder.publish(found, e.select("dataset_id", "source_file", "line_number", "text"), None, out, run, lambda feed: None)
+        new = spark.readStream.schema(bridge.table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+        new.writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/progress-{run}").trigger(availableNow=True).start().awaitTermination()
+    return out
+
+
+def _reports(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.option("header", True).csv(f"{out}/findings").withColumn("new", F.coalesce("new", F.lit("")))
+
+
+_EXPENSE_HITS = """(SELECT dataset_id, '6.2' AS clause, CAST(line_number AS VARCHAR) AS line_number, claim_id AS title FROM expenses WHERE amount > 25 AND receipt_ref IN ('', 'none') AND category <> 'Mileage'
+  UNION ALL SELECT dataset_id, '6.3', CAST(line_number AS VARCHAR), 'gym' FROM expenses WHERE notes = 'Gym membership')"""
+register("str_folder", lambda spark, d: _reports(spark, _watch_events(spark, d, 1)).select("dataset_id", "clause", "line_number", "new"),
+         with_views(["expenses"], f"SELECT dataset_id, clause, line_number, 'yes' AS new FROM {_EXPENSE_HITS}"))
+register("str_state", lambda spark, d: _reports(spark, _watch_events(spark, d, 2)).groupBy("batch", "new").agg(F.count("*").alias("findings")),
+         with_views(["expenses"], f"SELECT 0 AS batch, 'yes' AS new, count(*) AS findings FROM {_EXPENSE_HITS} UNION ALL SELECT 1, '', count(*) FROM {_EXPENSE_HITS}"))
+register("snk_state", lambda spark, d: spark.read.parquet(f"{_watch_events(spark, d, 2)}/state").groupBy("dataset_id", "batch").agg(F.count("*").alias("fingerprints")),
+         with_views(["expenses"], f"SELECT dataset_id, unnest([0, 1]) AS batch, fingerprints FROM (SELECT dataset_id, count(DISTINCT clause || title) AS fingerprints FROM {_EXPENSE_HITS} GROUP BY dataset_id)"))
+
+
+def _folder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of the folder with the dataset and kind their paths say, as the recurring job lists them."""
+    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(sf_dir)
+    return f.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), lines.kind_of(F.col("path")).alias("kind"), (F.col("length") > 0).alias("has_content"))
+
+
+register("src_folder", _folder_files, "SELECT * FROM (VALUES " + ", ".join(f"('{t}.parquet', CAST(NULL AS VARCHAR), true)" for t in bridge.TABLES) + ") t(file, kind, has_content)")

@@ -19,14 +19,20 @@ def line_block(line: Column) -> Column:
     return F.floor(line / LINE_BLOCK)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder of the cluster, so a lost executor costs a read and not a rerun."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can read: the one the cluster names, or in a local session one of our own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can read")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="payproof-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise in the shared checkpoint folder, so a lost executor costs a read and not a rerun."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -74,22 +74,28 @@ def data_problems(headers: DataFrame) -> DataFrame:
                                                                                      F.lit(" - it was not checked")).alias("note"))
 
 
+def publish(found: DataFrame, evidence: DataFrame, problems: DataFrame | None, out: str, batch_id: int, alert: Callable[[DataFrame], None]) -> None:
+    """Write a batch's report and problems, alert, and only then remember: if the alert failed, the batch is repeated
+    and alerts again."""
+    spark = found.sparkSession
+    report = checkpointed(report_rows(found, evidence, remembered(spark, f"{out}/state", batch_id)))
+    report.drop("fingerprint").write.mode("overwrite").option("header", True).csv(f"{out}/findings/batch={batch_id}")
+    if problems is None:
+        problems = spark.createDataFrame([], "dataset_id string, source_file string, note string")
+    problems.write.mode("overwrite").parquet(f"{out}/problems/batch={batch_id}")
+    alert(alert_feed(report, problems))
+    report.select("dataset_id", "fingerprint").distinct().write.mode("overwrite").parquet(f"{out}/state/batch={batch_id}")
+
+
 def write_batch(spark: SparkSession, folder: str, out: str, kinds: list[str], alert: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
     def run(batch: DataFrame, batch_id: int) -> None:
         touched = batch.select(dataset_of(F.col("path")).alias("dataset_id")).distinct()
-        # the datasets a batch touches, in full; other folders are pruned by path before any content is read
+        # the datasets a batch touches, in full
         whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
         mine = whole.withColumn("dataset_id", dataset_of(F.col("path"))).join(touched, "dataset_id", "left_semi")
         lines = checkpointed(raw_lines(mine.select("path", "modificationTime", "length", "content")))
         files, headers = files_from_lines(lines, kinds)
-        found = checkpointed(analyze(files).findings)
-        report = checkpointed(report_rows(found, lines, remembered(spark, f"{out}/state", batch_id)))
-        report.drop("fingerprint").withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("header", True).csv(f"{out}/findings/batch={batch_id}")
-        problems = data_problems(headers) if headers is not None else spark.createDataFrame([], "dataset_id string, source_file string, note string")
-        problems.write.mode("overwrite").parquet(f"{out}/problems/batch={batch_id}")
-        alert(alert_feed(report, problems))
-        # only once the alert went out: if it failed, the batch is repeated and alerts again
-        report.select("dataset_id", "fingerprint").distinct().write.mode("overwrite").parquet(f"{out}/state/batch={batch_id}")
+        publish(checkpointed(analyze(files).findings), lines, data_problems(headers) if headers is not None else None, out, batch_id, alert)
     return run
 
 
