@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from payproof import schema as S
 from payproof.functions import text
+from payproof.scale import checkpointed
 
 CHECKS = range(1, 9)
 LINE = ["dataset_id", "line_number"]
@@ -95,6 +96,7 @@ def evaluate(run: DataFrame, vendors: DataFrame, approvals: DataFrame, payments:
     lines = (resolve_vendor(run, vendors).withColumn("inv", text.strip(F.col("invoice")))
              .withColumn("key", text.inv_key(F.col("inv"))).withColumn("has_invoice", F.col("inv") != "")
              .withColumn("label", distinct_labels(run)))
+    lines = checkpointed(lines)            # a payment run is short next to the tables it is compared with, and met five times
     label_first = lines.groupBy("dataset_id", "label").agg(F.min("line_number").alias("label_line"))
     x = (lines.join(approval_for(lines, approvals), LINE, "left")
          .join(already_paid(lines, payments).withColumn("paid", F.lit(True)), LINE, "left")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from payproof import schema as S
 from payproof.functions import dates, money, text
 from payproof.operators.findings import Found, finding, link
-from payproof.scale import line_block, running
+from payproof.scale import checkpointed, line_block, running
 
 FILE = "payments.csv"
 GROUP = ["dataset_id", "payee", "invoice_key"]
@@ -35,6 +35,13 @@ def referenced(payments: DataFrame) -> DataFrame:
             .withColumn("day", F.coalesce(dates.day_number(F.col("pay_date")), F.lit(NO_DAY))))
 
 
+def settled_references(payments: DataFrame) -> DataFrame:
+    """The same, cut to what the checks read and written once: naming the payee costs a join, and the checks that order
+    payments read the result several times."""
+    return checkpointed(referenced(payments).select(*GROUP, "day", "line_number", "paid_amount", "invoice_amount", "invoice_amount_blank", "inv",
+                                                    "invoice_date", text.strip(F.col("supplier")).alias("shown")))
+
+
 def invoice_totals(ref: DataFrame) -> DataFrame:
     """One row per payee and invoice: net paid, the amount first stated for it, and its first real payment."""
     stated = F.when(F.col("invoice_amount") > 0, F.struct("day", "line_number", "invoice_amount"))
@@ -68,7 +75,7 @@ def overpaid(payments: DataFrame, limits: dict) -> Found:
 def paid_twice(payments: DataFrame, limits: dict) -> Found:
     """5.2 counts money: a payment that takes the running net above the invoice, after an earlier payment, on an
     invoice whose net over the whole file is above it too. Totals first, so only such invoices are ordered."""
-    ref = referenced(payments)
+    ref = settled_references(payments)
     tol = F.lit(limits["tolerance"])
     over = (invoice_totals(ref).withColumn("due", F.coalesce("first_amount", F.lit(0)))
             .where((F.col("net") > F.col("due") + tol) & (F.col("times_paid") > 1)).select(*GROUP, "due"))
@@ -114,21 +121,21 @@ def near_duplicates(payments: DataFrame, limits: dict) -> Found:
     Equal amounts are compared with their next fifty in order of payment. Positions come in blocks of fifty, so a row
     meets its own block and the next, never its whole group."""
     tol = F.lit(limits["tolerance"])
-    ref = referenced(payments)
+    ref = settled_references(payments)
     bucket = ["dataset_id", "payee", "cents", "inv_day"]
     rows = (ref.where(F.col("paid_amount") >= F.lit(limits["materiality"]))
             .withColumn("cents", money.cents(F.col("paid_amount")))
             .withColumn("inv_day", F.coalesce(dates.day_number(F.col("invoice_date")), F.lit(NO_DAY)))
             .select(*bucket, "invoice_key", "day", "line_number", "inv", "invoice_amount",
-                    text.strip(F.col("supplier")).alias("shown"), text.inv_text(F.col("inv")).alias("keyed")))
+                    "shown", text.inv_text(F.col("inv")).alias("keyed")))
     mixed = (rows.groupBy(*bucket).agg(F.min("invoice_key").alias("lo"), F.max("invoice_key").alias("hi"))
              .where("lo <> hi").select(*bucket))
     live = invoice_totals(ref).where(F.col("net") > tol).select(*GROUP)
-    rows = rows.join(mixed, bucket, "left_semi").join(live, GROUP, "left_semi")
+    rows = checkpointed(rows.join(mixed, bucket, "left_semi").join(live, GROUP, "left_semi"))
     span = rows.groupBy(*bucket).agg(F.min("line_number").alias("bucket_line"),
                                      F.max(F.when(F.col("day") < NO_DAY, F.col("day"))).alias("last_day"))
     rows = running(rows, bucket, [("_day", F.col("day")), ("_blk", line_block(F.col("line_number")))],
-                   [F.col("line_number")], {"pos": F.lit(1)})
+                   [F.col("line_number")], {"pos": F.lit(1)}, settle=False)
     rows = rows.withColumn("block", F.floor(F.col("pos") / S.NEAR_NEIGHBOURS))
     fields = ["invoice_key", "day", "line_number", "inv", "invoice_amount", "keyed", "pos", "shown"]
     left = rows.select(*bucket, F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"),

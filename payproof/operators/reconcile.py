@@ -215,22 +215,29 @@ def batch_pass(bank: DataFrame, pays: DataFrame, days: int) -> DataFrame:
     return b.join(p, ["dataset_id", "isle"]).select("dataset_id", "bank", "pays").mapInPandas(_batches(days), MATCHED)
 
 
-def reconcile(bank: DataFrame, payments: DataFrame, limits: dict) -> Reconciled:
-    days = limits["bank_days"]
+def _without(df: DataFrame, matched: DataFrame, side: str) -> DataFrame:
+    return df.join(matched.select("dataset_id", F.col(side).alias("line_number")).distinct(), ["dataset_id", "line_number"], "left_anti")
+
+
+def prepared(bank: DataFrame, payments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(statement lines, those that can be supplier payments, dated payments of datasets that have a statement)."""
     lines = checkpointed(statement(bank))
     todo = lines.where(~((F.col("out") > 0) & screens.non_supplier_bank(F.col("description"), F.col("reference"))))
     pays = checkpointed(payments.where("pay_date IS NOT NULL").select(
         "dataset_id", "line_number", "payment_id", "supplier", "invoice_no", "pay_date", "paid_amount", money.cents(F.col("paid_amount")).alias("cents"),
         dates.day_number(F.col("pay_date")).alias("day")).join(lines.select("dataset_id").distinct(), "dataset_id", "left_semi"))
+    return lines, todo, pays
 
-    def without(df: DataFrame, matched: DataFrame, side: str) -> DataFrame:
-        return df.join(matched.select("dataset_id", F.col(side).alias("line_number")).distinct(), ["dataset_id", "line_number"], "left_anti")
+
+def reconcile(bank: DataFrame, payments: DataFrame, limits: dict) -> Reconciled:
+    days = limits["bank_days"]
+    lines, todo, pays = prepared(bank, payments)
     exact = checkpointed(exact_pass(todo, pays, days))
-    left, open_ = checkpointed(without(todo, exact, "bank_line")), checkpointed(without(pays, exact, "pay_line"))
+    left, open_ = checkpointed(_without(todo, exact, "bank_line")), checkpointed(_without(pays, exact, "pay_line"))
     near = checkpointed(near_pass(left.where(~screens.is_batch(F.col("description"), F.col("reference"))), open_, days))
-    left, open_ = checkpointed(without(left, near, "bank_line").where("out > 0")), without(open_, near, "pay_line").where("paid_amount > 0")
+    left, open_ = checkpointed(_without(left, near, "bank_line").where("out > 0")), _without(open_, near, "pay_line").where("paid_amount > 0")
     batch = checkpointed(batch_pass(left, open_, days))
-    return Reconciled(lines, exact, near, batch, without(left, batch, "bank_line"), without(open_, batch, "pay_line"))
+    return Reconciled(lines, exact, near, batch, _without(left, batch, "bank_line"), _without(open_, batch, "pay_line"))
 
 
 def bank_without_record(r: Reconciled) -> Found:

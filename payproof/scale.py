@@ -7,6 +7,7 @@ map-side combined aggregate, and only then number or sum the rows inside their s
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,9 +32,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder, so a lost executor costs a read and not a rerun."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write to a table in the shared folder and go on from that table: what is needed again is computed once, a lost
+    executor costs a read and not a rerun, and Spark knows the size of what it joins next. The table goes when the
+    session ends."""
+    spark = df.sparkSession
+    where = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(where)
 
 
 def running(df: DataFrame, keys: list[str], levels: list[tuple[str, Column]], order: list[Column],
