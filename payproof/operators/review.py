@@ -107,7 +107,7 @@ def case_list(findings: DataFrame, members: DataFrame, limits: dict, demoted: Da
 
 def ranked_cases(case_rows: DataFrame) -> DataFrame:
     """Cases in the order a reviewer sees them. Priorities are cut into pieces by their value, then by case number."""
-    step = (-F.floor(F.col("priority") * 100)).cast("bigint")
+    step = (-F.round(F.col("priority") * 100)).cast("bigint")          # priorities have two decimals
     r = running(case_rows, ["dataset_id"], [("_p", step), ("_blk", line_block(F.col("case")))], [F.col("case")], {"before": F.lit(1)})
     return r.withColumn("rank", F.col("before") + 1).drop("before")
 

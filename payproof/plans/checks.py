@@ -4,7 +4,7 @@ from __future__ import annotations
 from payproof import schema as S
 from payproof.functions import screens
 from payproof.operators import approvals, expenses, payments, vendors
-from payproof.plans.registry import (check, o_finding, o_fmt, o_key, o_link, o_list, o_norm, o_parts, o_person, o_same, over_views,
+from payproof.plans.registry import (ORACLES, check, o_finding, o_fmt, o_key, o_link, o_list, o_norm, o_parts, o_person, o_same, over_views,
                                      register, with_views)
 
 L = S.LIMITS
@@ -164,8 +164,6 @@ check("chk_1_3", approvals.not_a_director, ["approvals"], L)
 register("chk_1_3_lines", over_views(lambda a: approvals.not_a_director(a, L).links, ["approvals"]), _recursive(["approvals"], _COVERED + f"""
       SELECT {o_link('1.3', 'approvals.csv', 'c.po_line', 'c.line_number').replace('dataset_id,', 'c.dataset_id,', 1)}
       FROM covered c JOIN hits h ON h.dataset_id = c.dataset_id AND h.line_number = c.po_line AND upper(trim(h.type)) = 'PO'"""))
-from payproof.plans.registry import ORACLES  # noqa: E402
-
 ORACLES["chk_1_3"] = _recursive(["approvals"], _COVERED + f"""
       SELECT {o_finding('1.3', 'Medium', 'amount', f"{_LABEL} || ' for $' || {o_fmt('amount')} || ' approved by a ' || CASE WHEN approver_role <> '' THEN approver_role ELSE 'non-director' END || ', not a director'", 'approvals.csv')} FROM hits""")
 
@@ -179,8 +177,8 @@ check("chk_1_6", approvals.just_under_limit, ["approvals"], L, _UNDER + f"""
       _UNDER + f""" SELECT {o_link('1.6', 'approvals.csv', 'w.last_line', 'x.line_number').replace('dataset_id,', 'w.dataset_id,', 1)}
       FROM who w JOIN near x ON x.dataset_id = w.dataset_id AND x.person = w.person AND x.line_number <> w.last_line""")
 
-register("res_person", over_views(lambda a: approvals.resolve_people(approvals.split_candidates(a, L)), ["approvals"]), with_views(["approvals"], f"""
-WITH todo AS (SELECT dataset_id, line_number, {o_norm('vendor')} AS vendor_key, {o_person('requested_by')} AS form, {o_parts('requested_by')} AS parts FROM approvals
+_PEOPLE = f"""
+WITH todo AS (SELECT dataset_id, line_number, {o_norm('vendor')} AS vendor_key, {o_person('requested_by')} AS form, {o_parts('requested_by')} AS parts, date, amount, vendor FROM approvals
               WHERE {_INV} AND NOT ({_HAS_PO}) AND amount <= 10000 AND NOT {o_exempt('vendor')}),
 forms AS (SELECT dataset_id, vendor_key, form, min(line_number) AS first_line, arg_min(parts, line_number) AS parts FROM todo GROUP BY ALL),
 full_form AS (SELECT *, first_value(form) OVER (PARTITION BY dataset_id, vendor_key, parts[1], parts[-1] ORDER BY first_line) AS person
@@ -188,12 +186,36 @@ full_form AS (SELECT *, first_value(form) OVER (PARTITION BY dataset_id, vendor_
 short AS (SELECT * FROM forms WHERE NOT (len(parts) >= 2 AND len(parts[1]) > 1)),
 fits AS (SELECT s.dataset_id, s.vendor_key, s.form, s.first_line, s.parts, min(f.person) AS p1, count(DISTINCT f.person) AS n
          FROM short s LEFT JOIN full_form f ON f.dataset_id = s.dataset_id AND f.vendor_key = s.vendor_key AND {o_same('f.parts', 's.parts')} GROUP BY ALL),
-loose AS (SELECT *, first_value(form) OVER (PARTITION BY dataset_id, vendor_key, parts[1], parts[-1] ORDER BY first_line) AS person FROM fits WHERE n = 0)
-SELECT dataset_id, vendor_key, form, person FROM full_form
+loose AS (SELECT *, first_value(form) OVER (PARTITION BY dataset_id, vendor_key, parts[1], parts[-1] ORDER BY first_line) AS person FROM fits WHERE n = 0),
+people AS (SELECT dataset_id, vendor_key, form, person FROM full_form
 UNION ALL SELECT dataset_id, vendor_key, form, CASE WHEN n = 1 THEN p1 ELSE form END FROM fits WHERE n > 0
-UNION ALL SELECT dataset_id, vendor_key, form, person FROM loose"""))
+UNION ALL SELECT dataset_id, vendor_key, form, person FROM loose)"""
+register("res_person", over_views(lambda a: approvals.resolve_people(approvals.split_candidates(a, L)), ["approvals"]), with_views(["approvals"], _PEOPLE + " SELECT * FROM people"))
+
+# the greedy walks are folds over numbered rows: a recursive step per row
+_SPLIT = _PEOPLE + """,
+who AS (SELECT t.*, p.person, row_number() OVER g AS pos, sum(amount) OVER g AS upto FROM todo t JOIN people p ON p.dataset_id = t.dataset_id AND p.vendor_key = t.vendor_key AND p.form = t.form
+        WINDOW g AS (PARTITION BY t.dataset_id, t.vendor_key, p.person ORDER BY t.date, t.line_number)),
+win AS (SELECT a.dataset_id, a.vendor_key, a.person, a.pos, a.line_number, a.vendor, max(b.pos) AS stop, sum(b.amount) AS total, count(*) AS n FROM who a
+        JOIN who b ON b.dataset_id = a.dataset_id AND b.vendor_key = a.vendor_key AND b.person = a.person AND b.pos >= a.pos AND b.date <= a.date + 3 GROUP BY ALL),
+walk(dataset_id, vendor_key, person, pos, free_from, hit) AS (
+  SELECT dataset_id, vendor_key, person, pos, CASE WHEN n >= 2 AND total > 10000 THEN stop + 1 ELSE 0 END, n >= 2 AND total > 10000 FROM win WHERE pos = 1
+  UNION ALL SELECT w.dataset_id, w.vendor_key, w.person, w.pos, CASE WHEN w.pos >= k.free_from AND n >= 2 AND total > 10000 THEN stop + 1 ELSE k.free_from END,
+    w.pos >= k.free_from AND n >= 2 AND total > 10000 FROM walk k JOIN win w ON w.dataset_id = k.dataset_id AND w.vendor_key = k.vendor_key AND w.person = k.person AND w.pos = k.pos + 1),
+picked AS (SELECT w.*, m.line_number AS m_line, m.vendor AS m_vendor FROM walk k JOIN win w ON w.dataset_id = k.dataset_id AND w.vendor_key = k.vendor_key AND w.person = k.person AND w.pos = k.pos
+           JOIN who m ON m.dataset_id = w.dataset_id AND m.vendor_key = w.vendor_key AND m.person = w.person AND m.pos BETWEEN w.pos AND w.stop WHERE k.hit),
+split AS (SELECT dataset_id, vendor_key, person, pos, n, total, max(m_line) AS last_line, arg_max(m_vendor, m_line) AS shown FROM picked GROUP BY ALL)"""
+
+
+def _walked(names: list[str], sql: str) -> str:
+    return with_views(names, sql).replace("WITH ", "WITH RECURSIVE ", 1)
+
 
 check("chk_1_4", approvals.split_orders, ["approvals"], L, lines_sql="")
+_SPLIT_TITLE = f"CAST(n AS VARCHAR) || ' ' || shown || ' invoices without a PO within 3 days, total $' || {o_fmt('total')} || ' - possible split to avoid director approval'"
+ORACLES["chk_1_4"] = _walked(["approvals"], _SPLIT + f" SELECT {o_finding('1.4', 'Medium', 'total', _SPLIT_TITLE, 'approvals.csv', 'last_line')} FROM split")
+ORACLES["chk_1_4_lines"] = _walked(["approvals"], _SPLIT + f""" SELECT {o_link('1.4', 'approvals.csv', 's.last_line', 'p.m_line').replace('dataset_id,', 's.dataset_id,', 1)}
+    FROM split s JOIN picked p ON p.dataset_id = s.dataset_id AND p.vendor_key = s.vendor_key AND p.person = s.person AND p.pos = s.pos AND p.m_line <> s.last_line""")
 
 # ---------------------------------------------------------------- vendors
 _PAID = "trim(last_paid_on) <> ''"
@@ -275,3 +297,15 @@ check("chk_6_4", expenses.weekend_claim, ["expenses"], L, f"""
       FROM k WHERE isodow(date) >= 6 AND trim(notes) = '' AND NOT ({o_screen('category', screens.TRAVEL_SPEND)} AND EXISTS (
         SELECT 1 FROM trips t WHERE t.dataset_id = k.dataset_id AND t.person = k.person AND t.line_number <> k.line_number AND t.date BETWEEN k.date - 1 AND k.date + 1))""")
 check("chk_6_6", expenses.under_receipt_limit, ["expenses"], L, lines_sql="")
+_UNDER_RECEIPT = f"""
+WITH near AS (SELECT *, {o_person('employee')} AS person FROM expenses WHERE amount BETWEEN 22.5 AND 25 AND {_RECEIPT} = '' AND NOT {o_screen("category || ' ' || notes", screens.NO_RECEIPT_KINDS)}),
+n AS (SELECT *, row_number() OVER g AS pos, coalesce(date - lag(date, 2) OVER g <= 30, false) AS near3 FROM near WHERE person <> '' WINDOW g AS (PARTITION BY dataset_id, person ORDER BY date, line_number)),
+walk(dataset_id, person, pos, last_hit, hit) AS (SELECT dataset_id, person, pos, CAST(-5 AS BIGINT), false FROM n WHERE pos = 1
+  UNION ALL SELECT n.dataset_id, n.person, n.pos, CASE WHEN near3 AND n.pos >= last_hit + 3 THEN n.pos ELSE last_hit END, near3 AND n.pos >= last_hit + 3
+  FROM walk w JOIN n ON n.dataset_id = w.dataset_id AND n.person = w.person AND n.pos = w.pos + 1),
+three AS (SELECT w.dataset_id, w.person, w.pos, m.line_number, m.amount, m.employee FROM walk w JOIN n m ON m.dataset_id = w.dataset_id AND m.person = w.person AND m.pos BETWEEN w.pos - 2 AND w.pos WHERE hit),
+run3 AS (SELECT dataset_id, person, pos, sum(amount) AS total, max(line_number) AS last_line, arg_max(employee, line_number) AS shown FROM three GROUP BY ALL)"""
+_RUN_TITLE = "trim(shown) || ' made 3 claims without a receipt just under the $25.00 receipt limit within 30 days'"
+ORACLES["chk_6_6"] = _walked(["expenses"], _UNDER_RECEIPT + f" SELECT {o_finding('6.6', 'Low', 'total', _RUN_TITLE, 'expenses.csv', 'last_line')} FROM run3")
+ORACLES["chk_6_6_lines"] = _walked(["expenses"], _UNDER_RECEIPT + f""" SELECT {o_link('6.6', 'expenses.csv', 'r.last_line', 't.line_number').replace('dataset_id,', 'r.dataset_id,', 1)}
+    FROM run3 r JOIN three t ON t.dataset_id = r.dataset_id AND t.person = r.person AND t.pos = r.pos AND t.line_number <> r.last_line""")

@@ -41,7 +41,7 @@ _V = ["payments", "vendors", "expenses"]
 reg("set_union_checks", lambda p, v, e: _findings_of(p, v, e).groupBy("dataset_id", "area", "clause").agg(F.count("*").alias("findings")), _V, f"""
     SELECT dataset_id, 'Payments' AS area, '5.3' AS clause, count(*) AS findings FROM payments WHERE paid_amount > 0 AND trim(invoice_no) = '' GROUP BY dataset_id
     UNION ALL SELECT dataset_id, 'Payments', '5.4', count(*) FROM payments WHERE paid_amount > 0 AND isodow(pay_date) >= 6 GROUP BY dataset_id
-    UNION ALL SELECT dataset_id, 'Vendors', '4.4', count(*) FROM vendors WHERE trim(last_paid_on) <> '' AND w9_on_file <> 'YES' GROUP BY dataset_id
+    UNION ALL SELECT dataset_id, 'Vendors', '4.4', count(*) FROM vendors v WHERE trim(last_paid_on) <> '' AND (w9_on_file = 'NO' OR (w9_on_file = '' AND EXISTS (SELECT 1 FROM vendors o WHERE o.dataset_id = v.dataset_id AND o.w9_on_file <> ''))) GROUP BY dataset_id
     UNION ALL SELECT dataset_id, 'Expenses', '6.2', count(*) FROM expenses WHERE amount > 25 AND receipt_ref IN ('', 'none') AND category <> 'Mileage' GROUP BY dataset_id
     UNION ALL SELECT dataset_id, 'Expenses', '6.3', count(*) FROM expenses WHERE notes = 'Gym membership' GROUP BY dataset_id""")
 reg("snk_findings", lambda p, v, e: _report(p, v, e).where("area = 'Expenses'").select("dataset_id", "new", "severity", "clause", F.col("amount").cast("double").alias("amount"), "title", "line_number", "evidence"), _V, f"""

@@ -117,14 +117,41 @@ _PRIO = ("round_even(CASE severity WHEN 'High' THEN 3.0 WHEN 'Medium' THEN 2.0 E
          "CASE verdict WHEN 'Confirmed' THEN 1.0 ELSE 0.5 END::DOUBLE, 2)")
 reg("fn_priority", lambda f: f.select("dataset_id", "finding", review.priority(F.col("severity"), F.col("amount"), F.col("verdict")).alias("priority")), ["findings"],
     f"SELECT dataset_id, finding, {_PRIO} AS priority FROM findings")
-reg("cases", lambda f: review.cases(f).groupBy("dataset_id", "case").agg(F.count("*").alias("findings")), ["findings"])
-reg("case_amount", lambda f: review.case_list(f, review.cases(f), L).select("dataset_id", "case", F.col("worth").cast("double").alias("worth")), ["findings"])
-reg("rev_minor", lambda f: review.case_list(f, review.cases(f), L).select("dataset_id", "case", "minor"), ["findings"])
-reg("ord_cases", lambda f: review.ranked_cases(review.case_list(f, review.cases(f), L)).where("rank <= 20").select("dataset_id", "case", "priority", "rank"), ["findings"])
-reg("rev_bulk", lambda f, d, n: review.bulk_approvable(f, review.cases(f), d, evidence.warned(f, n)), ["findings", "decisions", "lines"])
+def o_cases(source: str) -> str:
+    """Cases by transitive closure, which is small because cases are."""
+    return f"""texts AS (SELECT dataset_id, source_file, finding, unnest([evidence, related_text]) AS t FROM {source}),
+    pairs AS (SELECT DISTINCT a.dataset_id, a.finding AS f1, b.finding AS f2 FROM texts a JOIN texts b ON a.dataset_id = b.dataset_id AND a.source_file = b.source_file AND a.t = b.t WHERE a.t <> ''),
+    reach(dataset_id, f1, f2) AS (SELECT dataset_id, f1, f2 FROM pairs UNION SELECT r.dataset_id, r.f1, p.f2 FROM reach r JOIN pairs p ON p.dataset_id = r.dataset_id AND p.f1 = r.f2),
+    members AS (SELECT dataset_id, f1 AS finding, min(f2) AS "case" FROM reach GROUP BY dataset_id, f1),
+    cf AS (SELECT f.*, m."case" FROM {source} f JOIN members m ON m.dataset_id = f.dataset_id AND m.finding = f.finding)"""
+
+
+def reg_cases(name: str, fn, views: list[str], sql: str) -> None:
+    register(name, over_views(fn, views), with_views(views, sql).replace("WITH ", "WITH RECURSIVE ", 1))
+
+
+reg_cases("cases", lambda f: review.cases(f).groupBy("dataset_id", "case").agg(F.count("*").alias("findings")), ["findings"],
+          f"WITH {o_cases('findings')} SELECT dataset_id, \"case\", count(*) AS findings FROM cf GROUP BY ALL")
+reg_cases("case_amount", lambda f: review.case_list(f, review.cases(f), L).select("dataset_id", "case", F.col("worth").cast("double").alias("worth")), ["findings"],
+          f"WITH {o_cases('findings')} SELECT dataset_id, \"case\", CAST(max(amount) AS DOUBLE) AS worth FROM cf GROUP BY dataset_id, \"case\"")
+reg_cases("rev_minor", lambda f: review.case_list(f, review.cases(f), L).select("dataset_id", "case", "minor"), ["findings"],
+          f"WITH {o_cases('findings')} SELECT dataset_id, \"case\", bool_and(amount > 0 AND amount < 50 AND severity <> 'High') AS minor FROM cf GROUP BY dataset_id, \"case\"")
+reg_cases("ord_cases", lambda f: review.ranked_cases(review.case_list(f, review.cases(f), L)).where("rank <= 20").select("dataset_id", "case", "priority", "rank"), ["findings"],
+          f"WITH {o_cases('findings')}, p AS (SELECT dataset_id, \"case\", max({_PRIO}) AS priority FROM cf GROUP BY dataset_id, \"case\") "
+          "SELECT dataset_id, \"case\", priority, row_number() OVER (PARTITION BY dataset_id ORDER BY priority DESC, \"case\") AS rank FROM p QUALIFY rank <= 20")
+reg_cases("rev_bulk", lambda f, d, n: review.bulk_approvable(f, review.cases(f), d, evidence.warned(f, n)), ["findings", "decisions", "lines"],
+          f"{_WARNED.strip()}, {o_cases('findings')}, " + """op AS (SELECT c.*, w.finding IS NOT NULL AS warned FROM cf c LEFT JOIN warned w ON w.dataset_id = c.dataset_id AND w.finding = c.finding
+             WHERE NOT EXISTS (SELECT 1 FROM decisions d WHERE d.dataset_id = c.dataset_id AND d.finding = c.finding))
+             SELECT dataset_id, finding FROM op QUALIFY bool_and(verdict = 'Confirmed' AND NOT warned) OVER (PARTITION BY dataset_id, "case")""")
 reg("rev_shadow", lambda f: review.in_queue(f, SHADOW).select("dataset_id", "finding"), ["findings"],
     f"SELECT dataset_id, finding FROM findings WHERE clause NOT IN ({o_list(SHADOW)})")
-reg("rev_counts", lambda f, d: review.decision_counts(f, d, SHADOW).withColumn("value", F.col("value").cast("double")), ["findings", "decisions"])
+reg_cases("rev_counts", lambda f, d: review.decision_counts(f, d, SHADOW).withColumn("value", F.col("value").cast("double")), ["findings", "decisions"],
+          f"""WITH j AS (SELECT f.*, d.status, f.clause IN ({o_list(SHADOW)}) AS hidden FROM findings f LEFT JOIN decisions d ON d.dataset_id = f.dataset_id AND d.finding = f.finding),
+          ok AS (SELECT * FROM j WHERE NOT hidden AND status = 'Approved'), {o_cases('ok')},
+          v AS (SELECT dataset_id, sum(worth) AS value FROM (SELECT dataset_id, "case", max(amount) AS worth FROM cf GROUP BY dataset_id, "case") GROUP BY dataset_id)
+          SELECT j.dataset_id, count(*) FILTER (NOT hidden AND status = 'Approved') AS approved, count(*) FILTER (NOT hidden AND status = 'Rejected') AS rejected,
+            count(*) FILTER (NOT hidden AND status IS NULL) AS pending, count(*) FILTER (hidden) AS shadow, CAST(coalesce(any_value(v.value), 0) AS DOUBLE) AS value
+          FROM j LEFT JOIN v ON v.dataset_id = j.dataset_id GROUP BY j.dataset_id""")
 reg("rev_decisions", lambda f, d, n: review.with_decisions(f, d, SHADOW, evidence.warned(f, n)).select("dataset_id", "finding", "decision", "reviewer_reason", "owner", "note", "warning"),
     ["findings", "decisions", "lines"], _WARNED + f"""
     SELECT f.dataset_id, f.finding, CASE WHEN f.clause IN ({o_list(SHADOW)}) THEN 'Shadow (not in review)' ELSE coalesce(d.status, 'Pending') END AS decision, coalesce(d.reason, '') AS reviewer_reason,

@@ -78,6 +78,12 @@ def first_by(order: Column, value: Column) -> Column:
     return F.min_by(value, order)
 
 
+def _contents(edges: DataFrame) -> tuple:
+    """A count and two hash sums: equal for equal edge sets whatever their order, and one combined aggregate to get."""
+    wide = "decimal(38,0)"
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast(wide)), F.sum(F.xxhash64("v", F.lit(1), "u").cast(wide))).first())
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph as (node, component), the component named by its smallest node.
 
@@ -87,6 +93,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
     e = checkpointed(e.where("u <> v"))
+    state = _contents(e)
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: a node hands its larger neighbours to its smallest neighbour (or itself)
@@ -98,9 +105,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         small = (large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         new = checkpointed(small)
-        if new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty():
-            break
+        seen, state = state, _contents(new)
         e = new
+        if state == seen:
+            break
     else:
         raise RuntimeError("components did not settle")
     return (nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left")
