@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from payproof import schema as S
 from payproof.functions import money
-from payproof.scale import components, line_block, running
+from payproof.scale import checkpointed, components, line_block, running
 
 
 def rank_in(c: Column, values: list[str]) -> Column:
@@ -84,9 +84,10 @@ def cases(findings: DataFrame) -> DataFrame:
         return F.concat(F.lit(kind), F.sha2(F.concat_ws("\u0001", *cols), 256))
     texts = findings.select("dataset_id", "finding", "source_file", F.explode(F.array_compact(F.array(
         F.col("evidence"), F.when(F.col("related_text") != "", F.col("related_text"))))).alias("t"))
-    edges = texts.select(node("a", "dataset_id", "finding").alias("a"), node("t", "dataset_id", "source_file", "t").alias("b"))
-    labels = components(edges)
-    own = findings.select("dataset_id", "finding", node("a", "dataset_id", "finding").alias("node")).join(labels, "node")
+    edges = checkpointed(texts.select("dataset_id", "finding", node("a", "dataset_id", "finding").alias("a"),
+                                      node("t", "dataset_id", "source_file", "t").alias("b")))
+    labels = components(edges.select("a", "b"))
+    own = edges.select("dataset_id", "finding", F.col("a").alias("node")).distinct().join(labels, "node")
     names = own.groupBy("component").agg(F.min("finding").alias("case"))
     return own.join(names, "component").select("dataset_id", "finding", "case")
 

@@ -90,9 +90,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     The alternating large-star / small-star method: each round is one or two groupBys, rounds grow with the logarithm
     of the longest chain, and every round is cut by a checkpoint. Only minima are taken over a node's neighbours, so a
     node with a third of all edges is combined before its shuffle."""
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    e = checkpointed(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
-    e = checkpointed(e.where("u <> v"))
+    e = e.where("u <> v")
     state = _contents(e)
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
