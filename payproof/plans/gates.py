@@ -148,17 +148,22 @@ known AS (SELECT s.*, m.vendor_id, m.bank_acct FROM said s LEFT JOIN near n ON n
           LEFT JOIN master m ON m.dataset_id = s.dataset_id AND m.key = CASE WHEN n.exact THEN s.name_key WHEN n.n = 1 THEN n.only_key END),
 who AS (SELECT *, coalesce(vendor_id, CASE WHEN vendor IS NOT NULL THEN {o_norm('vendor')} END, '') AS who FROM known)"""
 _INVOICE_VIEWS = ["invoice_lines", "vendors", "approvals"]
-check("chk_8_1", documents.not_approved, _INVOICE_VIEWS, L, _READ + f""",
-      a AS (SELECT dataset_id, line_number, amount, {o_key('doc_no')} AS inv_key, {o_norm('vendor')} AS vk FROM approvals WHERE upper(trim(type)) IN ({o_list(S.INVOICE_TYPES)})),
-      best AS (SELECT w.dataset_id, w.start, a.amount AS approved, row_number() OVER (PARTITION BY w.dataset_id, w.start ORDER BY (a.vk = w.name_key) DESC, a.line_number) AS k
-               FROM who w JOIN a ON a.dataset_id = w.dataset_id AND a.inv_key = w.inv_key),
-      x AS (SELECT w.*, b.approved FROM who w LEFT JOIN best b ON b.dataset_id = w.dataset_id AND b.start = w.start AND b.k = 1)
+_APPROVED = _READ + f""",
+a AS (SELECT dataset_id, line_number, amount, {o_key('doc_no')} AS inv_key, {o_norm('vendor')} AS vk FROM approvals WHERE upper(trim(type)) IN ({o_list(S.INVOICE_TYPES)})),
+best AS (SELECT w.dataset_id, w.start, a.amount AS approved, row_number() OVER (PARTITION BY w.dataset_id, w.start ORDER BY (a.vk = w.name_key) DESC, a.line_number) AS k
+         FROM who w JOIN a ON a.dataset_id = w.dataset_id AND a.inv_key = w.inv_key),
+x AS (SELECT w.*, b.approved FROM who w LEFT JOIN best b ON b.dataset_id = w.dataset_id AND b.start = w.start AND b.k = 1)"""
+_OFF = "total IS NOT NULL AND abs(amount - approved) > 0.005"
+check("chk_8_1", documents.not_approved, _INVOICE_VIEWS, L, _APPROVED + f"""
       SELECT {o_finding('8.1', 'Medium', 'CASE WHEN approved IS NULL THEN amount ELSE abs(amount - approved) END', f"CASE WHEN approved IS NULL THEN 'Invoice ' || number || ' (' || name || ') has no approval record' ELSE 'Invoice ' || number || ' total $' || {o_fmt('amount')} || ' differs from the approved $' || {o_fmt('approved')} END", 'invoices.txt', 'CASE WHEN approved IS NULL THEN number_line ELSE total_line END')}
-      FROM x WHERE approved IS NULL OR (total IS NOT NULL AND abs(amount - approved) > 0.005)""", "")
+      FROM x WHERE approved IS NULL OR ({_OFF})""", _APPROVED + f" SELECT {o_link('8.1', 'invoices.txt', 'total_line', 'number_line')} FROM x WHERE approved IS NOT NULL AND {_OFF}")
+_OTHER_BANK = "bank IS NOT NULL AND vendor_id IS NOT NULL AND right(regexp_replace(bank_acct, '[^0-9]', '', 'g'), 4) NOT IN ('', right(bank, 4))"
 check("chk_8_2", documents.other_account, ["invoice_lines", "vendors"], L, _READ + f"""
       SELECT {o_finding('8.2', 'High', 'amount', "'Invoice ' || number || ' asks for payment to account ending ' || right(bank, 4) || '; ' || vendor_id || ' is on file with ' || right(regexp_replace(bank_acct, '[^0-9]', '', 'g'), 4)", 'invoices.txt', 'bank_line')}
-      FROM who WHERE bank IS NOT NULL AND vendor_id IS NOT NULL AND right(regexp_replace(bank_acct, '[^0-9]', '', 'g'), 4) NOT IN ('', right(bank, 4))""", "")
-check("chk_8_3", documents.submitted_again, ["invoice_lines", "vendors"], L, _READ + f""",
-      prior AS (SELECT w.*, (SELECT min(o.number_line) FROM who o WHERE o.dataset_id = w.dataset_id AND o.inv_key = w.inv_key AND o.number_line < w.number_line
-                             AND NOT (o.who <> '' AND w.who <> '' AND o.who <> w.who)) AS earlier FROM who w)
-      SELECT {o_finding('8.3', 'High', 'amount', "'Invoice ' || number || ' was submitted twice (' || name || ')'", 'invoices.txt', 'number_line')} FROM prior WHERE earlier IS NOT NULL""", "")
+      FROM who WHERE {_OTHER_BANK}""", _READ + f" SELECT {o_link('8.2', 'invoices.txt', 'bank_line', 'number_line')} FROM who WHERE {_OTHER_BANK}")
+_PRIOR = _READ + """,
+prior AS (SELECT w.*, (SELECT min(o.number_line) FROM who o WHERE o.dataset_id = w.dataset_id AND o.inv_key = w.inv_key AND o.number_line < w.number_line
+                       AND NOT (o.who <> '' AND w.who <> '' AND o.who <> w.who)) AS earlier FROM who w)"""
+check("chk_8_3", documents.submitted_again, ["invoice_lines", "vendors"], L, _PRIOR + f"""
+      SELECT {o_finding('8.3', 'High', 'amount', "'Invoice ' || number || ' was submitted twice (' || name || ')'", 'invoices.txt', 'number_line')} FROM prior WHERE earlier IS NOT NULL""",
+      _PRIOR + f" SELECT {o_link('8.3', 'invoices.txt', 'number_line', 'earlier')} FROM prior WHERE earlier IS NOT NULL")
