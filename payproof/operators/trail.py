@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from payproof import schema as S
-from payproof.scale import running
+from payproof.scale import checkpointed, running
 
 FIELDS = ["time", "actor", "action", "finding", "detail"]
 BATCH = 50_000                # entries of one dataset a task chains at a time
@@ -54,7 +54,6 @@ def append(entries: DataFrame, heads: DataFrame | None = None, batch: int = BATC
         now = (now.join(heads, "dataset_id", "left") if heads is not None else now.withColumn("head", F.lit(None).cast("string")))
         got = (now.select("dataset_id", F.coalesce("head", F.lit(S.GENESIS)).alias("head"), "entries").mapInPandas(_chain, CHAINED))
         if last > 0:
-            from payproof.scale import checkpointed
             got = checkpointed(got)
             heads = got.groupBy("dataset_id").agg(F.max_by("hash", "seq").alias("head"))
         done = got if done is None else done.union(got)

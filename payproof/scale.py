@@ -73,11 +73,6 @@ def running(df: DataFrame, keys: list[str], levels: list[tuple[str, Column]], or
     return joined.select(*df.columns, *[e.alias(s) for s, e in at.items()])
 
 
-def first_by(order: Column, value: Column) -> Column:
-    """The value on the first row in order, as an aggregate that combines before the shuffle."""
-    return F.min_by(value, order)
-
-
 def _contents(edges: DataFrame) -> tuple:
     """A count and two hash sums: equal for equal edge sets whatever their order, and one combined aggregate to get."""
     wide = "decimal(38,0)"
@@ -114,6 +109,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     return (nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left")
             .select("node", F.coalesce("component", "node").alias("component")))
 
-
-def empty_like(spark: SparkSession, df: DataFrame) -> DataFrame:
-    return spark.createDataFrame([], df.schema)
