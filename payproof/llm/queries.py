@@ -3,10 +3,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payproof.llm import minhash, substrings, suffixes
+from payproof.llm import bpe, minhash, quality, substrings, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,6 +67,21 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
 
 
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@query("op3_byte_bpe")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    coded = bpe.encode(table(spark, folder, "documents"), VOCABULARY, public_tokenizers.PATTERN, check=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op6_quality_rules")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality.judged(table(spark, folder, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
+
+
 @query("op7_suffix_array_dedup")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return (suffixes.remove_repeats(table(spark, folder, "documents"))
