@@ -86,8 +86,10 @@ def weights(docs: DataFrame, text: str = "text") -> list[float]:
     steps = Steps(docs.sparkSession)
     chars = F.char_length(text)
     trusted = (chars >= TRUSTED_CHARS) & (_chars_of(F.col(text), SYMBOLS) <= chars * TRUSTED_SYMBOLS) & (_chars_of(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ") <= chars * TRUSTED_CAPITALS)
-    found = docs.where(F.col(text).isNotNull()).select(trusted.cast("int").alias("trusted"), F.explode(grams(F.col(text))).alias("bucket"))
-    counts = found.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("good"))
+    # the mark goes into each n-gram's number: beside them it would be computed once for every n-gram
+    marked = _let(trusted.cast("int"), lambda t: F.transform(grams(F.col(text)), lambda b: b * 2 + t))
+    found = docs.where(F.col(text).isNotNull()).select(F.explode(marked).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    counts = found.groupBy(F.shiftright("code", 1).alias("bucket")).agg(F.sum("n").alias("raw"), F.sum(F.when(F.col("code") % 2 == 1, F.col("n")).otherwise(0)).alias("good"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     counts = steps.write(every.join(counts, "bucket", "left").select("bucket", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("raw", "good")]))
     total = counts.agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).first()
