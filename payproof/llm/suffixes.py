@@ -9,8 +9,9 @@ its text alone, and only the sizes of buckets need the other documents.
 Sorting every suffix would move many times the input. Of the 201 buckets after 200 bytes that a 400-byte string passes
 through, the one with the lowest name is its pivot; equal strings have equal pivots. About one suffix in a hundred is a
 pivot. First all pivots are put into their buckets after 200 bytes; those alone in theirs are done, as are their strings.
-The strings with one pivot follow each other; as one stretch they are refined at once by the pointers all along it, and
-only where stretches with one pivot differ are their 400-byte strings refined one by one.
+The strings with one pivot follow each other; as one stretch they are refined at once by the pointers all along it. Only
+where stretches with one pivot differ are they opened, first into blocks of 16 strings, and blocks that agree in what
+their strings share but not in the whole into single strings; each time a text of every kind is enough.
 
 Buckets are counted by map-side combined aggregates and joined back by plain joins. Each text sends a bucket once with its
 count, so a run of one repeated line is a few rows.
@@ -18,6 +19,7 @@ count, so a run of one repeated line is a few rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,7 @@ from payproof.llm.substrings import _listed, _ranges
 
 LENGTH = 400         # bytes of a repeated string
 HALVINGS = 3         # the initial buckets take length / 2**HALVINGS bytes
+BLOCKS = 25          # a block is this part of `length` strings
 
 
 def _refined(name: np.ndarray, later: np.ndarray) -> np.ndarray:
@@ -66,6 +69,10 @@ class Buckets:
         return mix(out + (e - s).astype(U))
 
 
+    def core(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return self.stretch(s, e, 0) ^ U(1)
+
+
 BASE = [U(b) for b in BASES]
 
 
@@ -96,7 +103,7 @@ def _packed(texts: list[bytes], group: list[int]):
 
 
 def _stretches(batch: list[bytes], length: int) -> Iterator[tuple]:
-    """(buckets, text of each stretch, shift to places in the text, first string, last string, pivot's bucket) by piece."""
+    """(buckets, text of each stretch, shift to places in the text, first string, last string, place of the pivot) by piece."""
     for data, owner, shift, _, ends in _pieces(batch, length):
         b = Buckets(data, length)
         name = b.names[b.half]
@@ -110,7 +117,28 @@ def _stretches(batch: list[bytes], length: int) -> Iterator[tuple]:
         stop = ok.copy()
         stop[:-1] &= new[1:] | ~ok[1:]
         first, last = np.flatnonzero(new), np.flatnonzero(stop)
-        yield b, owner[part[first]], shift[part[first]], first, last, name[low[first]]
+        yield b, owner[part[first]], shift[part[first]], first, last, low[first]
+
+
+def _units(level: int, pivot: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """What a stretch opens into: blocks of strings that begin in one BLOCKS-th of the way to the pivot, or single strings.
+    Gives the stretch of each unit, its pivot, first and last string, and the run of bytes that all strings of the block share
+    whatever part of it the stretch holds: its core. Units of two texts with a string in common have a core in common."""
+    step = 1 if level == 2 else max(1, length // BLOCKS)
+    lo, hi = (pivot - last) // step, (pivot - first) // step
+    of = np.repeat(np.arange(len(lo)), hi - lo + 1)
+    block = _ranges(lo, hi)
+    far, near = pivot[of] - block * step - step + 1, pivot[of] - block * step
+    return of, pivot[of], np.maximum(first[of], far), np.minimum(last[of], near), near, far + length
+
+
+def _opened(b: Buckets, owner, shift, first, last, pivot, length: int, lists: list, below) -> tuple[np.ndarray, ...]:
+    """The units that listed stretches, and then listed blocks, open into."""
+    for level in range(1, below + 1):
+        wanted = np.flatnonzero(_listed(signed(b.stretch(first, last + length, 0)), owner, lists))
+        of, pivot, first, last, near, far = _units(level, pivot[wanted], first[wanted], last[wanted], length)
+        owner, shift = owner[wanted][of], shift[wanted][of]
+    return owner, shift, first, last, pivot, near, far
 
 
 def _counted(*keys: np.ndarray) -> list[np.ndarray]:
@@ -123,24 +151,26 @@ def _counted(*keys: np.ndarray) -> list[np.ndarray]:
     return [*[k[new] for k in keys], np.diff(np.concatenate([new, [len(order)]]))]
 
 
-def _emit(kind: str, length: int):
-    names = {"pivots": ["pivot", "n"], "stretches": ["pivot", "s1", "s2", "rid", "n"], "strings": ["w1", "w2", "rid", "n"]}[kind]
+def _emit(level: int | None, length: int):
+    """Rows of one text's pivots (level None), stretches (0), opened blocks (1) or opened strings (2): the bucket of the core,
+    the bucket of the whole in 128 bits, the text's rid, and how often the text has it."""
+    names = ["core", "n"] if level is None else ["core", "s1", "s2", "rid", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            rid = batch.column("rid").to_numpy(zero_copy_only=False) if kind != "pivots" else None
-            opened = batch.column("opened").to_pylist() if kind == "strings" else None
-            for b, owner, _, first, last, pivot in _stretches(texts(batch), length):
-                cols = [signed(pivot)]
-                if kind == "stretches":
+            rid = batch.column("rid").to_numpy(zero_copy_only=False) if level is not None else None
+            lists = batch.column("opened").to_pylist() if level else None
+            for b, owner, shift, first, last, pivot in _stretches(texts(batch), length):
+                core = b.names[b.half][pivot]
+                if level:
+                    owner, shift, first, last, pivot, near, far = _opened(b, owner, shift, first, last, pivot, length, lists, level)
+                    core = b.core(near, far)
+                cols = [signed(core)]
+                if level is not None:
                     cols += [signed(b.stretch(first, last + length, k)) for k in (0, 1)] + [owner]
-                elif kind == "strings":
-                    wanted = np.flatnonzero(_listed(signed(b.stretch(first, last + length, 0)), owner, opened))
-                    at = _ranges(first[wanted], last[wanted])
-                    cols = [signed(b.stretch(at, at + length, k)) for k in (0, 1)] + [np.repeat(owner[wanted], (last - first + 1)[wanted])]
                 cols = _counted(*cols)
-                if kind != "pivots":
-                    cols[-2] = rid[cols[-2]]
+                if level is not None:
+                    cols[3] = rid[cols[3]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
     return run, ", ".join(f"{n} long" for n in names)
 
@@ -158,22 +188,17 @@ def _spans(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _cut(length: int, other: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            repeated, opened, strings = (batch.column(c).to_pylist() for c in ("repeated", "opened", "strings"))
+            repeated, opened = (batch.column(c).to_pylist() for c in ("repeated", "opened"))
             own_texts = texts(batch)
             hits: list[list[tuple[int, int]]] = [[] for _ in own_texts]
-            some = np.array([i for i in range(len(own_texts)) if repeated[i] or strings[i]], np.int64)
-            for b, owner, shift, first, last, _ in _stretches([own_texts[i] for i in some], length):
-                owner = some[owner]
-                s1 = signed(b.stretch(first, last + length, 0))
-                whole = _listed(s1, owner, repeated)
-                rest = np.flatnonzero(_listed(s1, owner, opened) & ~whole)
-                at = _ranges(first[rest], last[rest])
-                at_owner, at_shift = (np.repeat(c[rest], (last - first + 1)[rest]) for c in (owner, shift))
-                found = _listed(signed(b.stretch(at, at + length, 0)), at_owner, strings)
-                for o, s, e in ((owner[whole], (first + shift)[whole], (last + shift)[whole] + length),
-                                (at_owner[found], (at + at_shift)[found], (at + at_shift)[found] + length)):
-                    for i, x, y in zip(o.tolist(), s.tolist(), e.tolist(), strict=True):
-                        hits[i].append((x, y))
+            some = np.array([i for i in range(len(own_texts)) if repeated[i]], np.int64)
+            for b, owner, shift, first, last, pivot in _stretches([own_texts[i] for i in some], length):
+                unit = some[owner], shift, first, last, pivot
+                for level in (0, 1, 2):
+                    o, h, s, e, *_ = _opened(b, *unit, length, opened, level) if level else unit
+                    gone = _listed(signed(b.stretch(s, e + length, 0)), o, repeated)
+                    for i, x, y in zip(o[gone].tolist(), (s + h)[gone].tolist(), (e + h)[gone].tolist(), strict=True):
+                        hits[i].append((x, y + length))
             spans = [_spans(h) for h in hits]
             kept = []
             for t, ss in zip(own_texts, spans, strict=True):
@@ -201,21 +226,26 @@ def _removed(docs: DataFrame, other: list[str], length: int) -> DataFrame:
     # equal rows share a rid; all that is joined on it below is true of a string wherever it stands
     docs = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
     full = docs.where(F.octet_length("text") >= length).select("rid", "text")
-    shared = full.mapInArrow(*_emit("pivots", length)).groupBy("pivot").agg(F.sum("n").alias("n")).where("n > 1").select("pivot")
-    stretches = steps.write(full.mapInArrow(*_emit("stretches", length)).join(shared, "pivot"))
-    sizes = steps.write(stretches.groupBy("pivot", "s1", "s2").agg(F.sum("n").alias("n"), F.min("rid").alias("rid")))
-    # stretches with one pivot that differ, one of them alone: one text of each opens it into its strings
-    mixed = sizes.groupBy("pivot").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select("pivot")
-    opened = sizes.join(mixed, "pivot").groupBy("rid").agg(F.collect_set("s1").alias("opened"))
-    repeated = (stretches.select("pivot", "s1", "s2", F.col("rid").alias("of")).join(sizes.where("n > 1").select("pivot", "s1", "s2"), ["pivot", "s1", "s2"])
-                .groupBy("of").agg(F.collect_set("s1").alias("repeated")).withColumnRenamed("of", "rid"))
-    lists = steps.write(repeated.join(opened, "rid", "full"))
-    steps.drop(stretches, sizes)
-    strings = steps.write(full.join(lists.where("opened IS NOT NULL").select("rid", "opened"), "rid").mapInArrow(*_emit("strings", length)))
-    twice = strings.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
-    found = steps.write(strings.join(twice, ["w1", "w2"]).groupBy("rid").agg(F.collect_set("w1").alias("strings")))
-    steps.drop(strings)
+    key = ["core", "s1", "s2"]
+    repeated, opened = [], []
+    for level in (0, 1, 2):
+        if level:
+            listed = opened[0] if level == 1 else opened[0].union(opened[1])
+            rows = full.join(listed.groupBy("rid").agg(F.collect_set("s1").alias("opened")), "rid").mapInArrow(*_emit(level, length))
+        else:
+            shared = full.mapInArrow(*_emit(None, length)).groupBy("core").agg(F.sum("n").alias("n")).where("n > 1").select("core")
+            rows = full.mapInArrow(*_emit(0, length)).join(shared, "core")
+        rows = steps.write(rows)
+        sizes = steps.write(rows.groupBy(*key).agg(F.sum("n").alias("n"), F.min("rid").alias("first")))
+        repeated.append(steps.write(rows.join(sizes.where("n > 1").select(*key), key).select("rid", "s1")))
+        # wholes that share a core and differ, one of them alone: one text of each opens it
+        mixed = sizes.groupBy("core").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select("core")
+        opened.append(steps.write(sizes.join(mixed, "core").select(F.col("first").alias("rid"), "s1")))
+        steps.drop(rows, sizes)
+    gather = lambda tables, name: reduce(DataFrame.union, tables).groupBy("rid").agg(F.collect_set("s1").alias(name))
+    lists = steps.write(gather(repeated, "repeated").join(gather(opened[:2], "opened"), "rid", "left"))
+    steps.drop(*repeated, *opened)
     types = dict(docs.dtypes)
     out = ", ".join([*[f"`{c}` {types[c]}" for c in other], "n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept_bytes binary"])
-    return (docs.join(lists.join(found, "rid", "left"), "rid", "left").select(*other, "text", "repeated", "opened", "strings")
+    return (docs.join(lists, "rid", "left").select(*other, "text", "repeated", "opened")
             .mapInArrow(_cut(length, other), out))
