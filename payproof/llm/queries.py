@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payproof.llm import bpe, minhash, quality, substrings, suffixes
+from payproof.llm import bpe, minhash, mixing, quality, substrings, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,6 +76,29 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op5_curriculum_mix", """
+WITH docs AS (
+  SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
+         coalesce(md5(CAST(doc_id AS VARCHAR)), '') AS turn FROM documents
+), sources AS (
+  SELECT source, sum(size) AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight, row_number() OVER (ORDER BY source NULLS LAST) AS rank
+  FROM docs GROUP BY source
+), levels AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER w, 0)) / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS DOUBLE) AS level
+  FROM sources WINDOW w AS (ORDER BY 3 * source_size / CAST(weight AS DOUBLE), rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), shares AS (
+  SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), coalesce(weight * (
+    SELECT arg_min(level, 3 * source_size / CAST(weight AS DOUBLE)) FROM levels WHERE level * weight <= 3 * source_size), 0)) AS target FROM sources
+), placed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY turn, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin FROM docs
+)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+       CAST(list_sum([greatest(0, least(size, CAST(round(target) AS BIGINT) - p * source_size - begin)) FOR p IN [0, 1, 2]]) AS BIGINT) AS taken
+FROM placed JOIN shares ON placed.source IS NOT DISTINCT FROM shares.source""")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.plan(table(spark, folder, "documents"), ["doc_id"]).drop("passes")
+
+
 @query("op6_quality_rules")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judged(table(spark, folder, "documents").select("doc_id", "text"))
