@@ -1,13 +1,16 @@
 """The registered queries of this package: each a thin digest of what its operator returns, over whole tables."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payproof.llm import bpe, embeddings, minhash, mixing, quality, rules, substrings, suffixes
+from payproof.scale import shared_folder
+from payproof.llm import bpe, embeddings, minhash, mixing, packing, quality, rollups, rules, substrings, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,6 +79,30 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+PLAIN_VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+END = 50256                                                    # free in that vocabulary
+
+
+def _library_encoder(content: bytes, pattern: str):
+    """The tokenizer library, made once in each worker."""
+    def make():
+        import tiktoken
+        if content not in _ENCODERS:
+            _ENCODERS[content] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=bpe.read_ranks(content), special_tokens={})
+        return _ENCODERS[content].encode_ordinary
+    return make
+
+
+_ENCODERS: dict = {}
+
+
+@query("op4_packed_rows")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """The packed rows themselves."""
+    encoder = _library_encoder(Path(PLAIN_VOCABULARY).read_bytes(), public_tokenizers.PATTERN)
+    return packing.pack(table(spark, folder, "documents"), encoder, END)
+
+
 @query("op5_curriculum_mix", """
 WITH docs AS (
   SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
@@ -133,3 +160,30 @@ FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) c ON
 JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = e.vec_id""")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query("op10_token_rollups", """
+WITH counted AS (
+  SELECT doc_id, source, lang, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS words,
+         CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS bytes, doc_id > min(doc_id) OVER (PARTITION BY md5(text)) AND text IS NOT NULL AS copy FROM documents
+)
+SELECT source, lang, 'words-2' AS version, count(*) AS docs, CAST(sum(words) AS BIGINT) AS tokens FROM counted WHERE NOT copy GROUP BY ALL
+UNION ALL SELECT source, lang, 'bytes-1', count(*), CAST(sum(bytes) AS BIGINT) FROM counted WHERE NOT copy GROUP BY ALL""")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Four batches over all documents, the second of them twice: counts of bytes and a first count of words (line ends not taken for
+    spaces); revised word counts under the next version, the first version taken out; copies of earlier documents deleted."""
+    docs = table(spark, folder, "documents").where("doc_id IS NOT NULL")
+    counted = docs.select("doc_id", "source", "lang", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), mixing.words_in(F.col("text")).alias("words"),
+                          F.size(F.split(F.coalesce("text", F.lit("")), " ")).cast("long").alias("rough"), F.md5("text").alias("content"))
+    rollup = rollups.Rollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    counted = rollups.written(rollup, "counted", counted)
+    event = lambda rows, version, kind, tokens: rows.select("doc_id", "source", "lang", F.lit(version).alias("version"), F.lit(kind).alias("kind"), F.col(tokens).alias("tokens"))
+    first = event(counted, "bytes-1", "insert", "bytes").union(event(counted, "words-1", "insert", "rough"))
+    second = event(counted, "words-1", "delete", "rough").union(event(counted, "words-2", "insert", "rough"))
+    third = event(counted, "words-2", "revise", "words")
+    lowest = counted.where("content IS NOT NULL").groupBy("content").agg(F.min("doc_id").alias("lowest"))
+    copies = counted.join(lowest, "content").where("doc_id > lowest")
+    fourth = event(copies, "words-2", "delete", "words").union(event(copies, "bytes-1", "delete", "bytes"))
+    for number, events in ((1, first), (2, second), (2, second), (3, third), (4, fourth), (3, third)):
+        rollup.commit(number, events)
+    return rollup.totals()
