@@ -169,26 +169,26 @@ def coder(content: bytes, pattern: str) -> Coder:
     return _coders[key]
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, check: bool = False) -> DataFrame:
-    """Every text of docs (doc_id, text) as token ids: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers). With
+def encode(docs: DataFrame, vocabulary: str, pattern: str, check: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """Every text of docs (doc_id, text) as token ids: doc_id (or the columns `keep`), n_tokens, ids (little-endian unsigned 32-bit integers). With
     `check`, also decoded: the bytes that the ids give.
 
     A null text is an empty one; an empty text has no ids. Strings that look like special tokens are ordinary text. Every row
     gives a row, whatever its doc_id; an empty table gives an empty result; other columns are ignored. `vocabulary` is
     the path of a rank file, read by the driver and sent with the tasks (a fixed size)."""
     content = Path(vocabulary).read_bytes()
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    names = ["doc_id", "n_tokens", "ids", *["decoded"] * check]
+    docs = docs.select(F.struct(*keep or ["doc_id"]).alias("row"), F.col("text").cast("string").alias("text"))
+    names = ["row", "n_tokens", "ids", *["decoded"] * check]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(content, pattern)
         for batch in small(batches):
             ids = [c.encode(t.decode()) for t in texts(batch)]
-            cols = [batch.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
+            cols = [batch.column("row"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
             if check:
                 cols.append(pa.array([c.decode(i) for i in ids], pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, names=names)
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids binary{', decoded binary' * check}")
+    return docs.mapInArrow(run, f"row {dict(docs.dtypes)['row']}, n_tokens long, ids binary{', decoded binary' * check}").select("row.*", *names[1:])
 
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:

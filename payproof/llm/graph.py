@@ -26,9 +26,9 @@ def components(steps: Steps, edges: DataFrame) -> DataFrame:
         both = now.where("u <> v").union(now.where("u <> v").select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = steps.write(large)
+        large = steps.write(large, tidy=False)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = steps.write(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).where("u <> v").distinct())
+        small = steps.write(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).where("u <> v").distinct(), tidy=False)
         steps.drop(now, large)
         now, seen, state = small, state, _contents(small)
     return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -133,8 +133,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     left, right = (rows.select("band", "h", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "component")]) for s in "ab")
     apart = (left.join(right, ["band", "h"]).where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & near(F.col("n_a"), F.col("n_b")))
              .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    links = steps.write(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_verified(steps, apart, classes, docs, words, percent)))
-    part = components(steps, links)
+    late = steps.write(_verified(steps, apart, classes, docs, words, percent))
+    if not late.isEmpty():
+        part = components(steps, part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
     return (sets.select("doc_id", "n_shingles").join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))

@@ -15,7 +15,7 @@ class Steps:
 
     `drop` removes tables that later steps don't read; the others go when the session ends. After each write the
     driver is asked to collect garbage: Spark deletes the shuffle files of a finished step only when the driver's
-    objects for them are gone, and the next step needs the room on the executors' disks."""
+    objects for them are gone, and the next step needs the room on the executors' disks. (Not with tidy=False, for small steps.)"""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
@@ -24,15 +24,16 @@ class Steps:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, tidy: bool = True) -> DataFrame:
         where = f"{shared_folder(self.spark)}/llm-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(where)
         path, store = self._path(where)
         store.deleteOnExit(path)
         table = self.spark.read.schema(df.schema).parquet(where)
         self.paths[id(table)] = (table, where)
-        gc.collect()
-        self.spark._jvm.System.gc()
+        if tidy:
+            gc.collect()
+            self.spark._jvm.System.gc()
         return table
 
     def drop(self, *tables: DataFrame) -> None:

@@ -185,7 +185,7 @@ def _spans(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(length: int, other: list[str]):
+def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             repeated, opened = (batch.column(c).to_pylist() for c in ("repeated", "opened"))
@@ -205,9 +205,9 @@ def _cut(length: int, other: list[str]):
                 ends = [0, *[e for _, e in ss]]
                 kept.append(b"".join(t[a:s] for a, s in zip(ends, [*[s for s, _ in ss], len(t)], strict=True)) if ss else t)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in other], pa.array([len(t) for t in own_texts], pa.int64()), pa.array([sum(e - s for s, e in ss) for ss in spans], pa.int64()),
+                [batch.column("row"), pa.array([len(t) for t in own_texts], pa.int64()), pa.array([sum(e - s for s, e in ss) for ss in spans], pa.int64()),
                  pa.array([[{"start": s, "end": e} for s, e in ss] for ss in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                 pa.array(kept, pa.binary())], names=[*other, "n_bytes", "n_removed", "spans", "kept_bytes"])
+                 pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())], names=["row", "n_bytes", "n_removed", "spans", "kept_bytes", "kept_text"])
     return run
 
 
@@ -218,13 +218,27 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Strings are judged on the texts as given; all places of a repeated string go. A null text is an empty one.
     Null and repeated doc_ids are fine: every row's text counts. An empty table gives an empty result; other columns are
     ignored."""
-    return _removed(docs.select("doc_id", F.col("text").cast("string").alias("text")), ["doc_id"], length)
+    return _removed(docs.select(F.struct("doc_id").alias("row"), "doc_id", F.col("text").cast("string").alias("text")), length).select("row.*", "n_bytes", "n_removed", "spans", "kept_bytes")
 
 
-def _removed(docs: DataFrame, other: list[str], length: int) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with what `remove_repeats` leaves of their texts, all columns kept. Of a character that a removal cut the rest goes too;
+    n_chars, if there is such a column, counts what is left where something went. Texts of which only white space is left go, unless
+    they were so before."""
+    left = _removed(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"), length)
+    shorter = F.col("n_removed") > 0
+    out = left.where(~shorter | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
+    fresh = {"text": F.when(shorter, F.col("kept_text")).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        fresh["n_chars"] = F.when(shorter, F.char_length("kept_text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[(fresh[c] if c in fresh else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def _removed(docs: DataFrame, length: int) -> DataFrame:
+    """From (row, doc_id, text): row, n_bytes, n_removed, spans, kept_bytes, kept_text."""
     steps = Steps(docs.sparkSession)
     # equal rows share a rid; all that is joined on it below is true of a string wherever it stands
-    docs = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
+    docs = docs.select("row", F.xxhash64("doc_id", "text").alias("rid"), "text")
     full = docs.where(F.octet_length("text") >= length).select("rid", "text")
     key = ["core", "s1", "s2"]
     repeated, opened = [], []
@@ -245,7 +259,5 @@ def _removed(docs: DataFrame, other: list[str], length: int) -> DataFrame:
     gather = lambda tables, name: reduce(DataFrame.union, tables).groupBy("rid").agg(F.collect_set("s1").alias(name))
     lists = steps.write(gather(repeated, "repeated").join(gather(opened[:2], "opened"), "rid", "left"))
     steps.drop(*repeated, *opened)
-    types = dict(docs.dtypes)
-    out = ", ".join([*[f"`{c}` {types[c]}" for c in other], "n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept_bytes binary"])
-    return (docs.join(lists, "rid", "left").select(*other, "text", "repeated", "opened")
-            .mapInArrow(_cut(length, other), out))
+    out = f"row {dict(docs.dtypes)['row']}, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept_bytes binary, kept_text string"
+    return docs.join(lists, "rid", "left").select("row", "text", "repeated", "opened").mapInArrow(_cut(length), out)
