@@ -1,0 +1,14 @@
+import sys
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+from helpers_llm import DOCS, rows_of  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    """A table of documents from texts: with extra columns whose names operators use inside or in results."""
+    return lambda texts, ids=None: spark.createDataFrame(rows_of(texts, ids), DOCS).repartition(3, F.col("doc_id"))
