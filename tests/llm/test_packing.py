@@ -6,8 +6,14 @@ from pyspark.sql import functions as F
 from payproof.llm import packing
 
 
-def letters():
-    return lambda t: np.array([ord(c) for c in t], np.uint32)
+def _letters():
+    def letters():                                             # sent to the workers whole, as this module isn't there
+        import numpy
+        return lambda t: numpy.array([ord(c) for c in t], numpy.uint32)
+    return letters
+
+
+letters = _letters()
 
 
 def test_best_fit_equals_a_search():

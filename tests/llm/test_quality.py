@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -54,7 +55,8 @@ def brute(texts):
 
 def prose(n):
     words = "river stone under light while many small boats cross toward quiet harbour towns before evening".split()
-    return [" ".join(words[(i * 7 + j * j) % 14] + "," * (j % 9 == 0) for j in range(120)) for i in range(n)]
+    rnd = random.Random(3)
+    return [" ".join(rnd.choice(words) + "," * (j % 9 == 0) for j in range(120)) for _ in range(n)]
 
 
 def test_equals_brute_force(docs):
