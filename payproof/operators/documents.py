@@ -23,20 +23,20 @@ AMOUNT_AT_END = r"(\d[\d,]{0,20}\.\d{2})\s*$"
 
 
 def _agreed(lines: DataFrame) -> DataFrame:
-    t, short = F.col("body"), F.left("body", F.lit(1000))
+    t = F.col("body")
     return (records(lines, "CONTRACT")
             .select("dataset_id", "vendor_key", F.col("line_number").alias("contract_line"), t.rlike(EXCLUDED).alias("excludes"),
-                    F.regexp_extract(short, RATE_AGREED, 1).alias("agreed"), t.rlike(AUTO_RENEWS).alias("renews"),
+                    F.regexp_extract(t, RATE_AGREED, 1).alias("agreed"), t.rlike(AUTO_RENEWS).alias("renews"),
                     F.try_to_date(F.regexp_extract(t, ENDS_ON, 1), "yyyy-M-d").alias("ends")))
 
 
 def _billed(lines: DataFrame) -> DataFrame:
-    t, short = F.col("body"), F.left("body", F.lit(1000))
+    t = F.col("body")
     return (records(lines, "INVOICE")
             .select("dataset_id", "vendor_key", "line_number", "ref", "vendor",
-                    money.parse_amount(F.regexp_extract(F.right(t, F.lit(60)), AMOUNT_AT_END, 1)).alias("amount"),
-                    F.contains(F.lower(t), F.lit("surcharge")).alias("surcharge"), F.regexp_extract(short, RATE_BILLED, 1).alias("billed"),
-                    F.regexp_extract(short, HOURS, 1).alias("hours"), t.rlike(NO_NOTICE).alias("no_notice"),
+                    money.parse_amount(F.regexp_extract(t, AMOUNT_AT_END, 1)).alias("amount"),
+                    F.contains(F.lower(t), F.lit("surcharge")).alias("surcharge"), F.regexp_extract(t, RATE_BILLED, 1).alias("billed"),
+                    F.regexp_extract(t, HOURS, 1).alias("hours"), t.rlike(NO_NOTICE).alias("no_notice"),
                     F.try_to_date(F.regexp_extract(t, SERVICE, 2), "yyyy-M-d").alias("service_end")))
 
 

@@ -69,7 +69,7 @@ def accept_external(proposed: DataFrame, lines: DataFrame, policy: DataFrame) ->
     severity falls back to Medium, and of repeats on a line and clause the most severe stays."""
     sev = F.initcap(text.strip(F.col("severity")))
     rank = F.array_position(F.array(*[F.lit(s) for s in S.SEVERITIES]), F.col("severity"))
-    title = F.left(text.strip(F.col("title")), F.lit(300))
+    title = text.strip(F.col("title"))
     kept = (proposed.withColumn("line_number", text.line_no(F.col("line_text"))).where("line_number IS NOT NULL")
             .join(policy.select("clause", "area"), ["clause", "area"], "left_semi")
             .join(lines.where(~text.is_blank(F.col("text"))).withColumnRenamed("text", "evidence"), [*FILE, "line_number", "evidence"], "left_semi")

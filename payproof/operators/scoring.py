@@ -10,38 +10,37 @@ RUN = ["dataset_id", "engine"]
 
 
 def key_lines(key: DataFrame) -> DataFrame:
-    """(dataset_id, id, expect, source_file, line): every line a key row stands on."""
-    return key.select("dataset_id", "id", "expect", "source_file",
+    """(dataset_id, id, position, expect, source_file, line): every line a key row stands on; `position` is the row's place in the key."""
+    return key.select("dataset_id", "id", "position", "expect", "source_file",
                       F.explode(F.array_distinct(F.array_compact(F.array("line_number", "related_line")))).alias("line"))
 
 
 def matches(runs: DataFrame, key: DataFrame) -> DataFrame:
-    """(run, finding, key id, expect, own): findings and key rows of one file with a line in common; `own` when it is
+    """(run, finding, key id, its position, expect, own): findings and key rows of one file with a line in common; `own` when it is
     the finding's own line."""
     cited = runs.select(*RUN, "finding", "source_file", "verdict", "reason", F.explode(F.array_compact(F.array(
         F.struct(F.col("line_number").alias("line"), F.lit(True).alias("own")),
         F.when(F.col("related_line").isNotNull(), F.struct(F.col("related_line").alias("line"), F.lit(False).alias("own")))))).alias("c"))
     return (cited.select(*RUN, "finding", "source_file", "verdict", F.col("c.line").alias("line"), F.col("c.own").alias("own"))
             .join(key_lines(key), ["dataset_id", "source_file", "line"])
-            .groupBy(*RUN, "finding", "id", "expect").agg(F.bool_or("own").alias("own"), F.first("verdict").alias("verdict")))
+            .groupBy(*RUN, "finding", "id", "position", "expect").agg(F.bool_or("own").alias("own"), F.first("verdict").alias("verdict")))
 
 
-def credit(pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def credit(pairs: DataFrame) -> DataFrame:
     """(run, finding, id): each finding is credited to at most one key row, its own line's first, else the first not
-    yet found, findings taken in order.
+    yet found in the key's order, findings taken in order.
 
     Findings propose to the row they like best, a row keeps the earliest finding, and refused findings go on to their
     next: with rows that all prefer earlier findings this ends in exactly the one-by-one result, while every round is
     a grouped minimum over the whole cluster."""
-    open_ = checkpointed(pairs.select(*RUN, "finding", "id", (~F.col("own")).alias("far")))
-    for _ in range(max_rounds):
-        wish = open_.groupBy(*RUN, "finding").agg(F.min(F.struct("far", "id")).getField("id").alias("id"))
+    open_ = checkpointed(pairs.select(*RUN, "finding", "id", "position", (~F.col("own")).alias("far")))
+    while True:
+        wish = open_.groupBy(*RUN, "finding").agg(F.min(F.struct("far", "position", "id")).getField("id").alias("id"))
         winner = wish.groupBy(*RUN, "id").agg(F.min("finding").alias("winner"))
         refused = checkpointed(wish.join(winner, [*RUN, "id"]).where("finding <> winner").select(*RUN, "finding", "id"))
         if refused.isEmpty():
             return wish
         open_ = checkpointed(open_.join(refused, [*RUN, "finding", "id"], "left_anti"))
-    raise RuntimeError("crediting did not settle")
 
 
 def scores(runs: DataFrame, key: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def files_from_lines(lines: DataFrame, kinds: list[str]) -> tuple[Files, DataFra
         if kind.endswith(".txt"):
             typed[kind] = mine
             continue
-        plain = reports.tidied(reports.join_broken(reports.to_commas(mine)))
+        plain = reports.tidied(reports.to_commas(reports.join_broken(mine)))
         heads = headers.auto_matched(headers.headers(plain))
         report = heads if report is None else report.unionByName(heads)
         typed[kind] = tables.typed(plain, heads.where("checked"), kind)

@@ -324,12 +324,12 @@ SELECT 'D' || CAST(o_custkey % 8 AS STRING) AS dataset_id, o_orderkey AS seq, CA
 FROM {orders}"""
 
 ANSWER_KEY = f"""
-SELECT dataset_id, 'K-' || CAST(finding AS STRING) AS id, clause, area, source_file, line_number, related_line,
+SELECT dataset_id, 'K-' || CAST(finding AS STRING) AS id, finding AS position, clause, area, source_file, line_number, related_line,
        CASE WHEN finding % 12 = 0 THEN 'TRAP (instalments) paid in parts' WHEN finding % 12 = 4 THEN 'TRAP (discount) early payment' ELSE title END AS description,
        CASE WHEN finding % 12 IN (0, 4) THEN 'trap' ELSE 'problem' END AS expect
 FROM ({FINDINGS}) WHERE finding % 5 < 2
 UNION ALL
-SELECT dataset_id, 'M-' || claim_id, '6.9', 'Expenses', source_file, line_number, CAST(NULL AS BIGINT), 'Missed ' || claim_id, CASE WHEN line_number % 2 = 0 THEN 'trap' ELSE 'problem' END
+SELECT dataset_id, 'M-' || claim_id, 4000000000000 + line_number, '6.9', 'Expenses', source_file, line_number, CAST(NULL AS BIGINT), 'Missed ' || claim_id, CASE WHEN line_number % 2 = 0 THEN 'trap' ELSE 'problem' END
 FROM ({EXPENSES}) WHERE line_number % 29 = 4"""
 
 # three engines over the same data; each proposes its own part of the findings

@@ -58,8 +58,6 @@ def _one_line_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 register("src_limits", lambda spark, folder: lines.long_line_notes(_one_line_documents(spark, folder), "source_file"),
          "SELECT source AS source_file, count(*) AS cut_lines, min(doc_id) AS first_cut FROM documents WHERE length(text) > 4000 GROUP BY source")
-register("src_limits_cut", lambda spark, folder: lines.cut_long(_one_line_documents(spark, folder)).select("line_number", F.md5("text").alias("text_md5")),
-         "SELECT doc_id AS line_number, md5(substr(replace(text, chr(10), ' '), 1, 4000)) AS text_md5 FROM documents")
 
 # ---------------------------------------------------------------- files in several dialects
 # by dataset: commas and ISO dates; semicolons, d/m/y and decimal commas; tabs and m/d/y; commas with values broken over two lines
@@ -89,27 +87,33 @@ WITH p AS (SELECT *, CAST(substr(dataset_id, 2) AS INT) % 4 AS k, line_number %
 SELECT dataset_id, 'payments.csv' AS source_file, CAST(1 AS BIGINT) AS line_number, CASE k WHEN 1 THEN '{";".join(_COLS)}' WHEN 2 THEN ' Payment-ID{chr(9)}Pay Date{chr(9)}{chr(9).join(_COLS[2:])}'
        ELSE '{",".join(_COLS)}' END AS text FROM (SELECT DISTINCT dataset_id, k FROM p)
 UNION ALL
-SELECT dataset_id, 'payments.csv', line_number, CASE WHEN k = 1 THEN {_row(';', [_dmy('pay_date', _DAY, _MON), _dmy('invoice_date', _DAY, _MON)], [_THOUSAND, _COMMA[1]], 'supplier')}
+SELECT dataset_id, 'payments.csv', line_number, CASE WHEN k = 1 AND broken THEN {" || ';' || ".join(["payment_id", _dmy('pay_date', _DAY, _MON), _dmy('invoice_date', _DAY, _MON)])} || ';"' || substr(supplier, 1, 8)
+       WHEN k = 2 AND broken THEN {f" || '{chr(9)}' || ".join(["payment_id", _dmy('pay_date', _MON, _DAY), _dmy('invoice_date', _MON, _DAY)])} || '{chr(9)}"' || substr(supplier, 1, 8)
+       WHEN k = 1 THEN {_row(';', [_dmy('pay_date', _DAY, _MON), _dmy('invoice_date', _DAY, _MON)], [_THOUSAND, _COMMA[1]], 'supplier')}
        WHEN k = 2 THEN {_row(chr(9), [_dmy('pay_date', _MON, _DAY), _dmy('invoice_date', _MON, _DAY)], _POINT, 'supplier')}
        WHEN k = 3 AND broken THEN payment_id || ',' || {_ISO[0]} || ',' || {_ISO[1]} || ',"' || substr(supplier, 1, 8)
        WHEN k = 3 THEN {_row(',', _ISO, _POINT, "'" + '"' + "' || supplier || '" + '"' + "'")}
        ELSE {_row(',', _ISO, _POINT, 'supplier')} END FROM p
 UNION ALL
-SELECT dataset_id, 'payments.csv', line_number + 1, substr(supplier, 9) || '",' || invoice_no || ',' || {_POINT[0]} || ',' || {_POINT[1]} FROM p WHERE k = 3 AND broken"""
+SELECT dataset_id, 'payments.csv', line_number + 1, CASE k WHEN 1 THEN substr(supplier, 9) || '";' || invoice_no || ';' || {_THOUSAND} || ';' || {_COMMA[1]}
+       WHEN 2 THEN substr(supplier, 9) || '"{chr(9)}' || invoice_no || '{chr(9)}' || {_POINT[0]} || '{chr(9)}' || {_POINT[1]}
+       ELSE substr(supplier, 9) || '",' || invoice_no || ',' || {_POINT[0]} || ',' || {_POINT[1]} END FROM p WHERE k IN (1, 2, 3) AND broken"""
 bridge.VIEWS["rawfiles"] = RAWFILES
 _K = "CAST(substr(dataset_id, 2) AS INT) % 4"
-reg("src_delim", lambda r: reports.to_commas(checkpointed(r)).where(F.expr(f"{_K} IN (1, 2)")).select("dataset_id", "line_number", "text"), ["rawfiles"], f"""
-    SELECT dataset_id, line_number, translate(CASE WHEN {_K} = 1 AND line_number > 1 THEN regexp_replace(replace(text, ';', '|'), '(-?[0-9]+,[0-9][0-9])', '"\\1"', 'g') ELSE text END, '|;' || chr(9), ',,,') AS text
-    FROM rawfiles WHERE {_K} IN (1, 2)""")
-reg("src_join_quoted", lambda r: reports.join_broken(checkpointed(r.where(F.expr(f"{_K} = 3")))).select("dataset_id", "line_number", "text"), ["rawfiles"], f"""
+_WHOLE = """
     SELECT a.dataset_id, a.line_number, CASE WHEN b.line_number IS NULL THEN a.text ELSE a.text || ' ' || b.text END AS text
-    FROM (SELECT * FROM rawfiles WHERE {_K} = 3 AND (line_number = 1 OR starts_with(text, 'P-'))) a
-    LEFT JOIN (SELECT * FROM rawfiles WHERE {_K} = 3 AND line_number > 1 AND NOT starts_with(text, 'P-')) b ON b.dataset_id = a.dataset_id AND b.line_number = a.line_number + 1""")
+    FROM (SELECT * FROM rawfiles WHERE line_number = 1 OR starts_with(text, 'P-')) a
+    LEFT JOIN (SELECT * FROM rawfiles WHERE line_number > 1 AND NOT starts_with(text, 'P-')) b ON b.dataset_id = a.dataset_id AND b.line_number = a.line_number + 1"""
+reg("src_delim", lambda r: reports.to_commas(checkpointed(reports.join_broken(checkpointed(r)))).select("dataset_id", "line_number", "text"), ["rawfiles"], f"""
+    SELECT dataset_id, line_number, CASE WHEN {_K} NOT IN (1, 2) THEN text ELSE translate(CASE WHEN {_K} = 1 AND line_number > 1
+      THEN regexp_replace(replace(replace(text, '"', ''), ';', '|'), '(-?[0-9]+,[0-9][0-9])', '"\\1"', 'g') ELSE replace(text, '"', '') END, '|;' || chr(9), ',,,') END AS text
+    FROM ({_WHOLE})""")
+reg("src_join_quoted", lambda r: reports.join_broken(checkpointed(r)).select("dataset_id", "line_number", "text"), ["rawfiles"], _WHOLE)
 
 
 def plain_lines(r: DataFrame) -> DataFrame:
     """Numbered lines are written once and then read by every ingest step."""
-    return checkpointed(reports.join_broken(checkpointed(reports.to_commas(checkpointed(r)))))
+    return checkpointed(reports.to_commas(checkpointed(reports.join_broken(checkpointed(r)))))
 
 
 def _cells(r: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Reports and feeds as registered queries; the streaming job itself is tested in tests/test_streaming.py."""
+"""Reports and feeds as registered queries; the streaming job itself is tested in tests/test_ingest.py."""
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from payproof.operators.findings import union
 from payproof.plans import bridge
 from payproof.plans.registry import o_fmt, register, with_views
 from payproof.plans.reviews import SHADOW, reg
-from payproof.operators import review
+from payproof.operators import evidence, review
 from payproof.scale import checkpointed, shared_folder
 from payproof.sources import headers, lines
 from payproof.streaming import folder
@@ -49,8 +50,12 @@ reg("snk_findings", lambda p, v, e: _report(p, v, e).where("area = 'Expenses'").
     FROM expenses WHERE amount > 25 AND receipt_ref IN ('', 'none') AND category <> 'Mileage'
     UNION ALL SELECT dataset_id, CASE WHEN line_number % 2 = 1 AND NOT EXISTS (SELECT 1 FROM expenses o WHERE o.dataset_id = e.dataset_id AND o.notes = 'Gym membership' AND o.line_number % 2 = 0) THEN 'yes' ELSE '' END, 'Low', '6.3', CAST(amount AS DOUBLE), 'Personal item claimed: gym membership', line_number, text
     FROM expenses e WHERE notes = 'Gym membership'""")
-reg("snk_alert_feed", lambda p, v, e: folder.alert_feed(_report(p, v, e), folder.data_problems(
-    headers.auto_matched(headers.headers(v.limit(0).select("dataset_id", "source_file", "line_number", "text"))))).select("dataset_id", "new_findings", "high", "problems"), _V)
+def _alerts(p: DataFrame, v: DataFrame, e: DataFrame, h: DataFrame) -> DataFrame:
+    heads = headers.auto_matched(headers.headers(h.withColumn("source_file", F.lit("payments.csv"))))
+    return folder.alert_feed(_report(p, v, e), folder.data_problems(heads)).select("dataset_id", "new_findings", "problems")
+
+
+reg("snk_alert_feed", _alerts, [*_V, "file_headers"])
 
 
 def _problems(h: DataFrame) -> DataFrame:
@@ -63,9 +68,14 @@ reg("snk_problems", _problems, ["file_headers"], """
       WHEN 3 THEN 'payment_id, pay_date, invoice_date, supplier, invoice_no, invoice_amount, paid_amount' WHEN 4 THEN 'payment_id, pay_date, invoice_date, invoice_no, invoice_amount, paid_amount'
       WHEN 5 THEN 'payment_id, invoice_date, invoice_amount' ELSE 'payment_id, invoice_date, invoice_no, invoice_amount' END || ' - it was not checked' AS note, count(*) AS files
     FROM file_headers WHERE CAST(substr(dataset_id, 2) AS BIGINT) % 7 <> 0 GROUP BY 1""")
-reg("topk_alert", lambda p, v, e: _report(p, v, e).where("new = 'yes'").orderBy(review.rank_in(F.col("severity"), S.SEVERITIES), "dataset_id", "source_file", "line_number", "clause").limit(10)
-    .select("dataset_id", "clause", "line_number", "title"), _V)
-reg("snk_workbook_tables", lambda f, d, n: review.with_decisions(f, d, SHADOW, n.limit(0).select("dataset_id", F.col("line_number").alias("finding"), F.lit("").alias("warning")))
+
+
+def _top_alerts(p: DataFrame, v: DataFrame, e: DataFrame) -> DataFrame:
+    return folder.first_new(_report(p, v, e), 10).select("dataset_id", "place", "clause", "line_number")
+
+
+reg("topk_alert", _top_alerts, _V)
+reg("snk_workbook_tables", lambda f, d, n: review.with_decisions(f, d, SHADOW, evidence.warned(f, n))
     .groupBy("dataset_id", "decision").agg(F.count("*").alias("findings")), ["findings", "decisions", "lines"], f"""
     SELECT f.dataset_id, CASE WHEN f.clause IN ({', '.join(repr(c) for c in SHADOW)}) THEN 'Shadow (not in review)' ELSE coalesce(d.status, 'Pending') END AS decision, count(*) AS findings
     FROM findings f LEFT JOIN decisions d ON d.dataset_id = f.dataset_id AND d.finding = f.finding GROUP BY ALL""")
@@ -101,9 +111,11 @@ register("snk_state", lambda spark, d: spark.read.parquet(f"{_watch_events(spark
 
 
 def _folder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files of the folder with the dataset and kind their paths say, as the recurring job lists them."""
-    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(sf_dir)
-    return f.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), lines.kind_of(F.col("path")).alias("kind"), (F.col("length") > 0).alias("has_content"))
+    """The tables found in the folder, each read, with the kind their names say."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(sf_dir).select("path").where(F.col("path").rlike(r"/[^/]+\.parquet$"))
+    names = sorted({r["path"].rsplit("/", 1)[1] for r in found.collect()})
+    parts = [spark.read.parquet(f"{sf_dir}/{n}").agg(F.count("*").alias("rows")).select(F.lit(n).alias("file"), lines.kind_of(F.lit(n)).alias("kind"), "rows") for n in names]
+    return reduce(DataFrame.union, parts)
 
 
-register("src_folder", _folder_files, "SELECT * FROM (VALUES " + ", ".join(f"('{t}.parquet', CAST(NULL AS VARCHAR), true)" for t in bridge.TABLES) + ") t(file, kind, has_content)")
+register("src_folder", _folder_files, " UNION ALL ".join(f"SELECT '{t}.parquet' AS file, CAST(NULL AS VARCHAR) AS kind, count(*) AS rows FROM {t}" for t in bridge.TABLES))

@@ -217,7 +217,7 @@ WITH kl AS (SELECT DISTINCT dataset_id, id, expect, source_file, unnest([line_nu
 pl AS (SELECT *, unnest([line_number, related_line]) AS line FROM runs),
 m AS (SELECT p.dataset_id, p.engine, p.finding, k.id, k.expect, bool_or(p.line = p.line_number) AS own, any_value(p.verdict) AS verdict FROM pl p JOIN kl k ON k.dataset_id = p.dataset_id AND k.source_file = p.source_file
       AND k.line = p.line GROUP BY ALL)"""
-reg("sc_match", lambda r, k: scoring.matches(r, k).drop("verdict"), ["runs", "answer_key"], _MATCH + " SELECT dataset_id, engine, finding, id, expect, own FROM m")
+reg("sc_match", lambda r, k: scoring.matches(r, k).drop("verdict", "position"), ["runs", "answer_key"], _MATCH + " SELECT dataset_id, engine, finding, id, expect, own FROM m")
 reg("score_credit", lambda r, k: scoring.credit(scoring.matches(r, k).where("expect <> 'trap'")), ["runs", "answer_key"])
 reg("score_prf", lambda r, k: scoring.scores(r, k).select("dataset_id", "engine", "planted", "proposed", "true_pos", "false_alarms", "precision", "traps", "traps_flagged"), ["runs", "answer_key"], _MATCH + """
     SELECT p.dataset_id, p.engine, k.planted, p.proposed, coalesce(t.true_pos, 0) AS true_pos, p.proposed - coalesce(t.true_pos, 0) AS false_alarms, coalesce(t.true_pos, 0) / p.proposed AS precision,

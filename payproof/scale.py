@@ -79,7 +79,7 @@ def _contents(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast(wide)), F.sum(F.xxhash64("v", F.lit(1), "u").cast(wide))).first())
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph as (node, component), the component named by its smallest node.
 
     The alternating large-star / small-star method: each round is one or two groupBys, rounds grow with the logarithm
@@ -89,7 +89,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
     e = e.where("u <> v")
     state = _contents(e)
-    for _ in range(max_rounds):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: a node hands its larger neighbours to its smallest neighbour (or itself)
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -104,8 +104,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         e = new
         if state == seen:
             break
-    else:
-        raise RuntimeError("components did not settle")
     return (nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left")
             .select("node", F.coalesce("component", "node").alias("component")))
 

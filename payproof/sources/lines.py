@@ -1,7 +1,9 @@
 """Files to exact numbered lines."""
 from __future__ import annotations
 
+import codecs
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,37 +19,47 @@ STEMS = {"payments": "payments.csv", "approvals": "approvals.csv", "vendors": "v
          "expenses": "expenses.csv", "invoices": "invoices.txt", "payment_run": "payment_run.csv", "bank_statement": "bank_statement.csv"}
 
 
-def _utf16_without_mark(raw: bytes) -> str | None:
-    """UTF-16 text has a zero in nearly every other byte; which half tells the byte order."""
-    even, odd = raw[:4000:2], raw[1:4000:2]
-    if len(raw[:4000]) < 8:
-        return None
-    for zeros, rest, codec in ((odd, even, "utf-16-le"), (even, odd, "utf-16-be")):
-        n = zeros.count(0)
-        if n > 0.4 * len(zeros) and 10 * rest.count(0) < n:
-            return codec
-    return None
+def _zeros_at(first: int) -> Callable[[bytes], float]:
+    """Western text in UTF-16 has a zero in nearly every second byte, from the first or from the second on."""
+    def score(raw: bytes) -> float:
+        zeros, others = raw[first::2], raw[1 - first::2]
+        return 4 if len(raw) >= 8 and zeros.count(0) > 0.4 * len(zeros) and 10 * others.count(0) < zeros.count(0) else 0
+    return score
 
 
-def decode_bytes(raw: bytes) -> str:
-    """Text of one file: UTF-16, UTF-8, Shift-JIS when all of its foreign runs read as Japanese, else Windows-1252."""
-    if raw.startswith((b"\xff\xfe", b"\xfe\xff")):
-        return raw.decode("utf-16", "replace")
-    codec = _utf16_without_mark(raw)
-    if codec:
-        return raw.decode(codec, "replace")
-    try:
-        return raw.decode("utf-8-sig")
-    except UnicodeDecodeError:
-        western = raw.decode("cp1252", "replace")
-    if all(WESTERN.fullmatch(run) for run in FOREIGN_RUN.findall(western)):
-        return western
+def _decodes(codec: str, raw: bytes) -> str | None:
     try:
-        japanese = raw.decode("cp932")
+        return raw.decode(codec)
     except UnicodeDecodeError:
-        return western
-    runs = FOREIGN_RUN.findall(japanese)
-    return japanese if runs and all(JAPANESE.fullmatch(run) for run in runs) else western
+        return None
+
+
+def _all_runs(pattern: re.Pattern, content: str | None) -> bool:
+    runs = FOREIGN_RUN.findall(content or "")
+    return bool(runs) and all(pattern.fullmatch(run) for run in runs)
+
+
+#: Codecs a file may have, and how well all of its bytes speak for each.
+CODECS: dict[str, Callable[[bytes], float]] = {
+    "utf-16": lambda raw: 5 if raw.startswith((codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)) else 0,
+    "utf-16-le": _zeros_at(1),
+    "utf-16-be": _zeros_at(0),
+    "utf-8-sig": lambda raw: 3 if _decodes("utf-8-sig", raw) is not None else 0,
+    "cp1252": lambda raw: 2 if _all_runs(WESTERN, raw.decode("cp1252", "replace")) else 0.5,
+    "cp932": lambda raw: 1 if _all_runs(JAPANESE, _decodes("cp932", raw)) else 0,
+}
+
+
+def decode_bytes(raw: bytes) -> str:
+    """Text of one file, by the codec that its content speaks for most; the first of equals."""
+    best, most = "cp1252", 0.0
+    for codec, score in CODECS.items():          # the scores fall from codec to codec, so most files are judged early
+        got = score(raw)
+        if got > most:
+            best, most = codec, got
+        if most >= 2:
+            break
+    return raw.decode(best, "replace")
 
 
 def _decode_batches(batches):
@@ -93,13 +105,9 @@ def one_per_slot(files: DataFrame) -> DataFrame:
     return files.join(best, key).withColumn("kept", F.col("path") == F.col("kept_path"))
 
 
-def cut_long(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("text", F.left("text", F.lit(S.MAX_LINE_CHARS)))
-
-
 def long_line_notes(lines: DataFrame, *keys: str) -> DataFrame:
-    """Per file: how many lines were cut, and the first of them."""
-    return (lines.where(F.length("text") > S.MAX_LINE_CHARS).groupBy(*keys)
+    """Per file: how many lines are longer than the reader of a report expects, and the first of them. They are checked whole."""
+    return (lines.where(F.length("text") > S.LONG_LINE_CHARS).groupBy(*keys)
             .agg(F.count("*").alias("cut_lines"), F.min("line_number").alias("first_cut")))
 
 

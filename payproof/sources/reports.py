@@ -38,8 +38,14 @@ def separators(lines: DataFrame) -> DataFrame:
     return first.select(*FILE, sep.alias("sep"))
 
 
+def _cells(line: Column, sep: Column) -> Column:
+    """Cells of a line in its file's own separator."""
+    return F.when(sep == "\t", csvtext.cells(line, "\t")).when(sep == ";", csvtext.cells(line, ";")).otherwise(csvtext.cells(line))
+
+
 def to_commas(lines: DataFrame) -> DataFrame:
-    """Tab and semicolon files as comma-separated lines."""
+    """Tab and semicolon files as comma-separated lines. Values broken over lines are joined before, while their quotes are
+    those of the file."""
     x = lines.join(separators(lines), FILE)
     stray = csvtext.quote_count(F.col("text")) % 2 == 1
 
@@ -54,20 +60,22 @@ def join_broken(lines: DataFrame) -> DataFrame:
 
     A line with an odd number of quotes opens or closes such a value. Whether an odd line can be joined with the next
     odd one depends on those two alone, so joins are the first, third, fifth ... of each run of joinable odd lines:
-    found by counting, not by walking the file. Lines that were joined to others go; numbers stay."""
+    found by counting, not by walking the file. Lines that were joined to others go; numbers stay. The file keeps its
+    separator."""
     odd = lines.where(csvtext.quote_count(F.col("text")) % 2 == 1)
-    top = lines.groupBy(*FILE).agg(F.min(F.struct("line_number", "text")).alias("top")) \
-        .select(*FILE, F.col("top.line_number").alias("header_line"), F.size(csvtext.cells(F.col("top.text"))).alias("width"))
+    top = lines.groupBy(*FILE).agg(F.min(F.struct("line_number", "text")).alias("top")).join(separators(lines), FILE) \
+        .select(*FILE, "sep", F.col("top.line_number").alias("header_line"), F.size(_cells(F.col("top.text"), F.col("sep"))).alias("width"))
     odd = running(odd.join(top, FILE).where("line_number > header_line"), FILE, [("_blk", line_block(F.col("line_number")))], [F.col("line_number")], {"nth": F.lit(1)})
     ends = odd.select(*FILE, (F.col("nth") - 1).alias("nth"), F.col("line_number").alias("end"))
-    opens = odd.where(F.col("text").rlike(r'(?:^|,)\s*"')).select(*FILE, "nth", "line_number", "width").join(ends, [*FILE, "nth"]) \
+    opening = F.col("text").rlike(r'^\s*"') | F.when(F.col("sep") == "\t", F.col("text").rlike(r'\t\s*"')).when(F.col("sep") == ";", F.col("text").rlike(r';\s*"')).otherwise(F.col("text").rlike(r',\s*"'))
+    opens = odd.where(opening).select(*FILE, "sep", "nth", "line_number", "width").join(ends, [*FILE, "nth"]) \
         .where(F.col("end") - F.col("line_number") <= JOIN_LINES)
-    pieces = (opens.select(*FILE, "nth", F.col("line_number").alias("start"), "width", F.explode(F.sequence("line_number", "end")).alias("line_number"))
+    pieces = (opens.select(*FILE, "sep", "nth", F.col("line_number").alias("start"), "width", F.explode(F.sequence("line_number", "end")).alias("line_number"))
               .join(lines.select(*FILE, "line_number", "text"), [*FILE, "line_number"]))
-    after = F.min(F.when(F.col("line_number") == F.col("start") + 1, F.size(csvtext.cells(F.col("text")))))
+    after = F.min(F.when(F.col("line_number") == F.col("start") + 1, F.size(_cells(F.col("text"), F.col("sep")))))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "text"))), lambda p: p["text"]), " ")
-    good = (pieces.groupBy(*FILE, "nth", "start", "width").agg(whole.alias("joined"), after.alias("next_width"), F.max("line_number").alias("end"))
-            .where((F.size(csvtext.cells(F.col("joined"))) == F.col("width")) & (F.coalesce("next_width", F.lit(-1)) != F.col("width"))))
+    good = (pieces.groupBy(*FILE, "sep", "nth", "start", "width").agg(whole.alias("joined"), after.alias("next_width"), F.max("line_number").alias("end"))
+            .where((F.size(_cells(F.col("joined"), F.col("sep"))) == F.col("width")) & (F.coalesce("next_width", F.lit(-1)) != F.col("width"))))
     state = odd.select(*FILE, "nth").join(good.select(*FILE, "nth", F.lit(True).alias("good")), [*FILE, "nth"], "left")
     runs = latest(state.withColumn("gap", F.when(F.col("good").isNull(), F.col("nth"))), "gap", "nth", tuple(FILE))
     taken = (runs.where(F.col("good").isNotNull() & ((F.col("nth") - F.coalesce("gap_at", F.lit(-1)) - 1) % 2 == 0))
@@ -146,7 +154,7 @@ def classified(lines: DataFrame) -> DataFrame:
     last_row = x.where(body & (F.col("filled") >= 2)).groupBy(*FILE).agg(F.max("line_number").alias("last_row"))
     named = (x.where("heading").select(*FILE, F.lower("first").alias("group_name"), "line_number").groupBy(*FILE, "group_name")
              .agg(F.min("line_number").alias("named_at")))
-    x = (x.join(last_row, FILE, "left").withColumn("group_name", F.when(F.lower("first").startswith("total "), F.btrim(F.substring(F.lower("first"), 7, 4000))))
+    x = (x.join(last_row, FILE, "left").withColumn("group_name", F.when(F.lower("first").startswith("total "), F.btrim(F.expr("substring(lower(first), 7)"))))
          .join(named, [*FILE, "group_name"], "left"))
     kind = (F.when(F.col("line_number") < F.col("header_line"), "title").when(F.col("line_number") == F.col("header_line"), "header")
             .when(F.col("line_number") > F.coalesce("last_row", F.lit(0)), F.when(F.col("filled") > 0, "footer").otherwise("blank"))
@@ -154,10 +162,14 @@ def classified(lines: DataFrame) -> DataFrame:
             .when((F.col("first") != "") & (total | (F.col("named_at") < F.col("line_number"))), "total").otherwise("row"))
     x = x.withColumn("kind", kind).withColumn("event", F.when(F.col("kind").isin("heading", "total"), F.col("line_number")))
     x = latest(checkpointed(x), "event", keys=tuple(FILE))
-    events = x.where("kind = 'heading'").select(*FILE, F.col("line_number").alias("event_at"), F.left("first", F.lit(200)).alias("under"))
+    events = x.where("kind = 'heading'").select(*FILE, F.col("line_number").alias("event_at"), F.col("first").alias("under"))
     return x.join(events, [*FILE, "event_at"], "left").select(*lines.columns, "cells", "filled", "first", "header_line", "kind", "under", "name_alone")
 
 
+def _rest(cells: str) -> Column:
+    return F.slice(cells, F.lit(2), F.size(cells))
+
+
 def tidied(lines: DataFrame) -> DataFrame:
     """Report-style files as plain tables: titles, totals and footers dropped, group headings written into the first
     column. A file with its column names on the first line, a name in the first column, is returned as it is."""
@@ -172,10 +184,10 @@ def tidied(lines: DataFrame) -> DataFrame:
     first_head = text.strip(F.element_at("head", 1))
     report = (F.size("head") >= 3) & ((F.col("header_line") > F.col("start")) | ((first_head == "") & F.col("has_headings")))
     grouped = (first_head == "") | (is_name(F.element_at("head", 1)) & F.col("has_headings"))
-    own_names = F.exists(F.slice("head", 2, 1000), is_name)
+    own_names = F.exists(_rest("head"), is_name)
     fill = grouped & ~own_names & (F.col("first") == "") & F.col("under").isNotNull()
-    filled = csvtext.to_line(F.concat(F.array("under"), F.slice("cells", 2, 100_000)))
-    new_head = csvtext.to_line(F.when((first_head == "") & F.col("has_headings") & ~own_names, F.concat(F.array(F.lit("Vendor")), F.slice("head", 2, 100_000))).otherwise(F.col("head")))
+    filled = csvtext.to_line(F.concat(F.array("under"), _rest("cells")))
+    new_head = csvtext.to_line(F.when((first_head == "") & F.col("has_headings") & ~own_names, F.concat(F.array(F.lit("Vendor")), _rest("head"))).otherwise(F.col("head")))
     out = F.when(~report, F.col("text")).when(F.col("kind") == "header", new_head).when(fill, filled).otherwise(F.col("text"))
     return x.where(~report | F.col("kind").isin("header", "row")).select(*[c for c in lines.columns if c != "text"], out.alias("text"))
 

@@ -53,15 +53,14 @@ def latest(df: DataFrame, value: str, at: str = "line_number", keys: tuple[str,
 
 
 def _features(lines: DataFrame) -> DataFrame:
-    """What each line of invoice text says, read from its first 400 characters as fields sit at the start of lines."""
-    t = F.col("short")
+    """What each line of invoice text says."""
+    t = F.col("text")
 
     def found(pattern: str, i: int = 1) -> Column:
         return F.nullif(F.regexp_extract(t, pattern, i), F.lit(""))
     number = text.strip(F.concat(F.regexp_extract(t, INVOICE_NO, 1), F.regexp_extract(t, INVOICE_NO, 2)))
     bank = F.coalesce(F.regexp_replace(found(IBAN), "[^0-9A-Za-z]", ""), F.regexp_replace(found(BANK), r"\D", ""))
-    return (lines.withColumn("short", F.left("text", F.lit(S.INVOICE_LINE_CHARS)))
-            .withColumn("head", F.when(t.rlike(PDF_HEAD), F.col("line_number")))
+    return (lines.withColumn("head", F.when(t.rlike(PDF_HEAD), F.col("line_number")))
             .withColumn("pdf", found(PDF_HEAD))
             .withColumn("number", F.when((number != "") & ~number.rlike(DATE_LIKE), number))
             .withColumn("total_due", text.strip(found(TOTAL_DUE)))
@@ -125,6 +124,6 @@ def invoice_blocks(lines: DataFrame) -> DataFrame:
     f = latest(_features(lines), "head").where("head_at IS NOT NULL")
     said = f.where("line_number = head_at OR line_number = head_at + 1 OR number IS NOT NULL OR total_due IS NOT NULL OR total IS NOT NULL "
                    "OR bank IS NOT NULL OR vendor IS NOT NULL")
-    fields = F.struct("line_number", "pdf", *FIELDS, "in_context", text.strip(F.col("short")).alias("first_words"))
+    fields = F.struct("line_number", "pdf", *FIELDS, "in_context", text.strip(F.col("text")).alias("first_words"))
     return (said.groupBy("dataset_id", "head_at").agg(F.array_sort(F.collect_list(fields)).alias("lines"))
             .select("dataset_id", "lines").mapInPandas(_split_documents, BLOCK))

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from payproof import schema as S
 from payproof.functions import money, text
+from payproof.operators import review
 from payproof.plans.audit import analyze, files_from_lines
 from payproof.scale import checkpointed
 from payproof.sources import lines as L
@@ -32,7 +34,7 @@ def raw_lines(files: DataFrame) -> DataFrame:
     named = files.withColumn("dataset_id", dataset_of(F.col("path"))).withColumn("kind", L.kind_of(F.col("path"))).where("kind IS NOT NULL")
     kept = L.one_per_slot(named.select("dataset_id", "kind", "path").withColumn("named", F.lit(True))).where("kept").select("path", "dataset_id", "kind")
     body = L.decode_files(files).join(kept, "path")
-    return L.cut_long(L.split_lines(body, "dataset_id", "kind")).withColumnRenamed("kind", "source_file")
+    return L.split_lines(body, "dataset_id", "kind").withColumnRenamed("kind", "source_file")
 
 
 def fingerprints(findings: DataFrame) -> DataFrame:
@@ -68,6 +70,12 @@ def alert_feed(report: DataFrame, problems: DataFrame) -> DataFrame:
     return new.join(bad, "dataset_id", "full_outer").fillna(0, ["new_findings", "high", "problems"])
 
 
+def first_new(report: DataFrame, most: int) -> DataFrame:
+    """The new findings an alert lists: the first `most` of each dataset, the most severe before the others."""
+    order = Window.partitionBy("dataset_id").orderBy(review.rank_in(F.col("severity"), S.SEVERITIES), "source_file", "line_number", "clause")
+    return report.where("new = 'yes'").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
 def data_problems(headers: DataFrame) -> DataFrame:
     """Files that were not checked, and why: never an all-clear."""
     return headers.where("NOT checked").select("dataset_id", "source_file", F.concat("source_file", F.lit(" is missing columns: "), F.array_join("lacking", ", "),
