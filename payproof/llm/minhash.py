@@ -4,10 +4,10 @@
 buckets: two sets with similarity 0.85 share none with probability (1 - 0.85**4)**32 < 1e-10. Equal sets are one class from the
 start, so copies cost one row of the class aggregate.
 
-Nothing emits all pairs of a bucket. Round one compares each member with its bucket's smallest document. The links
-found give components, and only members of one bucket that are still in different components are compared, among them
-first the smallest of each component. Every candidate passes its signature estimate before texts are fetched for the
-exact check of the full sets.
+Nothing emits all pairs of a bucket. Round one compares each member with its bucket's smallest document, and the links
+found give components. Members of buckets that still hold several components then meet on their rarest shingles, which
+loses no pair that is similar enough and leaves alone what is only alike. Every candidate passes its signature
+estimate before texts are fetched for the exact check of the full sets.
 """
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from payproof.llm.arrow import small, texts
@@ -127,12 +127,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     links = steps.write(copies.union(_verified(steps, tried, classes, docs, words, percent)))
     part = steps.write(components(steps, links))
     # members of one bucket that are still apart
-    rows = rows.drop("hub").join(part.withColumnRenamed("node", "id"), "id")
+    rows = rows.select("band", "h", "id").join(part.withColumnRenamed("node", "id"), "id")
     mixed = rows.groupBy("band", "h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "h")
-    rows = steps.write(rows.join(mixed, ["band", "h"]))
-    left, right = (rows.select("band", "h", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "component")]) for s in "ab")
-    apart = (left.join(right, ["band", "h"]).where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & near(F.col("n_a"), F.col("n_b")))
-             .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    left = steps.write(rows.join(mixed, ["band", "h"]).select("id", "component").distinct())
+    apart = _by_rare_shingles(steps, docs, left, words, percent).join(tried, ["a", "b"], "left_anti")
     late = steps.write(_verified(steps, apart, classes, docs, words, percent))
     if not late.isEmpty():
         part = components(steps, part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
@@ -141,6 +139,49 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
+def _shingles(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            x, n = shingle_sets(texts(batch), words)
+            sets = [np.unique(p) for p in np.split(x, np.cumsum(n)[:-1])]
+            size = np.array([len(s) for s in sets])
+            of = np.repeat(np.arange(len(sets)), size)
+            flat = np.concatenate(sets)
+            key = np.array([mix(s).sum() if len(s) else U(0) for s in sets], U)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(of)) for c in ("id", "component")], pa.array(signed(key[of])), pa.array(size[of], pa.int64()), pa.array(signed(flat))],
+                                             names=["id", "component", "k", "n", "shingle"])
+    return run, "id long, component long, k long, n long, shingle long"
+
+
+def _by_rare_shingles(steps: Steps, docs: DataFrame, left: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a < b) of documents of different components (left: id, component) that can be similar enough: none is lost.
+
+    Each set is put in order, its rarest shingles first. Two sets that are similar enough share one among the first
+    shingles of each: among the first n - ceil(percent * n / 100) + 1 of the larger, and fewer of the smaller; and behind the
+    first they share enough must be left in both. Edits of a text are its rarest shingles, so members of a large group
+    that have too many of them meet nobody. Of a shingle's members those outside its commonest component meet the others."""
+    rows = steps.write(docs.withColumnRenamed("doc_id", "id").join(left, "id").select("id", "component", "text").mapInArrow(*_shingles(words)))
+    common = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("id", "k")
+    # shingles of one document only come first of all; they are counted, not kept
+    shared = rows.join(common, "shingle").withColumn("rank", F.dense_rank().over(own.orderBy("df", "shingle")))
+    shared = shared.withColumn("pos", F.col("n") - F.max("rank").over(own) + F.col("rank"))
+    first = lambda top, low: F.col("n") - F.floor((top * F.col("n") + low - 1) / low) + 1
+    shared = steps.write(shared.where(F.col("pos") <= first(percent, 100)).withColumn("early", F.col("pos") <= first(2 * percent, 100 + percent))
+                         .select("shingle", "id", "component", "n", "pos", "early"))
+    steps.drop(rows)
+    parts = shared.groupBy("shingle", "component").agg(F.count("*").alias("m")).groupBy("shingle").agg(F.max_by("component", "m").alias("most"), F.count("*").alias("parts"))
+    shared = shared.join(parts.where("parts > 1").select("shingle", "most"), "shingle").withColumn("outside", F.col("component") != F.col("most"))
+    shared = steps.write(shared.drop("most"))
+    side = lambda s, rows: rows.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n", "pos")])
+    early = shared.where("early")
+    fits = ((F.struct("n_s", "id_s") < F.struct("n_l", "id_l")) & (F.col("component_s") != F.col("component_l")) & (100 * F.col("n_s") >= percent * F.col("n_l"))
+            & ((100 + percent) * (1 + F.least(F.col("n_s") - F.col("pos_s"), F.col("n_l") - F.col("pos_l"))) >= percent * (F.col("n_s") + F.col("n_l"))))
+    met = [side("s", a).join(side("l", b), "shingle").where(fits).select(F.least("id_s", "id_l").alias("a"), F.greatest("id_s", "id_l").alias("b"))
+           for a, b in ((early.where("outside"), shared), (early.where("NOT outside"), shared.where("outside")))]
+    return met[0].union(met[1]).where("a < b").distinct()
+
+
 def _verified(steps: Steps, pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose signatures, and then full sets, are similar enough."""
     sig = lambda c: classes.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}"))
