@@ -11,7 +11,9 @@ from payproof import schema as S
 from payproof.operators import expenses, payments, vendors
 from payproof.operators.findings import union
 from payproof.plans import bridge
-from payproof.plans.registry import o_fmt, register, with_views
+from payproof.plans import checks, gates  # noqa: F401  (their oracles are used below)
+from payproof.plans.audit import Files, analyze
+from payproof.plans.registry import ORACLES, o_fmt, register, with_views
 from payproof.plans.reviews import SHADOW, reg
 from payproof.operators import evidence, review
 from payproof.scale import checkpointed, shared_folder
@@ -39,23 +41,41 @@ def _report(p: DataFrame, v: DataFrame, e: DataFrame) -> DataFrame:
 
 
 _V = ["payments", "vendors", "expenses"]
-reg("set_union_checks", lambda p, v, e: _findings_of(p, v, e).groupBy("dataset_id", "area", "clause").agg(F.count("*").alias("findings")), _V, f"""
-    SELECT dataset_id, 'Payments' AS area, '5.3' AS clause, count(*) AS findings FROM payments WHERE paid_amount > 0 AND trim(invoice_no) = '' GROUP BY dataset_id
-    UNION ALL SELECT dataset_id, 'Payments', '5.4', count(*) FROM payments WHERE paid_amount > 0 AND isodow(pay_date) >= 6 GROUP BY dataset_id
-    UNION ALL SELECT dataset_id, 'Vendors', '4.4', count(*) FROM vendors v WHERE trim(last_paid_on) <> '' AND (w9_on_file = 'NO' OR (w9_on_file = '' AND EXISTS (SELECT 1 FROM vendors o WHERE o.dataset_id = v.dataset_id AND o.w9_on_file <> ''))) GROUP BY dataset_id
-    UNION ALL SELECT dataset_id, 'Expenses', '6.2', count(*) FROM expenses WHERE amount > 25 AND receipt_ref IN ('', 'none') AND category <> 'Mileage' GROUP BY dataset_id
-    UNION ALL SELECT dataset_id, 'Expenses', '6.3', count(*) FROM expenses WHERE notes = 'Gym membership' GROUP BY dataset_id""")
-reg("snk_findings", lambda p, v, e: _report(p, v, e).where("area = 'Expenses'").select("dataset_id", "new", "severity", "clause", F.col("amount").cast("double").alias("amount"), "title", "line_number", "evidence"), _V, f"""
-    SELECT dataset_id, CASE WHEN line_number % 2 = 0 THEN '' ELSE 'yes' END AS new, 'Medium' AS severity, '6.2' AS clause, CAST(amount AS DOUBLE) AS amount, 'Claim ' || claim_id || ' of $' || {o_fmt('amount')} || ' has no receipt' AS title, line_number, text AS evidence
-    FROM expenses WHERE amount > 25 AND receipt_ref IN ('', 'none') AND category <> 'Mileage'
-    UNION ALL SELECT dataset_id, CASE WHEN line_number % 2 = 1 AND NOT EXISTS (SELECT 1 FROM expenses o WHERE o.dataset_id = e.dataset_id AND o.notes = 'Gym membership' AND o.line_number % 2 = 0) THEN 'yes' ELSE '' END, 'Low', '6.3', CAST(amount AS DOUBLE), 'Personal item claimed: gym membership', line_number, text
-    FROM expenses e WHERE notes = 'Gym membership'""")
+#: The checks of `audit.analyze` over all kinds of file but the bank statement, whose two have queries of their own.
+CHECKS = ["chk_5_2", "chk_5_1", "chk_5_3_noref", "chk_5_3_early", "chk_5_4", "chk_5_6", "chk_4_1_cross", "chk_4_1_unknown", "chk_1_2", "chk_1_1_nopo", "chk_1_1_late", "chk_1_3", "chk_1_6", "chk_1_4",
+          "chk_4_3", "chk_4_1_vendor", "chk_4_4", "chk_4_5", "chk_4_2", "chk_6_1", "chk_6_2", "chk_6_3", "chk_6_5", "chk_6_4", "chk_6_6", "chk_7_1", "chk_7_2", "chk_7_3", "chk_7_4", "chk_8_1", "chk_8_2", "chk_8_3"]
+
+
+def _whole_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = {n: bridge.view(spark, sf_dir, n) for n in ("payments", "approvals", "vendors", "expenses", "contract_lines", "invoice_lines")}
+    found = analyze(Files(payments=view["payments"], approvals=view["approvals"], vendors=view["vendors"], expenses=view["expenses"], contracts=view["contract_lines"], invoices=view["invoice_lines"]))
+    return found.findings.groupBy("dataset_id", "clause").agg(F.count("*").alias("findings"), F.sum(F.col("line_number")).alias("lines"))
+
+
+def _all_of(names: list[str], columns: str) -> str:
+    return " UNION ALL ".join(f"SELECT {columns} FROM ({ORACLES[n]})" for n in names)
+
+
+register("set_union_checks", _whole_audit, f"SELECT dataset_id, clause, count(*) AS findings, CAST(sum(line_number) AS BIGINT) AS lines FROM ({_all_of(CHECKS, 'dataset_id, clause, line_number')}) GROUP BY ALL")
+_REPORTED = ["chk_5_3_noref", "chk_5_4", "chk_4_4", "chk_6_2", "chk_6_3"]
+_REPORT = f"""
+  f AS MATERIALIZED ({_all_of(_REPORTED, "dataset_id, clause, severity, amount, title, source_file, line_number")}),
+  known AS (SELECT DISTINCT dataset_id, clause, source_file, title FROM f WHERE line_number % 2 = 0),
+  report AS MATERIALIZED (SELECT f.*, CASE WHEN k.clause IS NULL THEN 'yes' ELSE '' END AS new FROM f LEFT JOIN known k USING (dataset_id, clause, source_file, title))"""
+reg("snk_findings", lambda p, v, e: _report(p, v, e).select("dataset_id", "new", "severity", "clause", F.col("amount").cast("double").alias("amount"), "title", "line_number", "evidence"), _V, f"""
+    WITH {_REPORT}, texts AS (SELECT dataset_id, source_file, line_number, text FROM payments UNION ALL SELECT dataset_id, source_file, line_number, text FROM vendors
+      UNION ALL SELECT dataset_id, source_file, line_number, text FROM expenses)
+    SELECT dataset_id, new, severity, clause, round(amount, 2) AS amount, title, line_number, text AS evidence FROM report JOIN texts USING (dataset_id, source_file, line_number)""")
+
+
 def _alerts(p: DataFrame, v: DataFrame, e: DataFrame, h: DataFrame) -> DataFrame:
     heads = headers.auto_matched(headers.headers(h.withColumn("source_file", F.lit("payments.csv"))))
-    return folder.alert_feed(_report(p, v, e), folder.data_problems(heads)).select("dataset_id", "new_findings", "problems")
+    return folder.alert_feed(_report(p, v, e), folder.data_problems(heads)).select("dataset_id", "new_findings", "high", "problems")
 
 
-reg("snk_alert_feed", _alerts, [*_V, "file_headers"])
+reg("snk_alert_feed", _alerts, [*_V, "file_headers"], f"""
+    WITH {_REPORT} SELECT dataset_id, count(*) AS new_findings, count(*) FILTER (severity = 'High') AS high, 0 AS problems FROM report WHERE new = 'yes' GROUP BY dataset_id
+    UNION ALL SELECT dataset_id, 0, 0, 1 FROM file_headers WHERE CAST(substr(dataset_id, 2) AS BIGINT) % 7 <> 0""")
 
 
 def _problems(h: DataFrame) -> DataFrame:
@@ -74,7 +94,9 @@ def _top_alerts(p: DataFrame, v: DataFrame, e: DataFrame) -> DataFrame:
     return folder.first_new(_report(p, v, e), 10).select("dataset_id", "place", "clause", "line_number")
 
 
-reg("topk_alert", _top_alerts, _V)
+reg("topk_alert", _top_alerts, _V, f"""
+    WITH {_REPORT} SELECT dataset_id, row_number() OVER (PARTITION BY dataset_id ORDER BY CASE severity WHEN 'High' THEN 1 WHEN 'Medium' THEN 2 ELSE 3 END, source_file, line_number, clause) AS place, clause, line_number
+    FROM report WHERE new = 'yes' QUALIFY place <= 10""")
 reg("snk_workbook_tables", lambda f, d, n: review.with_decisions(f, d, SHADOW, evidence.warned(f, n))
     .groupBy("dataset_id", "decision").agg(F.count("*").alias("findings")), ["findings", "decisions", "lines"], f"""
     SELECT f.dataset_id, CASE WHEN f.clause IN ({', '.join(repr(c) for c in SHADOW)}) THEN 'Shadow (not in review)' ELSE coalesce(d.status, 'Pending') END AS decision, count(*) AS findings
