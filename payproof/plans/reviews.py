@@ -213,19 +213,30 @@ reg("new_anti", lambda f: f.join(f.where("finding % 3 <> 0").select("clause", "s
 
 # ---------------------------------------------------------------- scoring
 _MATCH = """
-WITH kl AS (SELECT DISTINCT dataset_id, id, expect, source_file, unnest([line_number, related_line]) AS line FROM answer_key),
+WITH kl AS (SELECT DISTINCT dataset_id, id, expect, source_file, position, unnest([line_number, related_line]) AS line FROM answer_key),
 pl AS (SELECT *, unnest([line_number, related_line]) AS line FROM runs),
-m AS (SELECT p.dataset_id, p.engine, p.finding, k.id, k.expect, bool_or(p.line = p.line_number) AS own, any_value(p.verdict) AS verdict FROM pl p JOIN kl k ON k.dataset_id = p.dataset_id AND k.source_file = p.source_file
+m AS (SELECT p.dataset_id, p.engine, p.finding, k.id, k.position, k.expect, bool_or(p.line = p.line_number) AS own, any_value(p.verdict) AS verdict FROM pl p JOIN kl k ON k.dataset_id = p.dataset_id AND k.source_file = p.source_file
       AND k.line = p.line GROUP BY ALL)"""
+# the same one after the other: each finding in turn takes the first of its key rows that nobody took before
+_CREDIT = _MATCH + """,
+w AS MATERIALIZED (SELECT dataset_id, engine, finding, list(position ORDER BY NOT own, position) AS wishes, row_number() OVER (PARTITION BY dataset_id, engine ORDER BY finding) AS k
+      FROM m WHERE expect <> 'trap' GROUP BY dataset_id, engine, finding),
+turns(dataset_id, engine, k, used, finding, got) AS (
+  SELECT dataset_id, engine, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM (SELECT DISTINCT dataset_id, engine FROM w)
+  UNION ALL SELECT dataset_id, engine, k, CASE WHEN got IS NULL THEN used ELSE list_append(used, got) END, finding, got FROM (
+    SELECT w.dataset_id, w.engine, w.k, t.used, w.finding, list_filter(w.wishes, lambda x: NOT list_contains(t.used, x))[1] AS got
+    FROM turns t JOIN w ON w.dataset_id = t.dataset_id AND w.engine = t.engine AND w.k = t.k + 1)),
+credited AS (SELECT t.dataset_id, t.engine, t.finding, a.id FROM turns t JOIN answer_key a ON a.dataset_id = t.dataset_id AND a.position = t.got)"""
 reg("sc_match", lambda r, k: scoring.matches(r, k).drop("verdict", "position"), ["runs", "answer_key"], _MATCH + " SELECT dataset_id, engine, finding, id, expect, own FROM m")
-reg("score_credit", lambda r, k: scoring.credit(scoring.matches(r, k).where("expect <> 'trap'")), ["runs", "answer_key"])
-reg("score_prf", lambda r, k: scoring.scores(r, k).select("dataset_id", "engine", "planted", "proposed", "true_pos", "false_alarms", "precision", "traps", "traps_flagged"), ["runs", "answer_key"], _MATCH + """
+reg("score_credit", lambda r, k: scoring.credit(scoring.matches(r, k).where("expect <> 'trap'")), ["runs", "answer_key"], _CREDIT + " SELECT * FROM credited")
+reg("score_prf", lambda r, k: scoring.scores(r, k).select("dataset_id", "engine", "planted", "proposed", "true_pos", "false_alarms", "precision", "traps", "traps_flagged", "found", "recall"), ["runs", "answer_key"], _CREDIT + """
     SELECT p.dataset_id, p.engine, k.planted, p.proposed, coalesce(t.true_pos, 0) AS true_pos, p.proposed - coalesce(t.true_pos, 0) AS false_alarms, coalesce(t.true_pos, 0) / p.proposed AS precision,
-      k.traps, coalesce(t.traps_flagged, 0) AS traps_flagged
+      k.traps, coalesce(t.traps_flagged, 0) AS traps_flagged, coalesce(c.found, 0) AS found, CASE WHEN k.planted > 0 THEN coalesce(c.found, 0) / k.planted ELSE 0.0 END AS recall
     FROM (SELECT dataset_id, engine, count(*) AS proposed FROM runs GROUP BY ALL) p
     JOIN (SELECT dataset_id, count(*) FILTER (expect <> 'trap') AS planted, count(*) FILTER (expect = 'trap') AS traps FROM answer_key GROUP BY ALL) k USING (dataset_id)
     LEFT JOIN (SELECT dataset_id, engine, count(DISTINCT finding) FILTER (expect <> 'trap') AS true_pos, count(DISTINCT id) FILTER (expect = 'trap') AS traps_flagged FROM m GROUP BY ALL) t
-      ON t.dataset_id = p.dataset_id AND t.engine = p.engine""")
+      ON t.dataset_id = p.dataset_id AND t.engine = p.engine
+    LEFT JOIN (SELECT dataset_id, engine, count(DISTINCT id) AS found FROM credited GROUP BY ALL) c ON c.dataset_id = p.dataset_id AND c.engine = p.engine""")
 reg("score_traps", lambda r, k: scoring.trap_kinds(scoring.matches(r, k), k), ["runs", "answer_key"], _MATCH + """
     SELECT DISTINCT m.dataset_id, engine, replace(split_part(description, ')', 1), 'TRAP (', '') AS kind FROM m JOIN answer_key k ON k.dataset_id = m.dataset_id AND k.id = m.id WHERE m.expect = 'trap'""")
 reg("score_skeptic", scoring.skeptic_scores, ["runs", "answer_key"], _MATCH + """,
@@ -242,12 +253,13 @@ reg("score_issue", lambda r, k: scoring.per_issue(r, k, _ENGINES), ["runs", "ans
     SELECT k.dataset_id, k.id, CASE WHEN expect = 'trap' THEN 'Trap (legitimate)' ELSE 'Problem' END AS kind, clause, source_file, least(line_number, related_line) AS line, """
     + ", ".join(f"CASE WHEN expect = 'trap' THEN CASE WHEN v_{e} IS NULL THEN 'Left alone' ELSE 'FALSE ALARM' END WHEN v_{e} IS NULL THEN 'Missed' WHEN v_{e} = 'Doubtful' THEN 'Found (doubted)' ELSE 'Found' END AS {e}" for e in _ENGINES)
     + " FROM answer_key k LEFT JOIN f ON f.dataset_id = k.dataset_id AND f.id = k.id")
-reg("bench_summary", lambda r, k: scoring.summary(scoring.scores(r, k)).drop("recall"), ["runs", "answer_key"], _MATCH + """,
-    s AS (SELECT p.dataset_id, p.engine, coalesce(t.true_pos, 0) / p.proposed AS precision, p.proposed - coalesce(t.true_pos, 0) AS false_alarms, coalesce(t.traps_flagged, 0) AS traps_flagged, k.traps
-      FROM (SELECT dataset_id, engine, count(*) AS proposed FROM runs GROUP BY ALL) p JOIN (SELECT dataset_id, count(*) FILTER (expect = 'trap') AS traps FROM answer_key GROUP BY ALL) k USING (dataset_id)
+reg("bench_summary", lambda r, k: scoring.summary(scoring.scores(r, k)), ["runs", "answer_key"], _CREDIT + """,
+    s AS (SELECT p.dataset_id, p.engine, coalesce(t.true_pos, 0) / p.proposed AS precision, p.proposed - coalesce(t.true_pos, 0) AS false_alarms, coalesce(t.traps_flagged, 0) AS traps_flagged, k.traps, coalesce(c.found, 0) / k.planted AS recall
+      FROM (SELECT dataset_id, engine, count(*) AS proposed FROM runs GROUP BY ALL) p JOIN (SELECT dataset_id, count(*) FILTER (expect = 'trap') AS traps, count(*) FILTER (expect <> 'trap') AS planted FROM answer_key GROUP BY ALL) k USING (dataset_id)
       LEFT JOIN (SELECT dataset_id, engine, count(DISTINCT finding) FILTER (expect <> 'trap') AS true_pos, count(DISTINCT id) FILTER (expect = 'trap') AS traps_flagged FROM m GROUP BY ALL) t
-        ON t.dataset_id = p.dataset_id AND t.engine = p.engine)
-    SELECT engine, count(*) AS runs, avg(precision) AS precision, avg(false_alarms) AS false_alarms, CAST(sum(traps_flagged) AS BIGINT) AS traps_flagged, CAST(sum(traps) AS BIGINT) AS traps FROM s GROUP BY engine""")
+        ON t.dataset_id = p.dataset_id AND t.engine = p.engine
+      LEFT JOIN (SELECT dataset_id, engine, count(DISTINCT id) AS found FROM credited GROUP BY ALL) c ON c.dataset_id = p.dataset_id AND c.engine = p.engine)
+    SELECT engine, count(*) AS runs, avg(recall) AS recall, avg(precision) AS precision, avg(false_alarms) AS false_alarms, CAST(sum(traps_flagged) AS BIGINT) AS traps_flagged, CAST(sum(traps) AS BIGINT) AS traps FROM s GROUP BY engine""")
 
 # ---------------------------------------------------------------- trail
 KEY = b"payproof-example-key"
@@ -259,7 +271,8 @@ reg("au_append", lambda t: trail.append(t).select("dataset_id", "seq", "prev", "
     SELECT dataset_id, seq, prev, hash FROM c""")
 from payproof.plans.registry import ORACLES  # noqa: E402
 
-ORACLES["au_append"] = ORACLES["au_append"].replace("WITH ", "WITH RECURSIVE ", 1)
+for _name in ("au_append", "score_credit", "score_prf", "bench_summary"):
+    ORACLES[_name] = ORACLES[_name].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def _tampered(t: DataFrame) -> tuple[DataFrame, DataFrame]:
