@@ -27,7 +27,8 @@ def resolve_vendor(run: DataFrame, vendors: DataFrame) -> DataFrame:
          .agg(F.min("line_number").alias("first_line"),
               F.max(F.struct("line_number", "vendor_id", "name", "status", "bank_acct", "bank_changed_on", "bank_verified", "created_on")).alias("v"))
          .withColumn("v_name", text.norm_name(F.col("v.name"))))
-    named = (v.groupBy("dataset_id", "v_name")
+    # a blank name is nobody's
+    named = (v.where("v_name <> ''").groupBy("dataset_id", "v_name")
              .agg(F.count("*").alias("fits"), F.min("vid").alias("named_id"),
                   F.array_sort(F.collect_list(F.struct("first_line", "v.vendor_id"))).alias("ids"))
              .select("dataset_id", F.col("v_name").alias("sup"), "fits", "named_id",
@@ -48,11 +49,16 @@ def with_names(lines: DataFrame) -> DataFrame:
     return lines.select(*LINE, "key", "has_invoice", "vid", F.explode(names).alias("name"))
 
 
+def _asked(lines: DataFrame) -> DataFrame:
+    """The invoices of the run: of the long tables only their records are grouped."""
+    return lines.where("has_invoice").select("dataset_id", "key").distinct()
+
+
 def approval_for(lines: DataFrame, approvals: DataFrame) -> DataFrame:
     """Each line's approval record: its vendor's latest approved one, else its vendor's last, else the first there is."""
     rec = F.struct("line_number", "vendor_key", "amount", "approved_by")
     a = (approvals.where(text.is_invoice_type(F.col("type")) & ~text.is_blank(F.col("doc_no")))
-         .withColumn("key", text.inv_key(F.col("doc_no"))).withColumn("vendor_key", text.norm_name(F.col("vendor"))))
+         .withColumn("key", text.inv_key(F.col("doc_no"))).join(_asked(lines), ["dataset_id", "key"], "left_semi").withColumn("vendor_key", text.norm_name(F.col("vendor"))))
     own = (a.groupBy("dataset_id", "key", F.col("vendor_key").alias("name"))
            .agg(F.max(F.when(~text.is_blank(F.col("approved_by")), rec)).alias("approved"), F.max(rec).alias("latest")))
     any_ = a.groupBy("dataset_id", "key").agg(F.min(rec).alias("first"))
@@ -66,7 +72,7 @@ def already_paid(lines: DataFrame, payments: DataFrame) -> DataFrame:
     """Lines whose invoice a payment to the same vendor already names: by id when both have one, else by name."""
     p = (payments.where(~text.is_blank(F.col("invoice_no")))
          .select("dataset_id", text.inv_key(F.col("invoice_no")).alias("key"), text.upper_strip(F.col("vendor_id")).alias("pid"),
-                 text.norm_name(F.col("supplier")).alias("name")))
+                 text.norm_name(F.col("supplier")).alias("name")).join(_asked(lines), ["dataset_id", "key"], "left_semi"))
     ids = p.where("pid <> ''").select("dataset_id", "key", F.col("pid").alias("vid")).distinct()
     names = p.groupBy("dataset_id", "key", "name").agg(F.bool_or(F.col("pid") == "").alias("no_id"))
     by_id = lines.where("has_invoice AND vid <> ''").join(ids, ["dataset_id", "key", "vid"], "left_semi").select(*LINE)

@@ -1,7 +1,7 @@
 """Looking things up in a file: text, rows by condition, lines by number, repeated rows, numbered chunks."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from payproof import schema as S
@@ -47,10 +47,12 @@ def get_lines(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return lines.join(wanted.select(*FILE, "line_number").distinct(), [*FILE, "line_number"], "left_semi")
 
 
-def describe(lines: DataFrame) -> DataFrame:
-    """Per file: its lines, and the line numbers and texts of the first five."""
+def describe(lines: DataFrame, shown: int = 5) -> DataFrame:
+    """Per file: its lines, the first and last line number, and the texts of the first five (Spark keeps five of a file in each task)."""
     counts = lines.groupBy(*FILE).agg(F.count("*").alias("rows"), F.min("line_number").alias("first_line"), F.max("line_number").alias("last_line"))
-    return counts
+    top = lines.withColumn("place", F.row_number().over(Window.partitionBy(*FILE).orderBy("line_number"))).where(F.col("place") <= shown)
+    texts = top.groupBy(*FILE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n").alias("first_rows"))
+    return counts.join(texts, FILE)
 
 
 def duplicates(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -184,15 +184,15 @@ reg("shadow_prec", lambda f: review.shadow_precision(_marks(f)), ["findings"], "
 
 def _near_limit(findings: DataFrame) -> DataFrame:
     """Findings of limit clauses with amounts a little over the limit (or, for 6.2, well over)."""
-    return findings.withColumn("clause", F.when(F.col("clause") == "5.1", "1.3").when(F.col("clause") == "5.2", "1.1").otherwise(F.col("clause"))) \
-        .withColumn("amount", F.when(F.col("clause") == "1.3", F.lit(10000) + F.col("finding") % 2400).when(F.col("clause") == "1.1", F.lit(2400) + F.col("finding") % 900)
+    return findings.withColumn("clause", F.when(F.col("clause") == "5.6", F.when(F.col("line_number") % 2 == 0, "1.1").otherwise("1.3")).otherwise(F.col("clause"))) \
+        .withColumn("amount", F.when(F.col("clause") == "1.3", F.lit(10001) + F.col("finding") % 2400).when(F.col("clause") == "1.1", F.lit(2501) + F.col("finding") % 600)
                     .otherwise(F.col("amount")).cast("decimal(18,4)"))
 
 
 reg("limit_hints", lambda f, d: review.limit_hints(_near_limit(f), d, L).select("clause", F.col("current_limit").cast("double").alias("current_limit"),
                                                                               F.col("suggested").cast("double").alias("suggested"), "n"), ["findings", "decisions"], """
-    WITH x AS (SELECT CASE clause WHEN '5.1' THEN '1.3' WHEN '5.2' THEN '1.1' ELSE clause END AS clause, dataset_id, finding,
-        CASE clause WHEN '5.1' THEN 10000 + finding % 2400 WHEN '5.2' THEN 2400 + finding % 900 ELSE amount END AS amount FROM findings),
+    WITH x AS (SELECT CASE WHEN clause = '5.6' THEN CASE WHEN line_number % 2 = 0 THEN '1.1' ELSE '1.3' END ELSE clause END AS clause, dataset_id, finding,
+        CASE WHEN clause = '5.6' AND line_number % 2 = 1 THEN 10001 + finding % 2400 WHEN clause = '5.6' THEN 2501 + finding % 600 ELSE amount END AS amount FROM findings),
     r AS (SELECT x.*, CASE clause WHEN '1.1' THEN 2500 WHEN '1.3' THEN 10000 WHEN '6.2' THEN 25 END AS lim FROM x JOIN decisions d ON d.dataset_id = x.dataset_id AND d.finding = x.finding WHERE d.status = 'Rejected')
     SELECT clause, CAST(lim AS DOUBLE) AS current_limit, CAST(round_even(max(amount) + 1, 0) AS DOUBLE) AS suggested, count(*) AS n FROM r WHERE lim IS NOT NULL GROUP BY clause, lim
     HAVING count(*) >= 2 AND bool_and(amount > lim AND amount <= lim * 1.25)""")
@@ -380,7 +380,9 @@ reg("flt_find_page", lambda a: search.page(a.where(search.test(F.col("vendor"),
     "SELECT dataset_id, line_number, vendor FROM approvals WHERE contains(lower(vendor), 'light') ORDER BY dataset_id, source_file, line_number LIMIT 40")
 reg("flt_get_lines", lambda n, f: search.get_lines(n, f).select("dataset_id", "source_file", "line_number", "text"), ["lines", "findings"], """
     SELECT dataset_id, source_file, line_number, text FROM lines l WHERE EXISTS (SELECT 1 FROM findings f WHERE f.dataset_id = l.dataset_id AND f.source_file = l.source_file AND f.line_number = l.line_number)""")
-reg("flt_describe", search.describe, ["lines"], "SELECT dataset_id, source_file, count(*) AS rows, min(line_number) AS first_line, max(line_number) AS last_line FROM lines GROUP BY ALL")
+reg("flt_describe", search.describe, ["lines"], """
+    SELECT dataset_id, source_file, count(*) AS rows, min(line_number) AS first_line, max(line_number) AS last_line, string_agg(text, chr(10) ORDER BY line_number) FILTER (place <= 5) AS first_rows
+    FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, source_file ORDER BY line_number) AS place FROM lines) GROUP BY ALL""")
 reg("agg_duplicates", lambda e: search.duplicates(e, ["employee", "receipt_ref"]), ["expenses"], """
     SELECT dataset_id, lower(trim(employee)) AS employee, lower(trim(receipt_ref)) AS receipt_ref, count(*) AS rows, min(line_number) AS first_line, max(line_number) AS last_line FROM expenses
     WHERE trim(employee) <> '' AND trim(receipt_ref) <> '' GROUP BY 1, 2, 3 HAVING count(*) > 1""")
