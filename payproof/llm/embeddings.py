@@ -24,6 +24,7 @@ from payproof.llm.steps import Steps
 COSINE = 0.93
 TABLES, PROBES = 16, 3
 BLOCK = 256          # members of a bucket that a task compares with as many others
+SMALL = 32           # groups up to this size are compared together
 
 
 def rotated(v: np.ndarray, seed: int) -> np.ndarray:
@@ -81,27 +82,59 @@ def _rows(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _compared(group: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of one or two blocks: how many vectors it is linked with, and the first row of its component here."""
-    n = group.num_rows
-    side, own = group.column("side").to_numpy(), group.column("bucket")[0].as_py()
-    v = _rows(group.column("vec").combine_chunks()).astype(float)
-    v = np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1])          # exact, and its square can't overflow
-    length = np.sqrt((v * v).sum(1))
-    near = v @ v.T >= cosine * length[:, None] * length[None, :]
-    if group.column("bi")[0].as_py() != group.column("bj")[0].as_py():
-        near &= side[:, None] != side[None, :]
-    x, y = np.nonzero(np.triu(near, 1))
-    places = _rows(group.column("buckets").combine_chunks())
-    table = int(group.column("at")[0].as_py()) // PROBES
-    for t in range(table + 1):                           # a pair counts in the first table where it meets, there in its lowest bucket
+KEY = ["label", "size", "bucket", "bi", "bj"]
+
+
+def _near_pairs(v: np.ndarray, length: np.ndarray, group: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows x < y of one group (its rows follow each other) that are near. Large groups by a matrix product; the
+    rows of all small ones are compared with the next of their group, then with the next but one, and so on."""
+    xs, ys = [], []
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff(np.concatenate([starts, [len(group)]]))
+    for at, n in zip(starts[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+        part = v[at:at + n]
+        x, y = np.nonzero(np.triu(part @ part.T >= cosine * length[at:at + n, None] * length[None, at:at + n], 1))
+        xs.append(x + at)
+        ys.append(y + at)
+    left = np.repeat(starts + size, size) - np.arange(len(group))           # rows of the group from this one on
+    x = np.flatnonzero((np.repeat(size, size) <= SMALL) & (left > 1))
+    for step in range(1, SMALL):
+        for part in np.array_split(x, len(x) // 50_000 + 1):
+            near = part[np.einsum("ij,ij->i", v[part], v[part + step]) >= cosine * length[part] * length[part + step]]
+            xs.append(near)
+            ys.append(near + step)
+        x = x[left[x] > step + 1]
+        if not len(x):
+            break
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def _compared(rows: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of some groups, sorted by KEY: how many vectors it is linked with in its group, and the first row of its component there."""
+    n = rows.num_rows
+    col = {c: rows.column(c).to_numpy() for c in [*KEY, "side", "at", "m"]}
+    group = np.cumsum(np.concatenate([[False], np.logical_or.reduce([col[c][1:] != col[c][:-1] for c in KEY])]))
+    links, first, old = np.zeros(n), np.arange(n), None
+    vec, places = rows.column("vec").combine_chunks(), _rows(rows.column("buckets").combine_chunks())
+    cut = vec.offsets.to_numpy()
+    flat, xs, ys = vec.flatten().to_numpy(zero_copy_only=False), [], []
+    for d in np.unique(col["size"]):                     # one length, but for odd tables
+        own = np.flatnonzero(col["size"] == d)
+        v = flat[(cut[:-1] - cut[0])[own][:, None] + np.arange(d)].astype(float)
+        v = np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1])      # exact, and its square can't overflow
+        x, y = _near_pairs(v, np.sqrt((v * v).sum(1)), group[own], cosine)
+        xs.append(own[x])
+        ys.append(own[y])
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    other = (col["bi"][x] == col["bj"][x]) | (col["side"][x] != col["side"][y])          # of two blocks, pairs across
+    x, y = x[other], y[other]
+    for t in range(TABLES):                              # a pair counts in the first table where it meets, there in its lowest bucket
+        table = col["at"][x] // PROBES
         p, q = (places[:, t * PROBES:(t + 1) * PROBES][i] for i in (x, y))
         met = (p[:, :, None] == q[:, None, :]).any(2)
-        take = ~met.any(1) if t < table else np.where(met, p, np.iinfo(np.int64).max).min(1) == own
+        take = (table < t) | np.where(table > t, ~met.any(1), np.where(met, p, np.iinfo(np.int64).max).min(1) == col["bucket"][x])
         x, y = x[take], y[take]
-    m = group.column("m").to_numpy()
-    links = np.bincount(x, m[y], n) + np.bincount(y, m[x], n)
-    first, old = np.arange(n), None
+    links += np.bincount(x, col["m"][y], n) + np.bincount(y, col["m"][x], n)
     while old is None or (old != first).any():
         old = first.copy()
         np.minimum.at(first, x, old[y])
@@ -110,28 +143,26 @@ def _compared(group: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links(cosine: float):
-    def done(group: pa.Table) -> pa.RecordBatch:
-        links, first = _compared(group, cosine)
+    def done(rows: pa.Table) -> pa.RecordBatch:
+        links, first = _compared(rows, cosine)
         some = np.flatnonzero(links)
-        ids = group.column("id").to_numpy()
-        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(group.column("k").to_numpy()[some]), pa.array(ids[first[some]]), pa.array(links[some])],
+        ids = rows.column("id").to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(rows.column("k").to_numpy()[some]), pa.array(ids[first[some]]), pa.array(links[some])],
                                           names=["id", "k", "first", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []                  # the group that the last batch ended in
+        held: list[pa.RecordBatch] = []                  # rows whose last group may go on in the next batch
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = [batch.column(c).to_numpy() for c in ("label", "size", "bucket", "bi", "bj")]
+            key = [batch.column(c).to_numpy() for c in KEY]
+            same = not held or all(held[-1].column(c)[-1] == batch.column(c)[0] for c in KEY)
             cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key])) + 1
-            if held and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in ("label", "size", "bucket", "bi", "bj")):
-                yield done(pa.Table.from_batches(held))
+            last = int(cuts[-1]) if len(cuts) else 0     # where this batch's last group begins
+            if last or not same:
+                yield done(pa.Table.from_batches([*held, batch.slice(0, last)]))
                 held = []
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
-                held.append(batch.slice(a, b - a))
-                if b < batch.num_rows:
-                    yield done(pa.Table.from_batches(held))
-                    held = []
+            held.append(batch.slice(last))
         if held:
             yield done(pa.Table.from_batches(held))
     return run, "id long, k long, first long, links long"
