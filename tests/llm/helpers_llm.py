@@ -1,6 +1,9 @@
 """Small tables of documents."""
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, quality string, rid string, repeated string, size long"
 
 
@@ -9,6 +12,12 @@ def rows_of(texts, ids=None):
     return [(i, t, "en", f"s{k % 4}" if k % 5 else None, None if t is None else len(t), "x", "x", "x", "x", -1) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
 
 
+@pytest.fixture(scope="session")
+def docs(spark):
+    """A table of documents from texts: with extra columns whose names operators use inside or in results."""
+    return lambda texts, ids=None: spark.createDataFrame(rows_of(texts, ids), DOCS).repartition(3, F.col("doc_id"))
+
+
 def corpus(seed, n=60, words=("a", "bé", "c", "D", "e漢"), longest=60, copies=True):
     """Random texts over few words, with copies, passages taken from others, blanks and nulls."""
     rnd = random.Random(seed)

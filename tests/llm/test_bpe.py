@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from helpers_llm import corpus
+from helpers_llm import corpus, docs  # noqa: F401
 from payproof.llm import bpe, queries
 
 CONTENT = open(queries.VOCABULARY, "rb").read()

@@ -1,6 +1,7 @@
 import random
 import re
 
+from helpers_llm import docs  # noqa: F401
 from payproof.llm import minhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")

@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from helpers_llm import docs  # noqa: F401
 from payproof.llm import packing
 
 
@@ -46,7 +47,7 @@ def test_packed_rows_give_every_document_back(docs):
     for r in rows:
         x, at = np.frombuffer(r.ids, "<u4"), np.frombuffer(r.position_ids, "<i4")
         assert len(x) == len(at) == 32 and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens and (x[r.n_tokens:] == 7).all()
-        for doc, start, a, b in zip(r.doc_ids, r.starts, r.cu_seqlens, r.cu_seqlens[1:], strict=True):
+        for doc, start, a, b in zip(r.doc_ids, r.starts, r.cu_seqlens[:-1], r.cu_seqlens[1:], strict=True):
             assert at[a:b].tolist() == list(range(b - a))
             found.setdefault(doc, {})[start] = "".join(map(chr, x[a:b]))
     assert {d: "".join(p[s] for s in sorted(p)) for d, p in found.items()} == {i: t for i, t in zip(ids, texts, strict=True) if t}

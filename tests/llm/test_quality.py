@@ -8,7 +8,7 @@ import regex
 import xxhash
 from pyspark.sql import functions as F
 
-from helpers_llm import corpus, ids_with_gaps
+from helpers_llm import corpus, docs, ids_with_gaps  # noqa: F401
 from payproof.llm import quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")

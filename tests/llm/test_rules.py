@@ -3,6 +3,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
+from helpers_llm import docs  # noqa: F401
 from payproof.llm import rules
 
 

@@ -3,7 +3,7 @@ import re
 import pytest
 
 from payproof.llm import substrings
-from helpers_llm import corpus, ids_with_gaps
+from helpers_llm import corpus, docs, ids_with_gaps  # noqa: F401
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from payproof.llm import suffixes
-from helpers_llm import corpus, ids_with_gaps
+from helpers_llm import corpus, docs, ids_with_gaps  # noqa: F401
 
 
 def brute(rows, length):
