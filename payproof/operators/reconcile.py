@@ -11,6 +11,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,20 +66,34 @@ def _pay_struct() -> Column:
     return F.struct("day", "line_number", "cents", F.lower(text.strip(F.col("payment_id"))).alias("pid"), F.lower(text.strip(F.col("invoice_no"))).alias("inv"))
 
 
-def _take(ref: str, day: int, open_: list[dict], used: set[int], days: int) -> int | None:
-    """The open payment a bank line takes: one whose id, then one whose invoice its reference names, else the earliest."""
-    best = None
-    lo = bisect_left(open_, day - days, key=lambda p: p["day"])
-    hi = bisect_right(open_, day + days, key=lambda p: p["day"])
-    for p in open_[lo:hi]:
-        if p["line_number"] in used:
-            continue
-        rank = (not (p["pid"] and p["pid"] in ref), not (p["inv"] and p["inv"] in ref), p["day"], p["line_number"])
-        if best is None or rank < best:
-            best = rank
-            if not rank[0] and not rank[1]:
-                break
-    return best[3] if best else None
+class Open:
+    """Payments of one amount by date and line, some of them taken. `after` leads from each place to the next open one."""
+
+    def __init__(self, pays: list[dict]):
+        self.pays, self.days = pays, [p["day"] for p in pays]
+        self.after = list(range(len(pays) + 1))
+
+    def _open_from(self, i: int) -> int:
+        while self.after[i] != i:
+            self.after[i] = self.after[self.after[i]]
+            i = self.after[i]
+        return i
+
+    def give(self, words: str, day: int, days: int) -> int | None:
+        """The line of the payment that a bank line takes, if one within the days is open: the earliest, unless the bank line names
+        another by its id (counts double) or its invoice."""
+        i, stop = self._open_from(bisect_left(self.days, day - days)), bisect_right(self.days, day + days)
+        if i >= stop:
+            return None
+        chosen, named = i, 0
+        while words and i < stop and named < 3:
+            p = self.pays[i]
+            says = 2 * bool(p["pid"] and p["pid"] in words) + bool(p["inv"] and p["inv"] in words)
+            if says > named:
+                chosen, named = i, says
+            i = self._open_from(i + 1)
+        self.after[chosen] = chosen + 1
+        return self.pays[chosen]["line_number"]
 
 
 def _fold(deltas: tuple[int, ...], days: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -90,14 +105,12 @@ def _fold(deltas: tuple[int, ...], days: int) -> Callable[[Iterator[pd.DataFrame
                 by_cents: dict[int, list[dict]] = {}
                 for p in pays:                       # already in date and line order
                     by_cents.setdefault(p["cents"], []).append(p)
-                used: set[int] = set()
+                open_ = {cents: Open(ps) for cents, ps in by_cents.items()}
                 for b in bank:
-                    for delta in deltas:
-                        got = _take(b["ref"], b["day"], by_cents.get(b["cents"] + delta, []), used, days)
-                        if got is not None:
-                            used.add(got)
-                            rows.append((dataset_id, b["line_number"], got))
-                            break
+                    offers = (open_[b["cents"] + d].give(b["ref"].strip(), b["day"], days) for d in deltas if b["cents"] + d in open_)
+                    line = next((x for x in offers if x is not None), None)
+                    if line is not None:
+                        rows.append((dataset_id, b["line_number"], line))
             yield pd.DataFrame(rows, columns=["dataset_id", "bank_line", "pay_line"])
     return run
 
@@ -143,32 +156,42 @@ def near_pass(bank: DataFrame, pays: DataFrame, days: int) -> DataFrame:
 
 
 # ---------------------------------------------------------------- batch transfers
-def pick_sum(pool: list[tuple[int, int]], target: int, most: int, steps: int = S.BATCH_STEPS) -> list[int] | None:
-    """Lines of 2 to `most` payments (line, cents) that add up to the target: smallest amounts first, a branch ends when
-    it overshoots, and an odd pool ends the search after a fixed number of steps."""
-    items = sorted(pool, key=lambda x: x[1])
-    left_steps = steps
-    # each frame: next item to try, amount still missing
-    stack, picked = [[0, target]], []
-    if target <= 0:
+def _subsets(cents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and size of every subset; bit 0 of a subset's number stands for the last amount, so that of two subsets the one that goes on
+    with an earlier amount has the larger number."""
+    total, size = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    for c in cents[::-1]:
+        total, size = np.concatenate([total, total + c]), np.concatenate([size, size + 1])
+    return total, size
+
+
+def pick_sum(pool: list[tuple[int, int]], target: int, most: int) -> list[int] | None:
+    """Lines of 2 to `most` payments (line, cents) that add up to the target. Of several such sets the one with the smallest amount,
+    then the smallest second one, and so on; equal amounts in the order given.
+
+    The sorted amounts are halved, and the sums of one half's subsets looked up among the other's: at most 2**20 each, all of
+    them, so that a set is found whenever there is one."""
+    items = sorted((x for x in pool if 0 < x[1] <= target), key=lambda x: x[1])
+    if target <= 0 or len(items) < 2:
+        return None
+    cents, half = np.array([c for _, c in items], np.int64), len(items) // 2
+    (head, head_size), (tail, tail_size) = _subsets(cents[:half]), _subsets(cents[half:])
+    fits = np.flatnonzero((head <= target) & (head_size <= most))
+    fits = fits[np.isin(target - head[fits], tail)]
+    if not len(fits):
         return None
-    while stack:
-        frame = stack[-1]
-        i, missing = frame
-        if missing == 0 and len(picked) >= 2:
-            return [items[k][0] for k in picked]
-        stop = missing <= 0 or len(picked) == most or i >= len(items)
-        if not stop:
-            left_steps -= 1
-            stop = left_steps < 0 or items[i][1] > missing
-        if stop:
-            stack.pop()
-            if picked:
-                picked.pop()
-            continue
-        frame[0] = i + 1
-        picked.append(i)
-        stack.append([i + 1, missing - items[i][1]])
+    order = np.argsort(tail, kind="stable")
+    sums = tail[order]
+    # subsets alike in sum and size have the same chances: of each kind only the first in order is tried
+    _, place = np.unique(np.stack([head[fits[::-1]], head_size[fits[::-1]]], 1), axis=0, return_index=True)
+    for at in np.sort(place):
+        first = fits[::-1][at]                       # the larger the number, the smaller its first amounts
+        lo, hi = np.searchsorted(sums, [target - head[first], target - head[first] + 1])
+        size = head_size[first] + tail_size[order[lo:hi]]
+        rest = order[lo:hi][(size >= 2) & (size <= most)]
+        if len(rest):
+            chosen = int(first) << (len(items) - half) | int(rest.max())
+            return [items[i][0] for i in range(len(items)) if chosen >> (len(items) - 1 - i) & 1]
     return None
 
 

@@ -68,3 +68,15 @@ def test_pick_sum():
     assert sorted(pick_sum([(1, 5), (2, 7), (3, 9)], 16, 25)) == [2, 3]
     assert pick_sum([(1, 5)], 5, 25) is None and pick_sum([(1, 5), (2, 5)], 0, 25) is None
     assert pick_sum([(i, 1) for i in range(30)], 26, 25) is None
+
+
+def test_pick_sum_takes_the_first_of_all_sets():
+    from itertools import combinations
+    rng = random.Random(3)
+    for _ in range(150):
+        pool = [(i, rng.randrange(1, 30)) for i in range(rng.randrange(2, 11))]
+        target, most = rng.randrange(1, 90), rng.choice([2, 3, 6, 25])
+        order = sorted(range(len(pool)), key=lambda i: pool[i][1])
+        sets = [c for n in range(2, min(most, len(pool)) + 1) for c in combinations(range(len(pool)), n) if sum(pool[order[i]][1] for i in c) == target]
+        assert pick_sum(pool, target, most) == ([pool[order[i]][0] for i in min(sets)] if sets else None)
+    assert pick_sum([(i, 3 + i % 2) for i in range(40)], 2, 25) is None
