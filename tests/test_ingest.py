@@ -35,6 +35,12 @@ def test_numbered_text_over_many_blocks(spark, tmp_path):
     assert len(got) == 5000 and all(r["text"] == f"line {r['line_number']}" for r in got)
 
 
+def test_values_broken_in_any_dialect(spark):
+    for sep in (",", ";", "\t"):
+        x = reports.to_commas(reports.join_broken(file(spark, [f"a{sep}b{sep}c", f'1{sep}"North', f'South"{sep}30', f"2{sep}West{sep}40"])))
+        assert [(r["line_number"], r["text"]) for r in x.orderBy("line_number").collect()][1:] == [(2, "1,North South,30" if sep != "," else '1,"North South",30'), (4, "2,West,40")]
+
+
 def test_decimal_commas_and_date_order(spark):
     rows = ["payment_id;pay_date;invoice_date;supplier;invoice_no;invoice_amount;paid_amount", "P1;13/09/2026;01/09/2026;Ashby;I1;1.234;99,00", "P2;02/09/2026;01/09/2026;Ashby;I2;;1.000,50"]
     x = reports.to_commas(file(spark, rows))
@@ -43,12 +49,13 @@ def test_decimal_commas_and_date_order(spark):
     assert [float(r["paid_amount"]) for r in got] == [99.0, 1000.5] and [r["invoice_amount_blank"] for r in got] == [False, True]
 
 
-def test_recognition_reasons():
+def test_recognition_reasons(spark):
     pay = ["Payment No", "Date Paid", "Bill Date", "Vendor", "Bill No", "Bill Amount", "Amount Paid"]
-    assert headers.recognise("export.csv", pay, set())[:2] == ("payments.csv", 1.0)
-    assert headers.recognise("export.csv", pay, {"payments.csv"})[0] is None
-    assert headers.recognise("Chase.csv", ["Date", "Description", "Amount", "Balance"], set())[0] == "bank_statement.csv"
-    assert headers.recognise("list.csv", ["Date", "Description", "Amount"], set())[0] is None
+    files = [("A", "export.csv", pay, []), ("B", "export.csv", pay, ["payments.csv"]), ("C", "Chase.csv", ["Date", "Description", "Amount", "Balance"], []), ("D", "list.csv", ["Date", "Description", "Amount"], []),
+             ("E", "notes.csv", [], [])]
+    got = {r.dataset_id: r for r in headers.recognised(spark.createDataFrame(files, "dataset_id string, source_file string, header array<string>, taken array<string>")).collect()}
+    assert (got["A"].kind, got["A"].share, got["A"].why_not) == ("payments.csv", 1.0, "") and got["C"].kind == "bank_statement.csv"
+    assert got["B"].kind is None and got["D"].kind is None and got["E"].why_not == "its columns do not look like any of the audit files"
 
 
 def test_folder_job_reports_new_findings_once(spark, tmp_path):
