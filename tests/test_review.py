@@ -37,12 +37,13 @@ def test_cases_join_findings_that_share_a_text(spark):
 
 def test_credit_is_one_by_one(spark):
     rng = random.Random(7)
-    pairs = [("A", "rules", p, f"K{k:02d}", "problem", rng.random() < 0.4, "Confirmed") for p in range(40) for k in rng.sample(range(25), rng.randrange(1, 5))]
-    df = spark.createDataFrame(pairs, "dataset_id string, engine string, finding long, id string, expect string, own boolean, verdict string")
+    # K9 stands before K10 in the key, whatever their ids' order as text
+    pairs = [("A", "rules", p, f"K{k}", k, "problem", rng.random() < 0.4, "Confirmed") for p in range(40) for k in rng.sample(range(25), rng.randrange(1, 5))]
+    df = spark.createDataFrame(pairs, "dataset_id string, engine string, finding long, id string, position long, expect string, own boolean, verdict string")
     taken, want = set(), {}
     for p in range(40):
-        mine = sorted((not x[5], x[3]) for x in pairs if x[2] == p)
-        pick = next((k for _, k in mine if k not in taken), None)
+        mine = sorted((not x[6], x[4], x[3]) for x in pairs if x[2] == p)
+        pick = next((k for *_, k in mine if k not in taken), None)
         if pick:
             taken.add(pick)
             want[p] = pick
