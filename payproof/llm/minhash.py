@@ -133,7 +133,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     apart = _by_rare_shingles(steps, docs, left, words, percent).join(tried, ["a", "b"], "left_anti")
     late = steps.write(_verified(steps, apart, classes, docs, words, percent))
     if not late.isEmpty():
-        part = components(steps, part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
+        part = steps.write(components(steps, part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late)))
+    steps.keep(sets, part)
     return (sets.select("doc_id", "n_shingles").join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))

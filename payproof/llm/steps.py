@@ -40,3 +40,8 @@ class Steps:
         for table in tables:
             path, store = self._path(self.paths.pop(id(table))[1])
             store.delete(path, True)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Remove all tables but these: what is returned reads no others."""
+        kept = {id(t) for t in tables}
+        self.drop(*[table for at, (table, _) in list(self.paths.items()) if at not in kept])
