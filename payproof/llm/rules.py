@@ -62,7 +62,7 @@ def _paths(tree) -> set[tuple]:
     for line in tree.toDebugString.splitlines():
         m = re.match(r"^( *)(?:If|Else) \(feature (\d+) (<=|>) ([-+.\dEe]+)\)", line)
         if m:
-            depth = (len(m[1]) - 2) // 1
+            depth = len(m[1])
             while way and way[-1][0] >= depth:
                 way.pop()
             way.append((depth, (STATISTICS[int(m[2])], m[3] == ">", float(m[4]))))
