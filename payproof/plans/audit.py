@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from payproof import schema as S
 from payproof.operators import approvals, documents, expenses, payments, reconcile, vendors
 from payproof.operators.findings import Found, all_of
+from payproof.scale import checkpointed
 from payproof.sources import headers, reports, tables
 
 
@@ -75,7 +76,7 @@ def files_from_lines(lines: DataFrame, kinds: list[str]) -> tuple[Files, DataFra
             typed[kind] = mine
             continue
         plain = reports.tidied(reports.to_commas(reports.join_broken(mine)))
-        heads = headers.auto_matched(headers.headers(plain))
+        heads = checkpointed(headers.auto_matched(headers.headers(plain)))         # a row per file, read by every check
         report = heads if report is None else report.unionByName(heads)
         typed[kind] = tables.typed(plain, heads.where("checked"), kind)
     files = Files(payments=typed.get("payments.csv"), approvals=typed.get("approvals.csv"), vendors=typed.get("vendors.csv"),
