@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from payproof.llm import bpe, minhash, mixing, quality, suffixes
 from payproof.scale import shared_folder
 
+LINKED = 80         # percent: near-duplicates on word shingles are linked from this similarity on
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -22,9 +23,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id. Documents without doc_id stay; rows with
+    """One document of each group of LINKED percent and more stays: the one with the smallest doc_id. Documents without doc_id stay; rows with
     one doc_id are one document and stay or go together."""
-    gone = minhash.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = minhash.near_duplicates(docs, percent=LINKED).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 

@@ -1,7 +1,8 @@
 """MinHash near-dedup: universal hash minima, banding, signature verification, exact check, components.
 
 128 hash functions a * x + b modulo 2**64 give each set of five-word shingles 128 minima. 32 bands of 4 minima are the
-buckets: two sets with similarity 0.85 share none with probability (1 - 0.85**4)**32 < 1e-10. Equal sets are one class from the
+buckets: two sets with similarity 0.85 share none with probability (1 - 0.85**4)**32 < 1e-10, and with
+similarity 0.80 (1 - 0.8**4)**32 < 5e-8. Equal sets are one class from the
 start, so copies cost one row of the class aggregate.
 
 Nothing emits all pairs of a bucket. Round one compares each member with its bucket's smallest document, and the links
@@ -11,6 +12,7 @@ estimate before texts are fetched for the exact check of the full sets.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +28,8 @@ from payproof.llm.steps import Steps
 WORDS = 5
 PERCENT = 85         # linked from this similarity on
 BANDS, ROWS = 32, 4
-#: A pair of at least PERCENT similarity has fewer equal minima than this once in 10**9.
-FEWEST = 84
+#: A pair that is just similar enough fails its signature estimate at most this often.
+LOSS = 1e-12
 MULTIPLY = mix(np.arange(1, BANDS * ROWS + 1, dtype=U)) | U(1)
 ADD = mix(np.arange(1, BANDS * ROWS + 1, dtype=U) << U(32))
 PART = 1 << 16       # shingles hashed at once, so that they stay in the processor's cache
@@ -98,9 +100,19 @@ def _confirm(words: int, percent: int):
     return run, "a long, b long"
 
 
-def _similar(a: str, b: str):
+def fewest(percent: int) -> int:
+    """The most equal minima that a pair of `percent` similarity has fewer of with a probability of LOSS at most."""
+    n, p = BANDS * ROWS, percent / 100
+    k, below = 0, (1 - p) ** n
+    while k < n and below <= LOSS:
+        k += 1
+        below += math.comb(n, k) * p ** k * (1 - p) ** (n - k)
+    return k
+
+
+def _similar(a: str, b: str, percent: int):
     """Whether two signatures agree in enough places."""
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda t: t)) >= FEWEST
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda t: t)) >= fewest(percent)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -187,5 +199,5 @@ def _verified(steps: Steps, pairs: DataFrame, classes: DataFrame, docs: DataFram
     """The pairs (a, b) whose signatures, and then full sets, are similar enough."""
     sig = lambda c: classes.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}"))
     text = lambda c: docs.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    likely = steps.write(pairs.join(sig("a"), "a").join(sig("b"), "b").where(_similar("sig_a", "sig_b")).select("a", "b").distinct())
+    likely = steps.write(pairs.join(sig("a"), "a").join(sig("b"), "b").where(_similar("sig_a", "sig_b", percent)).select("a", "b").distinct())
     return likely.join(text("a"), "a").join(text("b"), "b").mapInArrow(*_confirm(words, percent)).distinct()

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -67,3 +68,32 @@ def test_a_large_group(docs):
 
 def test_empty_table(docs):
     assert minhash.near_duplicates(docs([])).collect() == []
+
+
+def test_the_pipeline_links_from_080(docs):
+    """A changed last word leaves n - 1 of n + 1 shingles: 0.80 to 0.846 for 9 to 12 shingles, 0.778 for 8."""
+    import corpus_pipeline
+    texts = []
+    for n in range(8, 13):
+        words = [f"n{n}w{i}" for i in range(n + 4)]
+        texts += [" ".join(words), " ".join([*words[:-1], "else"])]
+    table = docs(texts)
+    left = corpus_pipeline.near_duplicates(table.sparkSession, table, "")
+    assert left.columns == table.columns and {r.doc_id for r in left.collect()} == {0, 1, 2, 4, 6, 8}
+
+
+def test_signature_estimate_keeps_an_unlucky_pair(docs):
+    """A pair of exactly 0.80 with so few equal minima as one in 20,000 has."""
+    words = [f"s20945w{i}" for i in range(13)]
+    texts = [" ".join(words), " ".join([*words[:-1], "else"])]
+    low = minhash.minima(*minhash.shingle_sets([t.encode() for t in texts], 5))
+    assert (low[0] == low[1]).sum() < 84
+    got = minhash.near_duplicates(docs(texts), percent=80).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(0, 0), (1, 0)]
+
+
+def test_signature_estimate_follows_the_percent():
+    for percent in (80, 85, 90):
+        p, k = percent / 100, minhash.fewest(percent)
+        below = [sum(math.comb(128, i) * p ** i * (1 - p) ** (128 - i) for i in range(n)) for n in (k, k + 1)]
+        assert below[0] <= 1e-12 < below[1]
