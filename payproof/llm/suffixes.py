@@ -185,7 +185,7 @@ def _spans(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(length: int):
+def _cut(length: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             repeated, opened = (batch.column(c).to_pylist() for c in ("repeated", "opened"))
@@ -199,7 +199,7 @@ def _cut(length: int):
                     gone = _listed(signed(b.stretch(s, e + length, 0)), o, repeated)
                     for i, x, y in zip(o[gone].tolist(), (s + h)[gone].tolist(), (e + h)[gone].tolist(), strict=True):
                         hits[i].append((x, y + length))
-            spans = [_spans(h) for h in hits]
+            spans = [[(s, e) for s, e in _spans(h) if e - s >= LENGTH or len(t[s:e].split()) >= words] for t, h in zip(own_texts, hits, strict=True)]
             kept = []
             for t, ss in zip(own_texts, spans, strict=True):
                 ends = [0, *[e for _, e in ss]]
@@ -221,11 +221,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return _removed(docs.select(F.struct("doc_id").alias("row"), "doc_id", F.col("text").cast("string").alias("text")), length).select("row.*", "n_bytes", "n_removed", "spans", "kept_bytes")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with what `remove_repeats` leaves of their texts, all columns kept. Of a character that a removal cut the rest goes too;
+def without_repeats(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
+    """docs with what `remove_repeats` leaves of their texts, all columns kept. Runs of fewer than `words` words stay, if they have less
+    than LENGTH bytes; a repeated passage lies in one run, so none of `words` words and `length` bytes is lost. Of a character that a removal cut the rest goes too;
     n_chars, if there is such a column, counts what is left where something went. Texts of which only white space is left go, unless
     they were so before."""
-    left = _removed(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"), length)
+    left = _removed(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"), length, words)
     shorter = F.col("n_removed") > 0
     out = left.where(~shorter | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
     fresh = {"text": F.when(shorter, F.col("kept_text")).otherwise(F.col("row.text"))}
@@ -234,7 +235,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return out.select(*[(fresh[c] if c in fresh else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
-def _removed(docs: DataFrame, length: int) -> DataFrame:
+def _removed(docs: DataFrame, length: int, words: int = 0) -> DataFrame:
     """From (row, doc_id, text): row, n_bytes, n_removed, spans, kept_bytes, kept_text."""
     steps = Steps(docs.sparkSession)
     # equal rows share a rid; all that is joined on it below is true of a string wherever it stands
@@ -260,4 +261,4 @@ def _removed(docs: DataFrame, length: int) -> DataFrame:
     lists = steps.write(gather(repeated, "repeated").join(gather(opened[:2], "opened"), "rid", "left"))
     steps.drop(*repeated, *opened)
     out = f"row {dict(docs.dtypes)['row']}, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept_bytes binary, kept_text string"
-    return docs.join(lists, "rid", "left").select("row", "text", "repeated", "opened").mapInArrow(_cut(length), out)
+    return docs.join(lists, "rid", "left").select("row", "text", "repeated", "opened").mapInArrow(_cut(length, words), out)

@@ -54,3 +54,25 @@ def test_documents_keep_their_columns(docs):
     assert suffixes.without_repeats(table).columns == table.columns
     assert got[0].text == "tail" and got[0].n_chars == 4 and 1 not in got and got[2].text == "short" and got[3].text is None
     assert got[2].rid == "x" and suffixes.without_repeats(table.where(F.lit(False))).collect() == []
+
+
+def test_the_pipeline_cuts_passages_of_51_words(docs):
+    """Passages of 51 to 60 words under 400 bytes go from both documents; shorter ones and clean documents stay."""
+    import random
+    import corpus_pipeline
+    rnd = random.Random(6)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 9))) for _ in range(n))
+    texts, kept = [], []
+    for n in (40, 51, 55, 60):
+        passage = prose(n)
+        assert 200 <= len(passage) < 400
+        for own in ("One", "Two"):
+            head, tail = f"{prose(30)} {own}", f"{own}! {prose(30)}"
+            texts.append(f"{head} {passage} {tail}")
+            kept.append(texts[-1] if n < 51 else f"{head}{tail}")
+    for _ in range(3):
+        texts.append(prose(150))
+        kept.append(texts[-1])
+    table = docs(texts)
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_bytes(table.sparkSession, table, "").collect()}
+    assert got == dict(enumerate(kept))
