@@ -270,7 +270,7 @@ def run_sql(spark: SparkSession, folder: str, sql: str) -> DataFrame:
 def oracle_ctes(*names: str) -> str:
     """The same tables as WITH clauses for the oracle."""
     plain = {t: t for t in TABLES}
-    return ", ".join(f"{n} AS ({VIEWS[n].format(**plain)})" for n in names)
+    return ", ".join(f"{n} AS MATERIALIZED ({VIEWS[n].format(**plain)})" for n in names)
 
 
 # ---------------------------------------------------------------- review: proposed findings, decisions, trail, answer key

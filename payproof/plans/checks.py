@@ -141,7 +141,7 @@ check("chk_1_1_late", approvals.late_order, ["approvals"], L, _PO + f"""
       SELECT {o_finding('1.1', 'Medium', 'amount', "po_doc || ' raised ' || CAST(po_date - date AS VARCHAR) || ' days after invoice ' || doc_no", 'approvals.csv', 'po_line', 'line_number')}
       FROM po WHERE po_date > date""", _PO + f" SELECT {o_link('1.1', 'approvals.csv', 'po_line', 'line_number', 'line_number')} FROM po WHERE po_date > date")
 
-_COVERED = _PO.replace("WITH keyed", "WITH RECURSIVE keyed", 1) + f""",
+_COVERED = _PO + f""",
 tries AS (SELECT dataset_id, po_line, line_number, amount, po_amount + 1 AS room, row_number() OVER (PARTITION BY dataset_id, po_line ORDER BY line_number) AS nth
           FROM po WHERE same AND amount > 10000 AND po_amount > 10000 AND NOT {o_director('approver_role')}),
 fold(dataset_id, po_line, nth, line_number, billed, taken) AS (
@@ -155,16 +155,11 @@ hits AS (SELECT * FROM keyed k WHERE amount > 10000 AND NOT {o_director('approve
          AND NOT EXISTS (SELECT 1 FROM covered c WHERE c.dataset_id = k.dataset_id AND c.line_number = k.line_number))"""
 
 
-def _recursive(names: list[str], sql: str) -> str:
-    """RECURSIVE belongs right after the first WITH."""
-    return with_views(names, sql.replace("WITH RECURSIVE keyed", "WITH keyed", 1)).replace("WITH ", "WITH RECURSIVE ", 1)
-
-
 check("chk_1_3", approvals.not_a_director, ["approvals"], L)
-register("chk_1_3_lines", over_views(lambda a: approvals.not_a_director(a, L).links, ["approvals"]), _recursive(["approvals"], _COVERED + f"""
+register("chk_1_3_lines", over_views(lambda a: approvals.not_a_director(a, L).links, ["approvals"]), with_views(["approvals"], _COVERED + f"""
       SELECT {o_link('1.3', 'approvals.csv', 'c.po_line', 'c.line_number').replace('dataset_id,', 'c.dataset_id,', 1)}
       FROM covered c JOIN hits h ON h.dataset_id = c.dataset_id AND h.line_number = c.po_line AND upper(trim(h.type)) = 'PO'"""))
-ORACLES["chk_1_3"] = _recursive(["approvals"], _COVERED + f"""
+ORACLES["chk_1_3"] = with_views(["approvals"], _COVERED + f"""
       SELECT {o_finding('1.3', 'Medium', 'amount', f"{_LABEL} || ' for $' || {o_fmt('amount')} || ' approved by a ' || CASE WHEN approver_role <> '' THEN approver_role ELSE 'non-director' END || ', not a director'", 'approvals.csv')} FROM hits""")
 
 _UNDER = f"""
@@ -207,14 +202,10 @@ picked AS (SELECT w.*, m.line_number AS m_line, m.vendor AS m_vendor FROM walk k
 split AS (SELECT dataset_id, vendor_key, person, pos, n, total, max(m_line) AS last_line, arg_max(m_vendor, m_line) AS shown FROM picked GROUP BY ALL)"""
 
 
-def _walked(names: list[str], sql: str) -> str:
-    return with_views(names, sql).replace("WITH ", "WITH RECURSIVE ", 1)
-
-
 check("chk_1_4", approvals.split_orders, ["approvals"], L, lines_sql="")
 _SPLIT_TITLE = f"CAST(n AS VARCHAR) || ' ' || shown || ' invoices without a PO within 3 days, total $' || {o_fmt('total')} || ' - possible split to avoid director approval'"
-ORACLES["chk_1_4"] = _walked(["approvals"], _SPLIT + f" SELECT {o_finding('1.4', 'Medium', 'total', _SPLIT_TITLE, 'approvals.csv', 'last_line')} FROM split")
-ORACLES["chk_1_4_lines"] = _walked(["approvals"], _SPLIT + f""" SELECT {o_link('1.4', 'approvals.csv', 's.last_line', 'p.m_line').replace('dataset_id,', 's.dataset_id,', 1)}
+ORACLES["chk_1_4"] = with_views(["approvals"], _SPLIT + f" SELECT {o_finding('1.4', 'Medium', 'total', _SPLIT_TITLE, 'approvals.csv', 'last_line')} FROM split")
+ORACLES["chk_1_4_lines"] = with_views(["approvals"], _SPLIT + f""" SELECT {o_link('1.4', 'approvals.csv', 's.last_line', 'p.m_line').replace('dataset_id,', 's.dataset_id,', 1)}
     FROM split s JOIN picked p ON p.dataset_id = s.dataset_id AND p.vendor_key = s.vendor_key AND p.person = s.person AND p.pos = s.pos AND p.m_line <> s.last_line""")
 
 # ---------------------------------------------------------------- vendors
@@ -306,6 +297,6 @@ walk(dataset_id, person, pos, last_hit, hit) AS (SELECT dataset_id, person, pos,
 three AS (SELECT w.dataset_id, w.person, w.pos, m.line_number, m.amount, m.employee FROM walk w JOIN n m ON m.dataset_id = w.dataset_id AND m.person = w.person AND m.pos BETWEEN w.pos - 2 AND w.pos WHERE hit),
 run3 AS (SELECT dataset_id, person, pos, sum(amount) AS total, max(line_number) AS last_line, arg_max(employee, line_number) AS shown FROM three GROUP BY ALL)"""
 _RUN_TITLE = "trim(shown) || ' made 3 claims without a receipt just under the $25.00 receipt limit within 30 days'"
-ORACLES["chk_6_6"] = _walked(["expenses"], _UNDER_RECEIPT + f" SELECT {o_finding('6.6', 'Low', 'total', _RUN_TITLE, 'expenses.csv', 'last_line')} FROM run3")
-ORACLES["chk_6_6_lines"] = _walked(["expenses"], _UNDER_RECEIPT + f""" SELECT {o_link('6.6', 'expenses.csv', 'r.last_line', 't.line_number').replace('dataset_id,', 'r.dataset_id,', 1)}
+ORACLES["chk_6_6"] = with_views(["expenses"], _UNDER_RECEIPT + f" SELECT {o_finding('6.6', 'Low', 'total', _RUN_TITLE, 'expenses.csv', 'last_line')} FROM run3")
+ORACLES["chk_6_6_lines"] = with_views(["expenses"], _UNDER_RECEIPT + f""" SELECT {o_link('6.6', 'expenses.csv', 'r.last_line', 't.line_number').replace('dataset_id,', 'r.dataset_id,', 1)}
     FROM run3 r JOIN three t ON t.dataset_id = r.dataset_id AND t.person = r.person AND t.pos = r.pos AND t.line_number <> r.last_line""")

@@ -13,7 +13,7 @@ from payproof.operators.findings import union
 from payproof.plans import bridge
 from payproof.plans import checks, gates  # noqa: F401  (their oracles are used below)
 from payproof.plans.audit import Files, analyze
-from payproof.plans.registry import ORACLES, o_fmt, register, with_views
+from payproof.plans.registry import all_of, o_fmt, register, with_views
 from payproof.plans.reviews import SHADOW, reg
 from payproof.operators import evidence, review
 from payproof.scale import checkpointed, shared_folder
@@ -52,14 +52,11 @@ def _whole_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.findings.groupBy("dataset_id", "clause").agg(F.count("*").alias("findings"), F.sum(F.col("line_number")).alias("lines"))
 
 
-def _all_of(names: list[str], columns: str) -> str:
-    return " UNION ALL ".join(f"SELECT {columns} FROM ({ORACLES[n]})" for n in names)
-
-
-register("set_union_checks", _whole_audit, f"SELECT dataset_id, clause, count(*) AS findings, CAST(sum(line_number) AS BIGINT) AS lines FROM ({_all_of(CHECKS, 'dataset_id, clause, line_number')}) GROUP BY ALL")
+_EVERY_VIEW, _EVERY = all_of(CHECKS, "dataset_id, clause, line_number")
+register("set_union_checks", _whole_audit, with_views(_EVERY_VIEW, f"SELECT dataset_id, clause, count(*) AS findings, CAST(sum(line_number) AS BIGINT) AS lines FROM ({_EVERY}) GROUP BY ALL"))
 _REPORTED = ["chk_5_3_noref", "chk_5_4", "chk_4_4", "chk_6_2", "chk_6_3"]
 _REPORT = f"""
-  f AS MATERIALIZED ({_all_of(_REPORTED, "dataset_id, clause, severity, amount, title, source_file, line_number")}),
+  f AS MATERIALIZED ({all_of(_REPORTED, "dataset_id, clause, severity, amount, title, source_file, line_number")[1]}),
   known AS (SELECT DISTINCT dataset_id, clause, source_file, title FROM f WHERE line_number % 2 = 0),
   report AS MATERIALIZED (SELECT f.*, CASE WHEN k.clause IS NULL THEN 'yes' ELSE '' END AS new FROM f LEFT JOIN known k USING (dataset_id, clause, source_file, title))"""
 reg("snk_findings", lambda p, v, e: _report(p, v, e).select("dataset_id", "new", "severity", "clause", F.col("amount").cast("double").alias("amount"), "title", "line_number", "evidence"), _V, f"""

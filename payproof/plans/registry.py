@@ -1,6 +1,7 @@
 """Registered queries and, where SQL can say the same, the oracle for each."""
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from payproof.plans import bridge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_PARTS: dict[str, tuple[list[str], str]] = {}         # an oracle's views and its own part
 
 
 def register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
@@ -22,10 +24,22 @@ def register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str
 
 
 def with_views(names: list[str], sql: str) -> str:
-    """An oracle over payables views: their definitions, then the query (which may go on with more WITH clauses)."""
-    body = sql.strip()
-    lead = f"WITH {bridge.oracle_ctes(*names)}"
-    return f"{lead}, {body[4:].lstrip()}" if body.upper().startswith("WITH") else f"{lead} {body}"
+    """An oracle over payables views: their definitions, then the query (which may go on with more WITH clauses). Views
+    and result are materialized, so that a caller's own LIMIT or count around it doesn't change how it is computed."""
+    body = re.sub("^WITH (?!RECURSIVE)", "WITH RECURSIVE ", sql.strip())
+    whole = _over(names, body)
+    _PARTS[whole] = (names, body)
+    return whole
+
+
+def all_of(names: list[str], columns: str) -> tuple[list[str], str]:
+    """The views that the oracles of several queries read, and the union of their rows: what with_views takes."""
+    parts = [_PARTS[ORACLES[n]] for n in names]
+    return sorted({v for views, _ in parts for v in views}), " UNION ALL ".join(f"SELECT {columns} FROM ({body})" for _, body in parts)
+
+
+def _over(names: list[str], body: str) -> str:
+    return f"WITH {bridge.oracle_ctes(*names)}, whole AS MATERIALIZED ({body}) SELECT * FROM whole"
 
 
 def over_views(fn: Callable[..., DataFrame], names: list[str]) -> Callable[[SparkSession, str], DataFrame]:

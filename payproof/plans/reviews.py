@@ -127,7 +127,7 @@ def o_cases(source: str) -> str:
 
 
 def reg_cases(name: str, fn, views: list[str], sql: str) -> None:
-    register(name, over_views(fn, views), with_views(views, sql).replace("WITH ", "WITH RECURSIVE ", 1))
+    register(name, over_views(fn, views), with_views(views, sql))
 
 
 reg_cases("cases", lambda f: review.cases(f).groupBy("dataset_id", "case").agg(F.count("*").alias("findings")), ["findings"],
@@ -269,10 +269,6 @@ reg("au_append", lambda t: trail.append(t).select("dataset_id", "seq", "prev", "
     c(dataset_id, k, seq, prev, hash) AS (SELECT dataset_id, k, seq, repeat('0', 64), sha256(repeat('0', 64) || words) FROM n WHERE k = 1
       UNION ALL SELECT n.dataset_id, n.k, n.seq, c.hash, sha256(c.hash || n.words) FROM c JOIN n ON n.dataset_id = c.dataset_id AND n.k = c.k + 1)
     SELECT dataset_id, seq, prev, hash FROM c""")
-from payproof.plans.registry import ORACLES  # noqa: E402
-
-for _name in ("au_append", "score_credit", "score_prf", "bench_summary"):
-    ORACLES[_name] = ORACLES[_name].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def _tampered(t: DataFrame) -> tuple[DataFrame, DataFrame]:
