@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payproof.scale import shared_folder
-from payproof.llm import bpe, embeddings, minhash, mixing, packing, quality, rollups, rules, substrings, suffixes
+from payproof.llm import bpe, decontaminate, embeddings, minhash, mixing, packing, phrases, quality, ranked, rollups, rules, substrings, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -187,3 +187,71 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     for number, events in ((1, first), (2, second), (2, second), (3, third), (4, fourth), (3, third)):
         rollup.commit(number, events)
     return rollup.totals()
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op11_decontaminate", f"""
+WITH words AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents
+), items AS (SELECT item_id, {_WORDS} AS w FROM benchmark
+), windows AS MATERIALIZED (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i + 9], ' ') AS g
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM items WHERE len(w) > 0)
+), found AS MATERIALIZED (
+  SELECT doc_id, i, k, g FROM (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (
+    SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM words, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k))
+  WHERE g IN (SELECT g FROM windows)
+), hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, i + unnest(generate_series(0, k - 1)) AS p FROM found) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found JOIN windows USING (k, g)) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(m.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM words LEFT JOIN hit h USING (doc_id) LEFT JOIN named m USING (doc_id)""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "leak.n_words", "leak.n_hit", F.size("leak.items").cast("long").alias("n_items"),
+                        decontaminate.digest(F.col("leak.items")).alias("items_sha256"), (F.col("leak.n_hit") > 0).alias("contaminated"))
+
+
+@query("op12_phrases", """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents
+), total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang
+), f AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS a FROM (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM pieces, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k))
+  GROUP BY ALL HAVING count(*) >= 10
+), longer AS (
+  SELECT lang, phrase, max(a) AS b FROM (SELECT lang, a, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS phrase FROM f WHERE k = 3) GROUP BY ALL
+), cuts AS (
+  SELECT lang, phrase, a, c, array_to_string(string_split(phrase, ' ')[1:c], ' ') AS x, array_to_string(string_split(phrase, ' ')[c + 1:k], ' ') AS y
+  FROM (SELECT *, unnest(generate_series(1, k - 1)) AS c FROM f LEFT JOIN longer USING (lang, phrase) WHERE k > 1 AND coalesce(100 * b < 50 * a, true))
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, c, l.a AS l, r.a AS r, CAST(1000000::HUGEINT * cuts.a * cuts.a // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = x JOIN f r ON r.lang = cuts.lang AND r.phrase = y
+), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.phrases(table(spark, folder, "documents"))
+
+
+@query("op13_ranked_search", f"""
+WITH terms AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_WORDS}) AS term FROM documents) GROUP BY ALL
+), lengths AS MATERIALIZED (SELECT doc_id, sum(tf) AS n FROM terms GROUP BY doc_id
+), whole AS (SELECT count(*) AS docs, sum(n) AS words FROM lengths
+), items AS MATERIALIZED (SELECT DISTINCT item_id, unnest({_WORDS}) AS term FROM benchmark
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM terms, whole WHERE term IN (SELECT term FROM items) GROUP BY term
+), worth AS MATERIALIZED (
+  SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + CAST((50 * n * docs) // words AS BIGINT)))) AS v
+  FROM terms JOIN weights USING (term) JOIN lengths USING (doc_id), whole
+), scores AS (SELECT item_id, doc_id, CAST(sum(v) AS BIGINT) AS score FROM items JOIN worth USING (term) GROUP BY ALL HAVING sum(v) > 0
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scores)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
