@@ -6,7 +6,7 @@ import corpus_pipeline
 from payproof.llm import bpe, minhash, quality, queries, suffixes
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings", "labels")
+TABLES = ("documents", "embeddings", "labels", "benchmark")
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -22,7 +22,7 @@ def test_oracle(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark):
@@ -30,8 +30,8 @@ def test_pipeline(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     stay = {r.doc_id for r in quality.judged(docs).where("quality.kept").collect()}
     kept = docs.where(docs.doc_id.isin([int(i) for i in stay]))
-    first = {r.doc_id for r in minhash.near_duplicates(kept).where("kept").collect()}
-    after = {r.doc_id: r.text for r in suffixes.without_repeats(docs.where(docs.doc_id.isin([int(i) for i in first]))).collect()}
+    first = {r.doc_id for r in minhash.near_duplicates(kept, percent=80).where("kept").collect()}
+    after = {r.doc_id: r.text for r in suffixes.without_repeats(docs.where(docs.doc_id.isin([int(i) for i in first])), 200, 51).collect()}
     got = corpus_pipeline.run(spark, SF).collect()
     assert got and {r.doc_id for r in got} <= set(after) <= first <= stay <= set(texts)
     coder = bpe.Coder(bpe.read_ranks(open(queries.VOCABULARY, "rb").read()), queries.public_tokenizers.PATTERN)
