@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from payproof.llm.steps import Steps
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 16            # a power of two
 THRESHOLD = -0.25            # nats per n-gram
 TRUSTED_CHARS = 300          # fewest characters of a trusted text
 TRUSTED_SYMBOLS = 0.01       # most symbols per character
@@ -33,7 +33,7 @@ def _let(value: Column, body) -> Column:
 
 
 def _chars_of(text: Column, chars: str) -> Column:
-    return F.char_length(text) - F.char_length(F.translate(text, chars, ""))
+    return F.regexp_count(text, F.lit(f"[{chars}]"))
 
 
 def _words(text: Column) -> Column:
@@ -47,45 +47,55 @@ def _repeated(hashes: Column) -> Column:
         places = F.sort_array(F.transform(twice, lambda x: x["i"]))
         start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
         return F.aggregate(places, start, lambda a, p: F.struct((a["n"] + p + WINDOW - F.greatest(a["end"], p)).alias("n"), (p + WINDOW).alias("end")))["n"]
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(
-        _let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), covered))
+
+    def close(s: Column) -> Column:
+        """Windows, by hash and place, that agree with another in half of the hash: what is sorted whole are these few."""
+        n = F.size(s) - 1
+        beside = F.zip_with(F.slice(s, F.lit(1), n), F.slice(s, F.lit(2), n), lambda a, b: F.when(F.shiftright(a.bitwiseXOR(b), 32) == 0, F.array(a, b)))
+        place = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+        return F.transform(F.array_distinct(F.flatten(F.filter(beside, lambda x: x.isNotNull()))), lambda x: F.struct(F.get(hashes, place(x)).alias("h"), place(x).alias("i")))
+    halves = F.transform(hashes, lambda h, i: F.shiftleft(h, 32).bitwiseOR(i.cast("long")))
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(_let(F.sort_array(halves), lambda s: _let(F.sort_array(close(s)), covered)))
 
 
 def _repeat_words(words: Column) -> Column:
-    def windows(w: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(w) - WINDOW)
-        return F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
-    return F.when(F.size(words) < WINDOW, 0).otherwise(_let(windows(words), _repeated))
+    def joined(a: Column, b: Column, skip: int, n: Column) -> Column:
+        """The hashes of neighbouring runs: the run at a place of `a` and the one `skip` words further on in `b`."""
+        return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(skip + 1), n), lambda x, y: F.xxhash64(x, y))
+
+    def windows(h: Column) -> Column:
+        """Of each five words: every word is hashed once, pairs are joined to fours and fours to fives."""
+        pairs = joined(h, h, 1, F.size(h) - 1)
+        return _let(pairs, lambda p: joined(joined(p, p, 2, F.size(h) - 3), h, 4, F.size(h) - 4))
+    return _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) < WINDOW, 0).otherwise(_let(windows(h), _repeated)))
 
 
 def surface(text: Column) -> Column:
-    """A struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text."""
+    """A struct of w (n_words, word_chars, n_repeat_words), n_symbols and n_dup_lines of a text."""
     text = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, SPACE, "") != "")
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     long = lambda c, name: c.cast("long").alias(name)
-    counted = _let(_words(text), lambda w: F.struct(long(F.size(w), "n_words"), long(_repeat_words(w), "n_repeat_words")))
-    return F.struct(counted.alias("w"), long(F.char_length(F.translate(text, SPACE, "")), "word_chars"), long(_chars_of(text, SYMBOLS), "n_symbols"),
+    chars = lambda w: F.aggregate(w, F.lit(0).cast("long"), lambda n, x: n + F.char_length(x))
+    counted = _let(_words(text), lambda w: F.struct(long(F.size(w), "n_words"), chars(w).alias("word_chars"), long(_repeat_words(w), "n_repeat_words")))
+    return F.struct(counted.alias("w"), long(_chars_of(text, SYMBOLS), "n_symbols"),
                     long(_let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))), "n_dup_lines"))
 
 
-def _bucket(*tokens: Column) -> Column:
-    return F.pmod(F.xxhash64(*tokens), F.lit(BUCKETS)).cast("int")
-
-
 def grams(text: Column) -> Column:
-    """The buckets of a text's single tokens and pairs of neighbours."""
+    """The buckets of a text's single tokens and pairs of neighbours: a token is hashed once, a pair is the hash of two hashes."""
     def both(t: Column) -> Column:
         n = F.greatest(F.size(t) - 1, F.lit(0))
-        pairs = F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: _bucket(a, b))
-        return F.concat(F.transform(t, lambda x: _bucket(x)), pairs)
-    return _let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"), F.lit(0)), both)
+        pairs = F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
+        return F.transform(F.concat(t, pairs), lambda h: h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"), F.lit(0))
+    return _let(F.transform(tokens, lambda x: F.xxhash64(x)), both)
 
 
 def weights(docs: DataFrame, text: str = "text") -> list[float]:
     """The log ratio of each bucket: BUCKETS numbers, each share with one n-gram more than was counted."""
     steps = Steps(docs.sparkSession)
     chars = F.char_length(text)
-    trusted = (chars >= TRUSTED_CHARS) & (_chars_of(F.col(text), SYMBOLS) <= chars * TRUSTED_SYMBOLS) & (_chars_of(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ") <= chars * TRUSTED_CAPITALS)
+    trusted = (chars >= TRUSTED_CHARS) & (_chars_of(F.col(text), SYMBOLS) <= chars * TRUSTED_SYMBOLS) & (_chars_of(F.col(text), "A-Z") <= chars * TRUSTED_CAPITALS)
     # the mark goes into each n-gram's number: beside them it would be computed once for every n-gram
     marked = _let(trusted.cast("int"), lambda t: F.transform(grams(F.col(text)), lambda b: b * 2 + t))
     found = docs.where(F.col(text).isNotNull()).select(F.explode(marked).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
@@ -115,7 +125,7 @@ def judged(docs: DataFrame, text: str = "text", out: str = "quality") -> DataFra
     result. All other columns stay; one named like `out` is replaced."""
     weight = weights(docs, text)
     q = _let(surface(F.col(text)), lambda s: F.struct(
-        s["w"]["n_words"].alias("n_words"), s["word_chars"].alias("word_chars"), s["n_symbols"].alias("n_symbols"), s["n_dup_lines"].alias("n_dup_lines"),
+        s["w"]["n_words"].alias("n_words"), s["w"]["word_chars"].alias("word_chars"), s["n_symbols"].alias("n_symbols"), s["n_dup_lines"].alias("n_dup_lines"),
         s["w"]["n_repeat_words"].alias("n_repeat_words"),
         ((s["w"]["n_words"] < FEWEST_WORDS) | (100 * s["w"]["n_repeat_words"] > MOST_REPEATED * s["w"]["n_words"])).alias("base_failed")))
     verdict = F.struct("__q.*", F.col("__llr").alias("llr"), (~F.col("__q.base_failed") & (F.col("__llr") >= THRESHOLD)).alias("kept"))

@@ -31,12 +31,12 @@ def statistics(text: Column) -> list[Column]:
     text = F.coalesce(text, F.lit(""))
     per = lambda a, b: (a / F.greatest(b, F.lit(1))).cast("double")
     s = F.col("__s")
-    words, chars = s["w"]["n_words"], s["word_chars"]
+    words, chars = s["w"]["n_words"], s["w"]["word_chars"]
     lines = F.size(F.split(text, "\n"))
     distinct = _let(F.filter(F.split(F.translate(text, SPACE, " " * len(SPACE)), " "), lambda w: w != ""), lambda w: F.size(F.array_distinct(w)))
     return [c.alias(n) for n, c in zip(STATISTICS, (
-        words.cast("double"), per(chars, words), per(s["n_symbols"], chars), per(_chars_of(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), chars), per(_chars_of(text, "0123456789"), chars),
-        per(_chars_of(text, "!?.,;:|-_=~^@/\\()[]{}\"'"), chars), per(s["n_dup_lines"], lines), per(s["w"]["n_repeat_words"], words), per(words, lines), per(distinct, words)), strict=True)]
+        words.cast("double"), per(chars, words), per(s["n_symbols"], chars), per(_chars_of(text, "A-Z"), chars), per(_chars_of(text, "0-9"), chars),
+        per(_chars_of(text, r"!?.,;:|\-_=~\^@/\\()\[\]{}\"'"), chars), per(s["n_dup_lines"], lines), per(s["w"]["n_repeat_words"], words), per(words, lines), per(distinct, words)), strict=True)]
 
 
 @dataclass(frozen=True)

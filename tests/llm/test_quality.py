@@ -24,10 +24,14 @@ def surface(t):
 
 
 def bucket(*tokens):
+    """A token's hash, or the hash of two tokens' hashes."""
     seed = 42
-    for t in tokens:
-        seed = xxhash.xxh64_intdigest(t.encode(), seed)
-    return (seed - (1 << 64) if seed >> 63 else seed) % quality.BUCKETS
+    hashes = [xxhash.xxh64_intdigest(t.encode(), seed) for t in tokens]
+    if len(hashes) > 1:
+        for h in hashes:
+            seed = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed)
+        hashes = [seed]
+    return hashes[0] % quality.BUCKETS
 
 
 def grams(t):
