@@ -37,7 +37,7 @@ def _chars_of(text: Column, chars: str) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
 
 def _repeated(hashes: Column) -> Column:
@@ -75,30 +75,32 @@ def surface(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     long = lambda c, name: c.cast("long").alias(name)
-    chars = lambda w: F.aggregate(w, F.lit(0).cast("long"), lambda n, x: n + F.char_length(x))
-    counted = _let(_words(text), lambda w: F.struct(long(F.size(w), "n_words"), chars(w).alias("word_chars"), long(_repeat_words(w), "n_repeat_words")))
+    counted = _let(_words(text), lambda w: F.struct(long(F.size(w), "n_words"), long(F.char_length(F.array_join(w, "")), "word_chars"), long(_repeat_words(w), "n_repeat_words")))
     return F.struct(counted.alias("w"), long(_chars_of(text, SYMBOLS), "n_symbols"),
                     long(_let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))), "n_dup_lines"))
 
 
 def grams(text: Column) -> Column:
-    """The buckets of a text's single tokens and pairs of neighbours: a token is hashed once, a pair is the hash of two hashes."""
+    """Hashes of a text's single tokens and pairs of neighbours: a token is hashed once, a pair is the hash of two hashes."""
     def both(t: Column) -> Column:
         n = F.greatest(F.size(t) - 1, F.lit(0))
-        pairs = F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
-        return F.transform(F.concat(t, pairs), lambda h: h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+        return F.concat(t, F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: F.xxhash64(a, b)))
     tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"), F.lit(0))
     return _let(F.transform(tokens, lambda x: F.xxhash64(x)), both)
 
 
+def _bucket(gram: Column) -> Column:
+    return gram.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+
+
 def weights(docs: DataFrame, text: str = "text") -> list[float]:
     """The log ratio of each bucket: BUCKETS numbers, each share with one n-gram more than was counted."""
     steps = Steps(docs.sparkSession)
     chars = F.char_length(text)
     trusted = (chars >= TRUSTED_CHARS) & (_chars_of(F.col(text), SYMBOLS) <= chars * TRUSTED_SYMBOLS) & (_chars_of(F.col(text), "A-Z") <= chars * TRUSTED_CAPITALS)
-    # the mark goes into each n-gram's number: beside them it would be computed once for every n-gram
-    marked = _let(trusted.cast("int"), lambda t: F.transform(grams(F.col(text)), lambda b: b * 2 + t))
-    found = docs.where(F.col(text).isNotNull()).select(F.explode(marked).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    # mark and n-grams of a text are computed below the explode, and once: a plain explode would ask for the number of n-grams before it
+    marked = docs.where(F.col(text).isNotNull()).select(trusted.cast("int").alias("good"), grams(F.col(text)).alias("grams"))
+    found = marked.select("good", F.explode_outer("grams").alias("gram")).where("gram IS NOT NULL").groupBy((_bucket(F.col("gram")) * 2 + F.col("good")).alias("code")).agg(F.count("*").alias("n"))
     counts = found.groupBy(F.shiftright("code", 1).alias("bucket")).agg(F.sum("n").alias("raw"), F.sum(F.when(F.col("code") % 2 == 1, F.col("n")).otherwise(0)).alias("good"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     counts = steps.write(every.join(counts, "bucket", "left").select("bucket", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("raw", "good")]))
@@ -112,7 +114,7 @@ def weights(docs: DataFrame, text: str = "text") -> list[float]:
 def score(text: Column, weight: list[float]) -> Column:
     """The mean weight of a text's n-grams; 0 without any."""
     table = F.split(F.lit(",".join(map(repr, weight))), ",").cast("array<double>")
-    return _let(grams(text), lambda g: F.when(F.size(g) == 0, 0.0).otherwise(F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(table, b)) / F.size(g)))
+    return _let(grams(text), lambda g: F.when(F.size(g) == 0, 0.0).otherwise(F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(table, _bucket(b))) / F.size(g)))
 
 
 def judged(docs: DataFrame, text: str = "text", out: str = "quality") -> DataFrame:
