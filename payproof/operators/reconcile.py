@@ -2,8 +2,9 @@
 batch transfers. What is left over is money with no record, or a record with no money.
 
 A pass is greedy in bank order and shares what it used with the next, so lines can only affect each other inside a
-cluster: equal amounts whose dates are no further apart than the clearing window, one after the other. Clusters are
-found by Spark; each is folded on its own.
+cluster: equal amounts whose dates are no further apart than the clearing window, one after the other. Clusters without
+names are matched by numbers, and batch transfers searched one by one in rounds; only clusters in which a line
+names a payment are folded on their own.
 """
 from __future__ import annotations
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from payproof import schema as S
 from payproof.functions import dates, money, screens, text
 from payproof.operators.findings import Found, finding
-from payproof.scale import checkpointed, components
+from payproof.scale import checkpointed, components, line_block, running
 
 BANK, PAYMENTS = "bank_statement.csv", "payments.csv"
 MATCHED = "dataset_id string, bank_line bigint, pay_line bigint"
@@ -33,6 +34,7 @@ class Reconciled:
     batch: DataFrame
     unmatched: DataFrame     # money out that no pass explained
     payments: DataFrame
+    notes: DataFrame         # (dataset_id, bank_line, note): batch searches that a bound cut short
 
 
 def statement(bank: DataFrame) -> DataFrame:
@@ -121,9 +123,53 @@ def _folded(bank: DataFrame, pays: DataFrame, key: list[str], deltas: tuple[int,
     return b.join(p, key).select("dataset_id", "bank", "pays").mapInPandas(_fold(deltas, days), MATCHED)
 
 
+def _with_names(bank: DataFrame, pays: DataFrame, key: list[str]) -> DataFrame:
+    """Keys of clusters in which a bank line names one of the payments: every part of its words that is as long as an id or invoice
+    of the cluster meets those by an equal join."""
+    names = pays.select(*key, F.explode(F.array(_pay_struct()["pid"], _pay_struct()["inv"])).alias("name")).where("name <> ''").distinct()
+    words = bank.select(*key, _bank_struct()["ref"].alias("ref")).where(F.trim("ref") != "").distinct()
+    sizes = names.select(*key, F.length("name").alias("size")).distinct()
+    parts = words.join(sizes, key).where(F.length("ref") >= F.col("size")) \
+        .select(*key, "ref", "size", F.explode(F.sequence(F.lit(1), F.length("ref") - F.col("size") + 1)).alias("at"))
+    return parts.select(*key, F.substring("ref", F.col("at"), F.col("size")).alias("name")).join(names, [*key, "name"], "left_semi").select(*key).distinct()
+
+
+def _walk_days(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each bank day of a cluster: the number of the first payment its lines take, and how many lines get one."""
+    for batch in batches:
+        rows = []
+        for at, days in zip(batch["at"], batch["days"]):
+            reached = 0
+            for d in days:
+                first = max(reached, d["lo"])
+                reached = min(first + d["lines"], d["hi"])
+                rows.append((at["dataset_id"], at["cents"], at["cluster"], d["day"], first, reached - first))
+        yield pd.DataFrame(rows, columns=["dataset_id", "cents", "cluster", "day", "first", "lines"])
+
+
+def _in_order(bank: DataFrame, pays: DataFrame, key: list[str], days: int) -> DataFrame:
+    """Clusters without names: each bank line takes the earliest open payment of its days, so the payments taken are runs of the order
+    by date and line. Runs follow from counts by day (a calendar day is one entry, however many lines it has); then lines and payments meet by number."""
+    dated = bank.groupBy(*key, "day").agg(F.count("*").alias("lines"), F.lit(0).cast("long").alias("pays")) \
+        .union(pays.groupBy(*key, "day").agg(F.lit(0).cast("long").alias("lines"), F.count("*").alias("pays")))
+    dated = checkpointed(dated.groupBy(*key, "day").agg(F.sum("lines").alias("lines"), F.sum("pays").alias("pays")))
+    w = Window.partitionBy(*key).orderBy("day")
+    until = lambda d: F.coalesce(F.sum("pays").over(w.rangeBetween(Window.unboundedPreceding, d)), F.lit(0))
+    numbered = dated.select("*", until(-days - 1).alias("lo"), until(days).alias("hi"), until(-1).alias("before"))
+    walked = (numbered.where("lines > 0").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("day", "lo", "hi", "lines"))).alias("days"))
+              .select(F.struct(*key).alias("at"), "days").mapInPandas(_walk_days, "dataset_id string, cents bigint, cluster bigint, day int, first bigint, lines bigint"))
+    level = [("piece", line_block(F.col("line_number")))]
+    one = {"place": F.lit(1)}
+    lines = running(bank.select(*key, "day", "line_number"), [*key, "day"], level, [F.col("line_number")], one)
+    paid = running(pays.select(*key, "day", "line_number"), [*key, "day"], level, [F.col("line_number")], one)
+    taking = lines.join(walked, [*key, "day"]).where(F.col("place") < F.col("lines")).select(*key, F.col("line_number").alias("bank_line"), (F.col("first") + F.col("place")).alias("number"))
+    given = paid.join(numbered.select(*key, "day", "before"), [*key, "day"]).select(*key, F.col("line_number").alias("pay_line"), (F.col("before") + F.col("place")).alias("number"))
+    return taking.join(given, [*key, "number"]).select("dataset_id", "bank_line", "pay_line")
+
+
 def exact_pass(bank: DataFrame, pays: DataFrame, days: int) -> DataFrame:
     """Equal cents within the clearing window. A cluster of one line and one payment, which is nearly all of them, is
-    matched by a join; only clusters with a choice are folded."""
+    matched by a join, a cluster in which no line names a payment by numbers; only clusters with names are folded."""
     key = ["dataset_id", "cents", "cluster"]
     c = checkpointed(_clusters(bank, pays, days))
     b, p = bank.join(c, ["dataset_id", "cents", "day"]), pays.join(c, ["dataset_id", "cents", "day"])
@@ -133,7 +179,10 @@ def exact_pass(bank: DataFrame, pays: DataFrame, days: int) -> DataFrame:
     single = sizes.where((F.col("nb") == 1) & (F.col("np") == 1) & (F.abs(F.col("bank_day") - F.col("pay_day")) <= days)) \
         .select("dataset_id", "bank_line", "pay_line")
     several = sizes.where("nb > 1 OR np > 1").select(*key)
-    return single.union(_folded(b.join(several, key, "left_semi"), p.join(several, key, "left_semi"), key, (0,), days))
+    b, p = checkpointed(b.join(several, key, "left_semi")), checkpointed(p.join(several, key, "left_semi"))
+    named = checkpointed(_with_names(b, p, key))
+    plain = _in_order(b.join(named, key, "left_anti"), p.join(named, key, "left_anti"), key, days)
+    return single.union(plain).union(_folded(b.join(named, key, "left_semi"), p.join(named, key, "left_semi"), key, (0,), days))
 
 
 def near_pass(bank: DataFrame, pays: DataFrame, days: int) -> DataFrame:
@@ -195,47 +244,74 @@ def pick_sum(pool: list[tuple[int, int]], target: int, most: int) -> list[int] |
     return None
 
 
-def _batches(days: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for dataset_id, bank, pays in zip(frame["dataset_id"], frame["bank"], frame["pays"]):
-                used: set[int] = set()
-                for b in bank:
-                    lo = bisect_left(pays, b["day"] - days, key=lambda p: p["day"])
-                    hi = bisect_right(pays, b["day"], key=lambda p: p["day"])
-                    room, most = (S.BATCH_POOL, S.BATCH_MAX) if b["batch"] else (S.NAMED_POOL, S.NAMED_MAX)
-                    pool: list[tuple[int, int]] = []
-                    words = f" {b['named']} "
-                    for p in reversed(pays[lo:hi]):
-                        if len(pool) == room:
-                            break
-                        if p["line_number"] not in used and (b["batch"] or (p["sup"] and f" {p['sup']} " in words)):
-                            pool.append((p["line_number"], p["cents"]))
-                    got = pick_sum(pool, b["cents"], most)
-                    if got:
-                        used.update(got)
-                        rows += [(dataset_id, b["line_number"], line) for line in got]
-            yield pd.DataFrame(rows, columns=["dataset_id", "bank_line", "pay_line"])
-    return run
-
-
-def batch_pass(bank: DataFrame, pays: DataFrame, days: int) -> DataFrame:
-    """Debits that pay several open payments at once. Windows of debits that overlap share payments and are worked off
-    in order; debits further apart than the window are independent."""
-    w = Window.partitionBy("dataset_id").orderBy("day")
-    d = bank.select("dataset_id", "day").distinct()
-    isles = (d.withColumn("gap", F.coalesce(F.col("day") - F.lag("day").over(w) > days, F.lit(False)).cast("int"))
-             .withColumn("isle", F.sum("gap").over(w)).drop("gap"))
-    isles = checkpointed(isles)
-    reach = isles.select("dataset_id", "isle", F.explode(F.sequence(F.col("day") - days, F.col("day"))).alias("day")).distinct()
+def _picked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The payments that each debit pays; where a bound cut its search short and nothing was found, a note instead."""
+    for batch in batches:
+        rows = []
+        for dataset_id, line, cents, room, most, pool in zip(*[batch[c] for c in ("dataset_id", "bank_line", "cents", "room", "most", "pool")]):
+            items = [(x["pay_line"], x["pay_cents"]) for x in pool[:room]]
+            got = pick_sum(items, cents, most)
+            if got:
+                rows += [(dataset_id, line, x, None) for x in got]
+            elif len(pool) > room:
+                rows.append((dataset_id, line, None, f"more than {room} open payments"))
+            elif len(items) > most and pick_sum(items, cents, len(items)):
+                rows.append((dataset_id, line, None, f"a set of more than {most} payments"))
+        yield pd.DataFrame(rows, columns=["dataset_id", "bank_line", "pay_line", "note"]).astype({"pay_line": "Int64"})
+
+
+def _pools(bank: DataFrame, pays: DataFrame, days: int, limits: dict) -> DataFrame:
+    """A row for each debit and open payment that it may pay: of a batch transfer all payments of its days, of another line
+    those of suppliers that it names (who meet it on the first word of their name)."""
     desc = F.concat("description", F.lit(" "), "reference")
-    b = (bank.join(isles, ["dataset_id", "day"]).groupBy("dataset_id", "isle")
-         .agg(F.array_sort(F.collect_list(F.struct("day", "line_number", "cents", screens.is_batch(F.col("description"), F.col("reference")).alias("batch"),
-                                                   text.norm_name(desc).alias("named")))).alias("bank")))
-    p = (pays.join(reach, ["dataset_id", "day"]).groupBy("dataset_id", "isle")
-         .agg(F.array_sort(F.collect_list(F.struct("day", "line_number", "cents", text.norm_name(F.col("supplier")).alias("sup")))).alias("pays")))
-    return b.join(p, ["dataset_id", "isle"]).select("dataset_id", "bank", "pays").mapInPandas(_batches(days), MATCHED)
+    batch = screens.is_batch(F.col("description"), F.col("reference"))
+    b = bank.where("cents > 0").select("dataset_id", F.col("line_number").alias("bank_line"), "day", "cents", batch.alias("batch"), text.norm_name(desc).alias("named"))
+    b = b.select("*", F.explode(F.sequence(F.col("day") - days, F.col("day"))).alias("pay_day"))
+    p = pays.where("cents > 0").select("dataset_id", F.col("day").alias("pay_day"), F.col("line_number").alias("pay_line"), F.col("cents").alias("pay_cents"),
+                                       text.norm_name(F.col("supplier")).alias("sup"))
+    runs = b.where("batch").drop("named").join(p.drop("sup"), ["dataset_id", "pay_day"])
+    words = b.where("NOT batch").select("*", F.explode(F.array_distinct(F.split("named", " "))).alias("word"))
+    firms = p.where("sup <> ''").withColumn("word", F.substring_index("sup", " ", 1))
+    own = words.join(firms, ["dataset_id", "pay_day", "word"]).where(F.concat(F.lit(" "), "named", F.lit(" ")).contains(F.concat(F.lit(" "), "sup", F.lit(" "))))
+    bound = lambda name: F.when(F.col("batch"), limits[f"batch_{name}"]).otherwise(limits[f"named_{name}"]).alias({"pool": "room", "max": "most"}[name])
+    found = runs.unionByName(own.drop("named", "word", "sup"))
+    return found.select("dataset_id", "bank_line", "day", "cents", "pay_day", "pay_line", "pay_cents", bound("pool"), bound("max"))
+
+
+def _searched(pools: DataFrame, limits: dict) -> DataFrame:
+    """(dataset_id, bank_line, pay_line, note) of each debit, searched on its own among the latest payments of its pool."""
+    latest = Window.partitionBy("dataset_id", "bank_line").orderBy(F.col("pay_day").desc(), F.col("pay_line").desc())
+    most = max(limits["batch_pool"], limits["named_pool"]) + 1
+    pools = pools.withColumn("place", F.row_number().over(latest)).where(F.col("place") <= most)
+    one = pools.groupBy("dataset_id", "bank_line", "cents", "room", "most").agg(F.array_sort(F.collect_list(F.struct("place", "pay_line", "pay_cents"))).alias("pool"))
+    return one.mapInPandas(_picked, "dataset_id string, bank_line bigint, pay_line bigint, note string")
+
+
+def batch_pass(bank: DataFrame, pays: DataFrame, days: int, limits: dict | None = None) -> DataFrame:
+    """Debits that pay several open payments at once: (dataset_id, bank_line, pay_line, note), a note where a bound of `limits` cut a search
+    that found nothing.
+
+    Debits are worked off in order, each without what earlier ones took. All are searched at once; those with a payment in their pool that an
+    earlier one now takes are searched again without it, until nothing changes. The first debit is right from the start,
+    and one is right when all that it depends on are, so what no longer changes is what working them off in order gives. What is
+    held together is one debit's pool, at most as many payments as its bound."""
+    limits = S.limits_with(limits)
+    debit = ["dataset_id", "bank_line"]
+    pools = checkpointed(_pools(bank, pays, days, limits))
+    found, seen = checkpointed(_searched(pools, limits)), None
+    days_of = pools.select(*debit, F.col("day").alias("taker_day")).distinct()
+    while True:
+        takers = found.where("pay_line IS NOT NULL").join(days_of, debit).select("dataset_id", "pay_line", F.col("bank_line").alias("taker"), "taker_day")
+        gone = pools.join(takers, ["dataset_id", "pay_line"]).where("taker_day < day OR (taker_day = day AND taker < bank_line)").select(*debit, "pay_line").distinct()
+        gone = checkpointed(gone)
+        marks = gone.groupBy(*debit).agg(F.count("*").alias("n"), F.sum(F.xxhash64("pay_line").cast("decimal(38,0)")).alias("h"))
+        marks = checkpointed(marks)
+        changed = marks.select(*debit) if seen is None else marks.exceptAll(seen).select(*debit).union(seen.exceptAll(marks).select(*debit)).distinct()
+        changed = checkpointed(changed)
+        if changed.isEmpty():
+            return found
+        again = _searched(pools.join(changed, debit, "left_semi").join(gone, [*debit, "pay_line"], "left_anti"), limits)
+        found, seen = checkpointed(found.join(changed, debit, "left_anti").union(again)), marks
 
 
 def _without(df: DataFrame, matched: DataFrame, side: str) -> DataFrame:
@@ -259,8 +335,9 @@ def reconcile(bank: DataFrame, payments: DataFrame, limits: dict) -> Reconciled:
     left, open_ = checkpointed(_without(todo, exact, "bank_line")), checkpointed(_without(pays, exact, "pay_line"))
     near = checkpointed(near_pass(left.where(~screens.is_batch(F.col("description"), F.col("reference"))), open_, days))
     left, open_ = checkpointed(_without(left, near, "bank_line").where("out > 0")), _without(open_, near, "pay_line").where("paid_amount > 0")
-    batch = checkpointed(batch_pass(left, open_, days))
-    return Reconciled(lines, exact, near, batch, _without(left, batch, "bank_line"), _without(open_, batch, "pay_line"))
+    searched = batch_pass(left, open_, days, limits)
+    batch, notes = searched.where("pay_line IS NOT NULL").drop("note"), searched.where("note IS NOT NULL").drop("pay_line")
+    return Reconciled(lines, exact, near, batch, _without(left, batch, "bank_line"), _without(open_, batch, "pay_line"), notes)
 
 
 def bank_without_record(r: Reconciled) -> Found:

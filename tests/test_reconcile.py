@@ -64,6 +64,51 @@ def test_batch_fees_and_leftovers(spark):
     assert [x["line_number"] for x in reconcile.payment_not_on_statement(r, L).findings.collect()] == [6]
 
 
+def test_batches_are_worked_off_in_order(spark):
+    """Debits that want the same payments, day after day, against one debit after the other."""
+    rng = random.Random(9)
+    pays = [payment(2 + i, f"A-{i}", rng.randrange(1, 9) * 10, pay=rng.randrange(25), supplier=rng.choice(["Calder Works", "Brook", "Calder"])) for i in range(90)]
+    bank = [bank_line(2 + i, -rng.randrange(3, 30) * 10 - 1000 * (i % 11 == 0), on=rng.randrange(28), description=rng.choice(["BACS batch", "To Calder Works Ltd", "Brook", "calder"])) for i in range(60)]
+    limits = {"batch_pool": 12, "batch_max": 5, "named_pool": 6, "named_max": 3, "bank_days": 5}
+    B, P = spark.createDataFrame(bank, BANK).repartition(3), spark.createDataFrame(pays, PAYMENT).repartition(3)
+    _, todo, dated = reconcile.prepared(B, P)
+    got = [tuple(r) for r in reconcile.batch_pass(todo, dated, 5, limits).select("bank_line", "pay_line", "note").collect()]
+    used, want, cut = set(), set(), set()
+    for b in sorted(bank, key=lambda b: (b[3], b[2])):
+        kind = "batch" if "BACS" in b[4] else "named"
+        said = f" {b[4].lower().removesuffix(' ltd')} "
+        pool = [p for p in sorted(pays, key=lambda p: (p[5], p[2]), reverse=True) if p[2] not in used and 0 <= (b[3] - p[5]).days <= 5 and (kind == "batch" or f" {p[8].lower()} " in said)]
+        room, most = limits[f"{kind}_pool"], limits[f"{kind}_max"]
+        items = [(p[2], round(p[12] * 100)) for p in pool[:room]]
+        sets = pick_sum(items, round(-b[5] * 100), most)
+        used.update(sets or [])
+        want |= {(b[2], x) for x in sets or []}
+        if not sets and (len(pool) > room or pick_sum(items, round(-b[5] * 100), len(items))):
+            cut.add(b[2])
+    assert {(b, p) for b, p, _ in got if p is not None} == want and len(want) > 40
+    assert {b for b, _, note in got if note} == cut and cut and not any(p for _, p, note in got if note)
+
+
+def test_one_amount_repeated(spark):
+    """200,000 equal payments and lines of one dataset in a few days: nothing holds them together."""
+    n, days = 200_000, 40
+    bank = spark.range(n).selectExpr("'A' AS dataset_id", "'bank_statement.csv' AS source_file", "id + 2 AS line_number", f"date_add(date'2026-09-01', cast((id * 7) % {days} as int)) AS date",
+                                     "'Fee refund' AS description", "cast(-10 as decimal(18,4)) AS amount", "'-10' AS amount_text", "'' AS reference")
+    pays = spark.range(n).selectExpr("'A' AS dataset_id", "id + 2 AS line_number", "concat('P-', id) AS payment_id", "'V' AS supplier", "concat('I-', id) AS invoice_no",
+                                     f"date_add(date'2026-09-09', cast((id * id) % {days} as int)) AS pay_date", "cast(10 as decimal(18,4)) AS paid_amount")
+    _, todo, dated = reconcile.prepared(bank, pays)
+    got = {r.bank_line: r.pay_line for r in reconcile.exact_pass(todo, dated, 5).collect()}
+    order = sorted((8 + (i * i) % days, i + 2) for i in range(n))
+    want, at = {}, 0
+    for day, line in sorted(((i * 7) % days, i + 2) for i in range(n)):
+        while at < n and order[at][0] < day - 5:
+            at += 1
+        if at < n and order[at][0] <= day + 5:
+            want[line] = order[at][1]
+            at += 1
+    assert got == want and 100_000 < len(got) < n
+
+
 def test_pick_sum():
     assert sorted(pick_sum([(1, 5), (2, 7), (3, 9)], 16, 25)) == [2, 3]
     assert pick_sum([(1, 5)], 5, 25) is None and pick_sum([(1, 5), (2, 5)], 0, 25) is None
