@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from payproof.functions import dates, money, text
 from payproof.operators.findings import Found, finding, link
-from payproof.scale import FOLD_ROWS, checkpointed, line_block, running
+from payproof.scale import checkpointed, line_block, running
 
 FILE = "approvals.csv"
 NO_START = 10_000_000          # further back than any day
@@ -75,22 +75,8 @@ def late_order(approvals: DataFrame, limits: dict) -> Found:
                  link(inv, "1.1", FILE, F.col("po.line_number"), F.col("line_number"), F.col("line_number")))
 
 
-def _fold_small(tries: DataFrame) -> DataFrame:
-    """Covered invoices of orders with a modest number of them: one ordered array per order, folded."""
-    start = F.struct(F.lit(0).cast("decimal(38,4)").alias("billed"), F.array().cast("array<bigint>").alias("covered"))
-
-    def step(acc: Column, x: Column) -> Column:
-        total = (acc["billed"] + x["amount"]).cast("decimal(38,4)")
-        return F.when(total <= x["room"], F.struct(total.alias("billed"), F.array_append(acc["covered"], x["line_number"]).alias("covered"))) \
-            .otherwise(acc)
-    return (tries.groupBy("dataset_id", "po_line")
-            .agg(F.array_sort(F.collect_list(F.struct("line_number", "amount", "room"))).alias("items"))
-            .select("dataset_id", "po_line", F.explode(F.aggregate("items", start, step)["covered"]).alias("line_number")))
-
-
-def _fold_large(tries: DataFrame) -> DataFrame:
-    """The same for orders with very many invoices, in rounds: take the longest run of invoices that fits, then drop
-    those larger than what is left. Every invoice here is above the director limit, so an order's amount bounds the
+def _filled(tries: DataFrame) -> DataFrame:
+    """Covered invoices of every order, in rounds: take the longest run of invoices that fits, then drop those larger than what is left. Every invoice here is above the director limit, so an order's amount bounds the
     rounds; each round is an aggregate and a piecewise running sum."""
     key = ["dataset_id", "po_line"]
     pending, taken = checkpointed(tries.withColumn("room", F.col("room").cast("decimal(38,4)"))), None
@@ -107,7 +93,7 @@ def _fold_large(tries: DataFrame) -> DataFrame:
             return taken.select(*key, "line_number")
 
 
-def covered_by_order(approvals: DataFrame, limits: dict, fold_rows: int = FOLD_ROWS) -> DataFrame:
+def covered_by_order(approvals: DataFrame, limits: dict) -> DataFrame:
     """Large invoices billed within their own supplier's purchase order, as (dataset_id, po_line, line_number). In file
     order, each counts while the order's amount still holds it; one that does not fit is passed over."""
     lim, tol = F.lit(limits["director_limit"]), F.lit(limits["tolerance"])
@@ -115,17 +101,13 @@ def covered_by_order(approvals: DataFrame, limits: dict, fold_rows: int = FOLD_R
              .join(orders_by_vendor(approvals), ["dataset_id", "po_key", "vendor_key"]).where(F.col("po.amount") > lim)
              .withColumn("room", F.col("po.amount") + tol).where("amount <= room")
              .select("dataset_id", F.col("po.line_number").alias("po_line"), "line_number", "amount", "room"))
-    big = tries.groupBy("dataset_id", "po_line").count().where(F.col("count") > fold_rows).drop("count")
-    small = _fold_small(tries.join(big, ["dataset_id", "po_line"], "left_anti"))
-    if big.isEmpty():
-        return small
-    return small.union(_fold_large(tries.join(big, ["dataset_id", "po_line"], "left_semi")))
+    return _filled(tries)
 
 
-def not_a_director(approvals: DataFrame, limits: dict, fold_rows: int = FOLD_ROWS) -> Found:
+def not_a_director(approvals: DataFrame, limits: dict) -> Found:
     """1.3; the invoices a flagged order covers support the order's finding."""
     over = approvals.where((F.col("amount") > F.lit(limits["director_limit"])) & ~text.is_director(F.col("approver_role")))
-    covered = covered_by_order(approvals, limits, fold_rows)
+    covered = covered_by_order(approvals, limits)
     hit = over.join(covered.select("dataset_id", "line_number"), ["dataset_id", "line_number"], "left_anti")
     role = F.when(F.col("approver_role") != "", F.col("approver_role")).otherwise("non-director")
     title = F.concat(label(), F.lit(" for $"), money.fmt(F.col("amount")), F.lit(" approved by a "), role, F.lit(", not a director"))

@@ -12,6 +12,7 @@ from payproof.scale import checkpointed, line_block, running
 
 FILE = "payments.csv"
 GROUP = ["dataset_id", "payee", "invoice_key"]
+BUCKET = ["dataset_id", "payee", "cents", "inv_day"]
 NO_DAY = 10_000_000           # sorts after every real day
 
 
@@ -72,9 +73,8 @@ def overpaid(payments: DataFrame, limits: dict) -> Found:
                          first["line_number"]))
 
 
-def paid_twice(payments: DataFrame, limits: dict) -> Found:
-    """5.2 counts money: a payment that takes the running net above the invoice, after an earlier payment, on an
-    invoice whose net over the whole file is above it too. Totals first, so only such invoices are ordered."""
+def _paid_again(payments: DataFrame, limits: dict) -> tuple[DataFrame, DataFrame]:
+    """(payments of invoices whose net is above them, those of them that 5.2 is about)."""
     ref = settled_references(payments)
     tol = F.lit(limits["tolerance"])
     over = (invoice_totals(ref).withColumn("due", F.coalesce("first_amount", F.lit(0)))
@@ -84,12 +84,17 @@ def paid_twice(payments: DataFrame, limits: dict) -> Found:
                    [F.col("line_number")],
                    {"net_before": F.col("paid_amount"), "paid_before": (F.col("paid_amount") > 0).cast("bigint")})
     paid = rows.where("paid_amount > 0")
-    hit = paid.where((F.col("paid_before") > 0)
-                     & (F.col("net_before") + F.col("paid_amount") > F.col("due") + tol))
+    return paid, paid.where((F.col("paid_before") > 0) & (F.col("net_before") + F.col("paid_amount") > F.col("due") + tol))
+
+
+def paid_twice(payments: DataFrame, limits: dict) -> Found:
+    """5.2 counts money: a payment that takes the running net above the invoice, after an earlier payment, on an
+    invoice whose net over the whole file is above it too. Totals first, so only such invoices are ordered."""
+    paid, hit = _paid_again(payments, limits)
     title = F.concat(F.upper("inv"), F.lit(" was paid more than once"))
     ranked = paid.select(*GROUP, (F.col("paid_before") + 1).alias("nth"), F.col("line_number").alias("related"))
     support = (hit.select(*GROUP, "line_number",
-                          F.explode(F.sequence(F.greatest(F.col("paid_before") - 9, F.lit(1)), F.col("paid_before"))).alias("nth"))
+                          F.explode(F.sequence(F.greatest(F.col("paid_before") - (S.limits_with(limits)["earlier_payments"] - 1), F.lit(1)), F.col("paid_before"))).alias("nth"))
                .join(ranked, [*GROUP, "nth"]))
     return Found(finding(hit, "Payments", "5.2", "High", F.col("paid_amount"), title, FILE),
                  link(support, "5.2", FILE, "line_number", "related"))
@@ -115,35 +120,50 @@ def weekend_release(payments: DataFrame, limits: dict) -> Found:
                          F.concat(F.lit("Payment released on a "), day), FILE))
 
 
-def near_duplicates(payments: DataFrame, limits: dict) -> Found:
-    """5.6: equal payments to one payee whose invoice numbers differ the way a re-keyed number does.
-
-    Equal amounts are compared with their next fifty in order of payment. Positions come in blocks of fifty, so a row
-    meets its own block and the next, never its whole group."""
-    tol = F.lit(limits["tolerance"])
+def _equal_payments(payments: DataFrame, limits: dict) -> DataFrame:
+    """Payments of buckets (payee, amount, invoice day) with several invoices that are still paid."""
     ref = settled_references(payments)
-    bucket = ["dataset_id", "payee", "cents", "inv_day"]
     rows = (ref.where(F.col("paid_amount") >= F.lit(limits["materiality"]))
             .withColumn("cents", money.cents(F.col("paid_amount")))
             .withColumn("inv_day", F.coalesce(dates.day_number(F.col("invoice_date")), F.lit(NO_DAY)))
-            .select(*bucket, "invoice_key", "day", "line_number", "inv", "invoice_amount",
+            .select(*BUCKET, "invoice_key", "day", "line_number", "inv", "invoice_amount",
                     "shown", text.inv_text(F.col("inv")).alias("keyed")))
-    mixed = (rows.groupBy(*bucket).agg(F.min("invoice_key").alias("lo"), F.max("invoice_key").alias("hi"))
-             .where("lo <> hi").select(*bucket))
-    live = invoice_totals(ref).where(F.col("net") > tol).select(*GROUP)
-    rows = checkpointed(rows.join(mixed, bucket, "left_semi").join(live, GROUP, "left_semi"))
+    mixed = (rows.groupBy(*BUCKET).agg(F.min("invoice_key").alias("lo"), F.max("invoice_key").alias("hi"))
+             .where("lo <> hi").select(*BUCKET))
+    live = invoice_totals(ref).where(F.col("net") > F.lit(limits["tolerance"])).select(*GROUP)
+    return checkpointed(rows.join(mixed, BUCKET, "left_semi").join(live, GROUP, "left_semi"))
+
+
+def cut_searches(payments: DataFrame, limits: dict) -> DataFrame:
+    """(dataset_id, clause, line_number, rows): where a bound of `limits` left something out. Of 5.2 each payment with more earlier ones than
+    are shown with it; of 5.6 each bucket, by its first line, with more payments than one is compared with."""
+    bounds = S.limits_with(limits)
+    _, again = _paid_again(payments, limits)
+    again = again.where(F.col("paid_before") > bounds["earlier_payments"]).select("dataset_id", F.lit("5.2").alias("clause"), "line_number", F.col("paid_before").alias("rows"))
+    hot = (_equal_payments(payments, limits).groupBy(*BUCKET).agg(F.count("*").alias("rows"), F.min("line_number").alias("line_number"))
+           .where(F.col("rows") > bounds["near_neighbours"] + 1).select("dataset_id", F.lit("5.6").alias("clause"), "line_number", "rows"))
+    return again.union(hot)
+
+
+def near_duplicates(payments: DataFrame, limits: dict) -> Found:
+    """5.6: equal payments to one payee whose invoice numbers differ the way a re-keyed number does.
+
+    Equal amounts are compared with their next neighbours in order of payment, as many as `limits` says. Positions come in blocks of so
+    many, so a row meets its own block and the next, never its whole group."""
+    tol, bucket, neighbours = F.lit(limits["tolerance"]), BUCKET, S.limits_with(limits)["near_neighbours"]
+    rows = _equal_payments(payments, limits)
     span = rows.groupBy(*bucket).agg(F.min("line_number").alias("bucket_line"),
                                      F.max(F.when(F.col("day") < NO_DAY, F.col("day"))).alias("last_day"))
     rows = running(rows, bucket, [("_day", F.col("day")), ("_blk", line_block(F.col("line_number")))],
                    [F.col("line_number")], {"pos": F.lit(1)}, settle=False)
-    rows = rows.withColumn("block", F.floor(F.col("pos") / S.NEAR_NEIGHBOURS))
+    rows = rows.withColumn("block", F.floor(F.col("pos") / neighbours))
     fields = ["invoice_key", "day", "line_number", "inv", "invoice_amount", "keyed", "pos", "shown"]
     left = rows.select(*bucket, F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"),
                        F.struct(*fields).alias("x"))
     right = rows.select(*bucket, "block", F.struct(*fields).alias("y"))
     x, y = F.col("x"), F.col("y")
     apart = y["pos"] - x["pos"]
-    pairs = (left.join(right, [*bucket, "block"]).where(apart.between(1, S.NEAR_NEIGHBOURS))
+    pairs = (left.join(right, [*bucket, "block"]).where(apart.between(1, neighbours))
              .where(x["invoice_key"] != y["invoice_key"])
              .where(text.similar_invoice(x["keyed"], y["keyed"])).join(span, bucket))
     dated = (x["day"] < NO_DAY) & (y["day"] < NO_DAY)

@@ -52,10 +52,8 @@ def append(entries: DataFrame, heads: DataFrame | None = None, batch: int = BATC
         now = (placed.where(F.col("batch") == b).groupBy("dataset_id")
                .agg(F.array_sort(F.collect_list(F.struct("seq", *FIELDS, "words"))).alias("entries")))
         now = (now.join(heads, "dataset_id", "left") if heads is not None else now.withColumn("head", F.lit(None).cast("string")))
-        got = (now.select("dataset_id", F.coalesce("head", F.lit(S.GENESIS)).alias("head"), "entries").mapInPandas(_chain, CHAINED))
-        if last > 0:
-            got = checkpointed(got)
-            heads = got.groupBy("dataset_id").agg(F.max_by("hash", "seq").alias("head"))
+        got = checkpointed(now.select("dataset_id", F.coalesce("head", F.lit(S.GENESIS)).alias("head"), "entries").mapInPandas(_chain, CHAINED))
+        heads = got.groupBy("dataset_id").agg(F.max_by("hash", "seq").alias("head"))
         done = got if done is None else done.union(got)
     return done
 

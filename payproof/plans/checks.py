@@ -82,6 +82,7 @@ pairs AS (SELECT x.dataset_id, x.payee, least(x.invoice_key, y.invoice_key) AS k
           WHERE {o_similar('x.keyed', 'y.keyed')}
             AND NOT (greatest(x.invoice_amount, y.invoice_amount) <> 0 AND x.cents * 2 <= greatest(x.invoice_amount, y.invoice_amount) + 1)),
 one AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY dataset_id, payee, k1, k2 ORDER BY bucket_line, i, j) = 1)"""
+register("chk_5_cut", over_views(lambda p: payments.cut_searches(p, L), ["payments"]))
 check("chk_5_6", payments.near_duplicates, ["payments"], L, _NEAR + f"""
       SELECT {o_finding('5.6', 'Medium', 'cents', f"CASE WHEN xl < yl THEN xi || ' and ' || yi ELSE yi || ' and ' || xi END || ' look like one invoice paid twice ($' || {o_fmt('cents')} || ' each to ' || trim(supplier) || ')'", 'payments.csv', 'greatest(xl, yl)', 'least(xl, yl)')}
       FROM one""", _NEAR + f" SELECT {o_link('5.6', 'payments.csv', 'greatest(xl, yl)', 'least(xl, yl)', 'least(xl, yl)')} FROM one")

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LINE_BLOCK = 1 << 16          # rows a piece can hold: line numbers are unique within a file
-FOLD_ROWS = 20_000            # a group up to this size may be folded as one array
 
 
 def line_block(line: Column) -> Column:

@@ -63,8 +63,26 @@ def test_near_duplicates(spark):
     assert lines_of(payments.near_duplicates(pays(spark, rows), L)) == [("5.6", 3), ("5.6", 9)]
 
 
-@pytest.mark.parametrize("fold_rows", [0, 20_000])
-def test_order_coverage_against_brute_force(spark, fold_rows):
+def test_a_twin_beyond_the_neighbours_is_noted_or_found(spark):
+    """The same invoice keyed in again 60 places later: found with a wider bound, noted with the usual one."""
+    rows = [payment(2 + i, f"X{i:03d}{'ABCDEFGH'[i % 8] * 4}{i * 7919 % 1000:03d}", "500", billed="500", pay=i // 5) for i in range(80)]
+    rows[0] = payment(2, "QRS-44871", "500", billed="500", pay=0)
+    rows[60] = payment(62, "QRS-44871A", "500", billed="500", pay=12)
+    p = pays(spark, rows)
+    assert ("5.6", 62) not in lines_of(payments.near_duplicates(p, L))
+    assert [tuple(r) for r in payments.cut_searches(p, L).collect()] == [("A", "5.6", 2, 80)]
+    wide = {**L, "near_neighbours": 100}
+    assert ("5.6", 62) in lines_of(payments.near_duplicates(p, wide)) and payments.cut_searches(p, wide).isEmpty()
+
+
+def test_earlier_payments_shown(spark):
+    p = pays(spark, [payment(2 + i, "INV-1", "100", pay=i) for i in range(14)])
+    shown = lambda limits: sum(r["line_number"] == 15 for r in payments.paid_twice(p, limits).links.collect())
+    assert shown(L) == 10 and shown({**L, "earlier_payments": 100}) == 13
+    assert sorted(tuple(r) for r in payments.cut_searches(p, L).collect()) == [("A", "5.2", 2 + n, n) for n in (11, 12, 13)]
+
+
+def test_order_coverage_against_brute_force(spark):
     rng = random.Random(3)
     rows = [approval(2 + i, 120_000 + 7_000 * i, kind="PO", doc=f"PO-{i}") for i in range(4)]
     rows += [approval(10 + i, rng.randrange(9_000, 30_000), po=f"po-{rng.randrange(4)}", on=i % 5) for i in range(120)]
@@ -76,7 +94,7 @@ def test_order_coverage_against_brute_force(spark, fold_rows):
         if billed.get(po, 0) + r[9] <= 120_000 + 7_000 * po + 1:
             billed[po] = billed.get(po, 0) + r[9]
             want.add((2 + po, r[2]))
-    got = {(r["po_line"], r["line_number"]) for r in approvals.covered_by_order(apps(spark, rows), L, fold_rows).collect()}
+    got = {(r["po_line"], r["line_number"]) for r in approvals.covered_by_order(apps(spark, rows), L).collect()}
     assert got == want and len(want) > 5
 
 
