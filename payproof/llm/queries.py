@@ -114,16 +114,20 @@ WITH docs AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER w, 0)) / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS DOUBLE) AS level
   FROM sources WINDOW w AS (ORDER BY 3 * source_size / CAST(weight AS DOUBLE), rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), shares AS (
-  SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), coalesce(weight * (
+  SELECT source, source_size, CASE rank % 2 WHEN 1 THEN CAST(0.5 AS DOUBLE) ELSE CAST(1.5 AS DOUBLE) END AS start, CASE rank % 2 WHEN 1 THEN CAST(1 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END AS slope,
+    least(CAST(3 * source_size AS DOUBLE), coalesce(weight * (
     SELECT arg_min(level, 3 * source_size / CAST(weight AS DOUBLE)) FROM levels WHERE level * weight <= 3 * source_size), 0)) AS target FROM sources
 ), placed AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY turn, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin FROM docs
 )
 SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
-       CAST(list_sum([greatest(0, least(size, CAST(round(target) AS BIGINT) - p * source_size - begin)) FOR p IN [0, 1, 2]]) AS BIGINT) AS taken
+       CAST(list_sum([greatest(0, least(size, CAST(round(target) AS BIGINT) - p * source_size - begin)) FOR p IN [0, 1, 2]]) AS BIGINT) AS taken,
+       CASE WHEN least(size, CAST(round(target) AS BIGINT) - begin) > 0 THEN (sqrt(start * start + 2 * slope * least(begin / target, 1.0)) - start) / slope END AS position
 FROM placed JOIN shares ON placed.source IS NOT DISTINCT FROM shares.source""")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.plan(table(spark, folder, "documents"), ["doc_id"]).drop("passes")
+    """In training order: range-sorted by the progress of the run at which a document's first pass begins, documents not taken first."""
+    planned = mixing.plan(table(spark, folder, "documents"), ["doc_id"]).withColumn("position", F.get("passes", F.lit(0))["position"])
+    return planned.drop("passes").repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 @query("op6_quality_rules")
