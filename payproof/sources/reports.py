@@ -2,10 +2,6 @@
 line items."""
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +19,7 @@ NAME_COLUMNS = ["vendor", "supplier", "payee", "name", "vendor name", "supplier
 LINE_ITEM = (r"\b(description|quantity|qty|unit (?:amount|price|cost)|line (?:amount|total|description)|item|account code|"
              r"tax (?:type|amount)|tracking|discount)\b")
 QUANTITY = r"\b(quantity|qty|unit (?:amount|price|cost)|line (?:amount|total))\b"
-JOIN_LINES = 5
+NEAR_BREAKS = 5
 HEADER_SEARCH = 25
 
 
@@ -55,96 +51,116 @@ def to_commas(lines: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- values broken over lines
+def _width(sep: Column, line: str = "text") -> Column:
+    return F.size(_cells(F.col(line), sep))
+
+
 def join_broken(lines: DataFrame) -> DataFrame:
-    """Join a quoted value that runs over up to five line breaks, when the joined line has the header's width.
+    """Join a quoted value that runs over line breaks, up to its closing quote however far that is, when the joined line
+    has the header's width.
 
     A line with an odd number of quotes opens or closes such a value. Whether an odd line can be joined with the next
-    odd one depends on those two alone, so joins are the first, third, fifth ... of each run of joinable odd lines:
-    found by counting, not by walking the file. Lines that were joined to others go; numbers stay. The file keeps its
-    separator."""
+    odd one depends on those two and the lines between them alone, so joins are the first, third, fifth ... of each run
+    of joinable odd lines: found by counting, not by walking the file. The line after the opening one must not be a full
+    row by itself. Over more than five breaks no line between may be one: there a stray quote is likelier than a value
+    that reads like rows. Lines that were joined to others go; numbers stay. The file keeps its separator. Only files
+    with an odd line are looked at beyond their quote counts, and only values that will be joined are put together."""
     odd = lines.where(csvtext.quote_count(F.col("text")) % 2 == 1)
-    top = lines.groupBy(*FILE).agg(F.min(F.struct("line_number", "text")).alias("top")).join(separators(lines), FILE) \
+    mine = lines.join(odd.select(*FILE).distinct(), FILE, "left_semi")
+    top = mine.groupBy(*FILE).agg(F.min(F.struct("line_number", "text")).alias("top")).join(separators(mine), FILE) \
         .select(*FILE, "sep", F.col("top.line_number").alias("header_line"), F.size(_cells(F.col("top.text"), F.col("sep"))).alias("width"))
-    odd = running(odd.join(top, FILE).where("line_number > header_line"), FILE, [("_blk", line_block(F.col("line_number")))], [F.col("line_number")], {"nth": F.lit(1)})
-    ends = odd.select(*FILE, (F.col("nth") - 1).alias("nth"), F.col("line_number").alias("end"))
+    odd = checkpointed(running(odd.join(top, FILE).where("line_number > header_line"), FILE, [("_blk", line_block(F.col("line_number")))], [F.col("line_number")], {"nth": F.lit(1)}))
+    ends = odd.select(*FILE, (F.col("nth") - 1).alias("nth"), F.col("line_number").alias("end"), F.col("text").alias("end_text"))
     opening = F.col("text").rlike(r'^\s*"') | F.when(F.col("sep") == "\t", F.col("text").rlike(r'\t\s*"')).when(F.col("sep") == ";", F.col("text").rlike(r';\s*"')).otherwise(F.col("text").rlike(r',\s*"'))
-    opens = odd.where(opening).select(*FILE, "sep", "nth", "line_number", "width").join(ends, [*FILE, "nth"]) \
-        .where(F.col("end") - F.col("line_number") <= JOIN_LINES)
-    pieces = (opens.select(*FILE, "sep", "nth", F.col("line_number").alias("start"), "width", F.explode(F.sequence("line_number", "end")).alias("line_number"))
-              .join(lines.select(*FILE, "line_number", "text"), [*FILE, "line_number"]))
-    after = F.min(F.when(F.col("line_number") == F.col("start") + 1, F.size(_cells(F.col("text"), F.col("sep")))))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "text"))), lambda p: p["text"]), " ")
-    good = (pieces.groupBy(*FILE, "sep", "nth", "start", "width").agg(whole.alias("joined"), after.alias("next_width"), F.max("line_number").alias("end"))
-            .where((F.size(_cells(F.col("joined"), F.col("sep"))) == F.col("width")) & (F.coalesce("next_width", F.lit(-1)) != F.col("width"))))
+    opens = (odd.where(opening).select(*FILE, "sep", "nth", F.col("line_number").alias("start"), F.col("text").alias("start_text"), "width")
+             .join(ends, [*FILE, "nth"]))
+    # each line with the odd line it follows
+    marked = latest(mine.join(odd.select(*FILE, "line_number", F.col("line_number").alias("odd")), [*FILE, "line_number"], "left"), "odd", keys=tuple(FILE))
+    between = checkpointed(marked.where("odd_at < line_number").select(*FILE, F.col("odd_at").alias("start"), "line_number", "text")
+                           .join(opens.select(*FILE, "start", "sep", "nth", "width"), [*FILE, "start"]).withColumn("full", _width(F.col("sep")) == F.col("width")))
+    rows = between.groupBy(*FILE, "nth").agg(F.bool_or("full").alias("any_full"), F.bool_or(F.col("full") & (F.col("line_number") == F.col("start") + 1)).alias("next_full"))
+    likely = (opens.join(rows, [*FILE, "nth"], "left")
+              .where(F.when(F.col("any_full").isNull(), _width(F.col("sep"), "end_text") != F.col("width"))
+                     .otherwise(~F.col("next_full") & (~F.col("any_full") | (F.col("end") - F.col("start") <= NEAR_BREAKS)))))
+    inside = (between.join(likely.select(*FILE, "nth"), [*FILE, "nth"], "left_semi").groupBy(*FILE, "nth")
+              .agg(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "text"))), lambda p: p["text"]).alias("inside")))
+    joined = F.array_join(F.concat(F.array("start_text"), F.coalesce("inside", F.array().cast("array<string>")), F.array("end_text")), " ")
+    good = checkpointed(likely.join(inside, [*FILE, "nth"], "left").select(*FILE, "sep", "nth", "start", "end", "width", joined.alias("joined"))
+                        .where(_width(F.col("sep"), "joined") == F.col("width")))
     state = odd.select(*FILE, "nth").join(good.select(*FILE, "nth", F.lit(True).alias("good")), [*FILE, "nth"], "left")
     runs = latest(state.withColumn("gap", F.when(F.col("good").isNull(), F.col("nth"))), "gap", "nth", tuple(FILE))
     taken = (runs.where(F.col("good").isNotNull() & ((F.col("nth") - F.coalesce("gap_at", F.lit(-1)) - 1) % 2 == 0))
              .select(*FILE, "nth").join(good, [*FILE, "nth"]))
-    gone = taken.select(*FILE, F.explode(F.sequence(F.col("start") + 1, F.col("end"))).alias("line_number"))
+    gone = (taken.select(*FILE, F.col("end").alias("line_number"))
+            .union(between.join(taken.select(*FILE, "nth"), [*FILE, "nth"], "left_semi").select(*FILE, "line_number")))
     return (lines.join(gone, [*FILE, "line_number"], "left_anti")
             .join(taken.select(*FILE, F.col("start").alias("line_number"), "joined"), [*FILE, "line_number"], "left")
             .withColumn("text", F.coalesce("joined", "text")).drop("joined"))
 
 
 # ---------------------------------------------------------------- the header of a report
-def _filled(cells: list[str]) -> list[str]:
-    return [c.strip() for c in cells if c.strip()]
-
-
-def _valued(c: str) -> bool:
-    return bool(re.match(NUMERIC, c) or re.match(DATE_START, c))
-
-
-def _is_header(cells: list[str]) -> bool:
-    f = _filled(cells)
-    words = [c for c in f if not _valued(c)]
-    return len(f) >= 3 and len(words) >= 0.8 * len(f) and len({c.lower() for c in f}) == len(f)
-
-
-def header_place(rows: list[list[str]]) -> int:
-    """Which of a file's first rows holds the column names: the widest that reads like names before the data starts."""
-    if len(rows) > 1 and _is_header(rows[0]) and _filled(rows[1]):
-        return 0
-    widths = [len(_filled(r)) for r in rows]
-    names = [_is_header(r) for r in rows]
-    best = None
-    for i, r in enumerate(rows):
-        data = sum(_valued(c) for c in _filled(r)) >= 2
-        if data:
-            wider = max((w for w, n in zip(widths[i + 1:], names[i + 1:]) if n), default=0)
-            if best is None and widths[i] <= 4 and wider > widths[i]:
-                continue                      # a period line such as 'From, 09/01/2026, To, 09/30/2026'
-            break
-        if names[i]:
-            best = i if best is None or widths[i] > widths[best] else best
-        elif widths[i] > 2:
-            return 0                          # an unfamiliar layout is taken as it is
-    return best or 0
-
-
-def _place_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        b["header_line"] = [int(nums[header_place([list(r) for r in rows])]) for nums, rows in zip(b["numbers"], b["rows"])]
-        yield b[["dataset_id", "source_file", "header_line"]]
+def _read(lines: DataFrame) -> DataFrame:
+    """Each line with its cells and what they look like: how many are filled, whether they could be column names (three
+    or more, nearly all of them words, none twice) and whether they are data (two or more numbers or dates)."""
+    filled = F.filter(F.transform("cells", lambda c: text.strip(c)), lambda c: c != "")
+    valued = F.size(F.filter("shown", lambda c: c.rlike(NUMERIC) | c.rlike(DATE_START)))
+    x = lines.withColumn("cells", csvtext.cells(F.col("text"))).withColumn("shown", filled).withColumn("filled", F.size("shown")) \
+        .withColumn("valued", F.when(F.col("filled") >= 2, valued).otherwise(0))
+    unlike = F.size(F.array_distinct(F.transform("shown", lambda c: F.lower(c)))) == F.col("filled")
+    return (x.withColumn("data", F.col("valued") >= 2)
+            .withColumn("names", F.when((F.col("filled") >= 3) & (5 * F.col("valued") <= F.col("filled")), unlike).otherwise(False))
+            .withColumn("first", text.strip(F.try_element_at("cells", F.lit(1)))).drop("shown", "valued"))
 
 
 def header_lines(lines: DataFrame) -> DataFrame:
-    """(dataset_id, source_file, header_line). Only a file's first 25 lines are looked at."""
-    start = lines.groupBy(*FILE).agg(F.min("line_number").alias("start"))
-    top = (lines.join(start, FILE).where(F.col("line_number") < F.col("start") + HEADER_SEARCH).groupBy(*FILE)
-           .agg(F.array_sort(F.collect_list(F.struct("line_number", csvtext.cells(F.col("text")).alias("cells")))).alias("top"))
-           .select(*FILE, F.col("top.line_number").alias("numbers"), F.col("top.cells").alias("rows")))
-    return top.mapInPandas(_place_batches, "dataset_id string, source_file string, header_line bigint")
+    """(dataset_id, source_file, header_line): see `_places`."""
+    return _places(checkpointed(_read(lines).select(*FILE, "line_number", "text", "filled", "data", "names")))
+
+
+def _places(read: DataFrame) -> DataFrame:
+    """Where each file's column names stand, from its lines as `_read` describes them. Aggregates per file:
+
+    * The names are on the first line if that reads like names and the second isn't blank.
+    * Otherwise they are the widest line (the first of equals) that reads like names and is wider than a first line that
+      does, and stands before the data begins.
+    * Data begins with the first line of data; before the first such names, lines of data with four cells or fewer that
+      are narrower than later names are skipped ("From, 09/01/2026, To, 09/30/2026").
+    * A file with another line of three cells or more before its data is of an unfamiliar layout, and one without such
+      names is plain; in both the first line is taken.
+
+    Names are looked for in the first 25 lines, or, if none of those reads like names, up to the 25th line from the
+    first that does, however long the words above it."""
+    line = F.col("line_number")
+    files = read.groupBy(*FILE).agg(F.min("line_number").alias("start"), F.min_by(F.when(F.col("names"), F.col("filled")).otherwise(0), "line_number").alias("base"))
+    x = read.join(files, FILE).withColumn("head", F.col("names") & ~F.col("data") & (line > F.col("start")) & (F.col("filled") > F.col("base")))
+    seen = x.groupBy(*FILE).agg(F.min(F.when(F.col("head"), line)).alias("named_at"))
+    last = F.greatest(F.col("start"), F.when(F.col("named_at") >= F.col("start") + HEADER_SEARCH, F.col("named_at"))) + HEADER_SEARCH
+    top = checkpointed(x.join(seen.where("named_at IS NOT NULL"), FILE).where(line < last))
+
+    def earliest(rule: Column) -> Column:
+        return F.min(F.when(rule, line))
+    narrow = F.col("data") & (line < F.col("named_at"))
+    widest = F.max(F.when(F.col("names") & (line > F.col("start")), F.col("filled")))
+    facts = top.groupBy(*FILE).agg(
+        widest.alias("widest"), F.bool_or((line == F.col("start")) & F.col("names")).alias("named_first"),
+        F.bool_or((line == F.col("start") + 1) & (text.strip(F.col("text")) != "")).alias("follows"),
+        earliest(F.col("data") & ((line > F.col("named_at")) | (F.col("filled") > 4))).alias("wide_at"),
+        *[earliest(narrow & (F.col("filled") == n)).alias(f"narrow_{n}") for n in (2, 3, 4)],
+        earliest(~F.col("data") & ~F.col("names") & (F.col("filled") > 2)).alias("odd_at"))
+    begins = F.least("wide_at", *[F.when(F.col("widest") <= n, F.col(f"narrow_{n}")) for n in (2, 3, 4)])
+    far = F.lit((1 << 63) - 1)
+    facts = facts.withColumn("begins", F.coalesce(begins, far)).where(~(F.col("named_first") & F.col("follows")) & (F.coalesce("odd_at", far) >= F.col("begins")))
+    best = (top.join(facts.select(*FILE, "begins"), FILE).where(F.col("head") & (line < F.col("begins"))).groupBy(*FILE)
+            .agg(F.max(F.struct("filled", (-line).alias("from_end"))).alias("best")))
+    return files.join(best, FILE, "left").select(*FILE, F.coalesce(-F.col("best.from_end"), "start").alias("header_line"))
 
 
 # ---------------------------------------------------------------- report-style exports
 def classified(lines: DataFrame) -> DataFrame:
     """Every line of a report with what it is: title, header, heading, total, footer, blank or row; and the heading a
     row stands under (`under`)."""
-    cells = csvtext.cells(F.col("text"))
-    filled = F.size(F.filter(cells, lambda c: text.strip(c) != ""))
-    x = lines.join(header_lines(lines), FILE).withColumn("cells", cells).withColumn("filled", filled) \
-        .withColumn("first", text.strip(F.try_element_at("cells", F.lit(1))))
+    read = checkpointed(_read(lines))
+    x = read.join(_places(read), FILE).drop("data", "names")
     body = F.col("line_number") > F.col("header_line")
     total = F.col("first").rlike(TOTAL)
     alone = (F.col("filled") == 1) & (F.col("first") != "")

@@ -41,6 +41,43 @@ def test_values_broken_in_any_dialect(spark):
         assert [(r["line_number"], r["text"]) for r in x.orderBy("line_number").collect()][1:] == [(2, "1,North South,30" if sep != "," else '1,"North South",30'), (4, "2,West,40")]
 
 
+def many(spark, files):
+    return spark.createDataFrame([(f"D{d}", "payments.csv", i, t) for d, rows in enumerate(files) for i, t in enumerate(rows, 1)], LINE).repartition(3)
+
+
+def test_values_over_many_breaks(spark):
+    files, want = [], []
+    for breaks in (2, 5, 6, 20):
+        for sep in (",", ";", "\t"):
+            middle = [f"part {i}" for i in range(1, breaks)]
+            files.append([sep.join("abc"), f'1{sep}"one', *middle, f'last"{sep}5', sep.join("2xy")])
+            want.append([sep.join("abc"), f'1{sep}"' + " ".join(["one", *middle, "last"]) + f'"{sep}5', sep.join("2xy")])
+    far = [f"{i},x,y" for i in range(2, 9)]
+    # within five breaks a line may read like a row; beyond them a stray quote is likelier; the next line never is a row of its own
+    files += [["a,b,c", '1,"two', "more", "2,x,y", 'last",5'], ["a,b,c", '1,"two', "more", *far, 'last",5'], ["a,b,c", '1,"two', "2,x,y", 'last",5']]
+    want += [["a,b,c", '1,"two more 2,x,y last",5'], files[-2], files[-1]]
+    got = reports.join_broken(many(spark, files)).collect()
+    assert [[r["text"] for r in sorted(got, key=lambda r: r["line_number"]) if r["dataset_id"] == f"D{d}"] for d in range(len(files))] == want
+
+
+HEAD, DATA = "Date,Num,Memo,Open Balance,Amount", "2026-09-01,17,ok,30.00,5.00"
+HEADERS = [
+    ([HEAD, DATA], 1), (["Acme Ltd", "Bill Payment List", "From,09/01/2026,To,09/30/2026", HEAD, DATA], 4),
+    ([*[f"Note {i}" for i in range(40)], HEAD, DATA, DATA], 41),             # forty lines of words come first
+    ([*["" for _ in range(30)], "From,09/01/2026,To,09/30/2026", HEAD, DATA], 32),
+    ([*[f"Note {i}" for i in range(40)], "Acme,North,Leeds", HEAD, DATA], 42),    # the widest before the data
+    (["Acme", "Date,Num,Memo", "Date,Num,Memo,More", DATA, "Date,Num,Memo,More,Most,Rest"], 3),
+    (["Acme", DATA, HEAD, DATA], 1),                                        # the data has begun
+    (["Acme", "a,b,1", HEAD, DATA], 1),                                     # an unfamiliar layout
+    (["Acme", "Date,Date,Memo", DATA], 1), ([DATA, DATA], 1), (["Acme"], 1), ([""], 1),
+    ([HEAD, "", HEAD + ",More", DATA], 3)]
+
+
+def test_where_the_column_names_stand(spark):
+    got = {r["dataset_id"]: r["header_line"] for r in reports.header_lines(many(spark, [rows for rows, _ in HEADERS])).collect()}
+    assert [got[f"D{d}"] for d in range(len(HEADERS))] == [at for _, at in HEADERS]
+
+
 def test_decimal_commas_and_date_order(spark):
     rows = ["payment_id;pay_date;invoice_date;supplier;invoice_no;invoice_amount;paid_amount", "P1;13/09/2026;01/09/2026;Ashby;I1;1.234;99,00", "P2;02/09/2026;01/09/2026;Ashby;I2;;1.000,50"]
     x = reports.to_commas(file(spark, rows))
