@@ -1,13 +1,12 @@
 """Records out of the two text kinds: contract and invoice lines, and the invoices inside scanned text."""
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from payproof import schema as S
 from payproof.functions import text
-from payproof.scale import line_block
+from payproof.scale import checkpointed, line_block, running
 
 # --- fixed values: how the two text kinds are written -------------------------
 RECORD = r"^\[%s (\S+) \| ([^|]+?) \| ([^\]]+)\] (.*)"
@@ -70,60 +69,80 @@ def _features(lines: DataFrame) -> DataFrame:
             .withColumn("vendor", text.strip(found(SUPPLIER))))
 
 
-BLOCK = ("dataset_id string, start bigint, name string, number_line bigint, number string, total_line bigint, total string, "
-         "bank_line bigint, bank string, vendor_line bigint, vendor string, guess_line bigint, guess string")
-FIELDS = ["number", "total_due", "total", "bank", "vendor"]
-
-
-def _split_document(dataset_id: str, lines: list[dict]) -> list[dict]:
-    """The invoices of one document, from its lines that say something, in order. A new number after a total starts
-    the next invoice, which keeps the supplier found so far."""
-    top = lines[0]
-    base = top["pdf"].split(" #")[0]
-    out: list[dict] = []
-
-    def fresh(name: str, start: int, **known) -> dict:
-        out.append({"start": start, "name": name, "context": False, **known})
-        return out[-1]
-    now = fresh(top["pdf"], top["line_number"])
-    for row in lines[1:]:
-        n = row["line_number"]
-        if row["number"] and "number" in now and ("total" in now or "total_due" in now) and row["number"] != now["number"][1]:
-            now = fresh(f"{base} #{len(out) + 1}", n - 1, **{k: now[k] for k in ("vendor", "guess") if k in now})
-        for field in ("number", "total_due", "total"):
-            if row[field] and field not in now:
-                now[field] = (n, row[field])
-        if row["bank"] and ("bank" not in now or (row["in_context"] and not now["context"])):
-            now["bank"], now["context"] = (n, row["bank"]), bool(row["in_context"])
-        if row["vendor"] and "vendor" not in now:
-            now["vendor"] = (n, row["vendor"])
-        if "vendor" not in now and "guess" not in now and n == now["start"] + 1:
-            now["guess"] = (n, row["first_words"])
-    rows = []
-    for b in out:
-        b["total"] = b.get("total_due", b.get("total", (None, None)))
-        flat = {"dataset_id": dataset_id, "start": b["start"], "name": b["name"]}
-        for field in ("number", "total", "bank", "vendor", "guess"):
-            flat[f"{field}_line"], flat[field] = b.get(field, (None, None))
-        rows.append(flat)
-    return rows
-
-
-def _split_documents(batches):
-    columns = [c.split()[0] for c in BLOCK.split(", ")]
-    for batch in batches:
-        rows = [r for d, lines in zip(batch["dataset_id"], batch["lines"]) for r in _split_document(d, list(lines))]
-        frame = pd.DataFrame(rows, columns=columns)
-        yield frame.astype({c: "Int64" for c in columns if c.endswith("_line") or c == "start"})
+DOC = ["dataset_id", "head_at"]
+
+
+def _starts(said: DataFrame) -> DataFrame:
+    """Where the second and later invoices of each document start, as (dataset_id, head_at, line_number).
+
+    An invoice ends before the first line that has another number than its own and comes after a total. Where the next
+    one starts follows from a line alone: `totals` counts the totals before each number line, an opener is the first
+    number line after a total, a turn is one whose number isn't the one before it. From a line the next start is the next
+    opener, or, if that repeats the line's number, the turn after it. Starts that a document really has are reached from
+    its first number by steps of 1, 2, 4, ... starts, so rounds grow with the logarithm of its invoices."""
+    of_total, of_number = F.col("total").isNotNull() | F.col("total_due").isNotNull(), F.col("number").isNotNull()
+    key = said.where(of_total | of_number).select(*DOC, "line_number", "number", of_total.alias("of_total"))
+    levels, order = [("_blk", line_block(F.col("line_number")))], [F.col("line_number")]
+    placed = running(key, DOC, levels, order, {"totals": F.col("of_total").cast("int"), "nth": of_number.cast("int")})
+    numbers = checkpointed(placed.where(of_number).select(*DOC, "line_number", "number", "totals", "nth"))
+    before = numbers.select(*DOC, (F.col("nth") + 1).alias("nth"), F.col("number").alias("before"))
+    turns = numbers.join(before, [*DOC, "nth"], "left").withColumn("turn", (F.col("before").isNull() | (F.col("number") != F.col("before"))).cast("int"))
+    opener = numbers.groupBy(*DOC, "totals").agg(F.min("line_number").alias("line_number")).withColumn("opener", F.lit(1))
+    x = turns.join(opener, [*DOC, "totals", "line_number"], "left").select(*DOC, "line_number", "number", "totals", "turn", F.coalesce("opener", F.lit(0)).alias("opener"))
+    # the run of equal numbers and the stretch between totals each line belongs to, numbered from 1
+    x = running(x, DOC, levels, order, {"runs": F.col("turn"), "parts": F.col("opener")})
+    x = checkpointed(x.where("turn = 1 OR opener = 1").withColumn("run", F.col("runs") + F.col("turn")).withColumn("part", F.col("parts") + F.col("opener")))
+    turn = x.where("turn = 1").select(*DOC, (F.col("run") - 1).alias("run"), F.col("line_number").alias("other"))
+    onward = x.join(turn, [*DOC, "run"], "left")                               # the first line with another number
+    opens = onward.where("opener = 1").select(*DOC, (F.col("part") - 1).alias("part"), F.col("line_number").alias("open"), F.col("number").alias("open_number"),
+                                              F.col("other").alias("open_other"))
+    steps = onward.join(opens, [*DOC, "part"], "left").withColumn("next", F.when(F.col("open_number") != F.col("number"), F.col("open")).otherwise(F.col("open_other")))
+    # an invoice that starts with its document may have its total before its number
+    first = steps.where("run = 1 AND turn = 1").select(*DOC, F.when(F.col("totals") > 0, F.col("other")).otherwise(F.col("next")).alias("line_number"))
+    got = checkpointed(first.where("line_number IS NOT NULL"))
+    hop = checkpointed(steps.where("next IS NOT NULL").select(*DOC, "line_number", "next").join(got.select(*DOC), DOC, "left_semi"))
+    reached = got
+    while True:
+        got = checkpointed(reached.join(hop, [*DOC, "line_number"]).select(*DOC, F.col("next").alias("line_number")))
+        if got.isEmpty():
+            return reached
+        reached = checkpointed(reached.union(got))
+        hop = checkpointed(hop.join(hop.select(*DOC, F.col("line_number").alias("next"), F.col("next").alias("then")), [*DOC, "next"])
+                           .select(*DOC, "line_number", F.col("then").alias("next")))
 
 
 def invoice_blocks(lines: DataFrame) -> DataFrame:
-    """One row per invoice found in the text. Spark reads the lines and finds the document each belongs to; the lines
-    of one scanned document that carry a field (its head, its second line, numbers, totals, accounts) become one row,
-    and documents pass through Python in Arrow batches."""
+    """One row per invoice found in the text: the first number and total due (or total) it gives, the first account named
+    beside bank words (or the first one), and the supplier.
+
+    A document holds one invoice until a new number comes after a total (`_starts`). The document's first supplier line
+    holds from its invoice on; where none came before it, the words under the document's head stand in (`guess`), or
+    else the line that starts a further invoice. All of it is joins and aggregates by document and invoice: no task holds
+    a document."""
     f = latest(_features(lines), "head").where("head_at IS NOT NULL")
-    said = f.where("line_number = head_at OR line_number = head_at + 1 OR number IS NOT NULL OR total_due IS NOT NULL OR total IS NOT NULL "
-                   "OR bank IS NOT NULL OR vendor IS NOT NULL")
-    fields = F.struct("line_number", "pdf", *FIELDS, "in_context", text.strip(F.col("text")).alias("first_words"))
-    return (said.groupBy("dataset_id", "head_at").agg(F.array_sort(F.collect_list(fields)).alias("lines"))
-            .select("dataset_id", "lines").mapInPandas(_split_documents, BLOCK))
+    body, line = F.col("line_number") > F.col("head_at"), F.col("line_number")
+    fields = ["number", "total_due", "total", "bank", "vendor"]
+    second = line == F.col("head_at") + 1
+    f = f.select(*DOC, "line_number", "pdf", *[F.when(body, F.col(c)).alias(c) for c in fields], "in_context",
+                 F.when(second | (F.col("number").isNotNull() & body), text.strip(F.col("text"))).alias("words"), second.alias("second"))
+    said = checkpointed(f.where(~body | F.col("second") | F.coalesce(*fields).isNotNull()))
+    starts = _starts(said).withColumn("starts", F.lit(True))
+    x = said.join(starts, [*DOC, "line_number"], "left").withColumn("block", F.when(~body | F.col("starts"), line))
+    x = checkpointed(latest(x, "block", keys=tuple(DOC)))
+
+    def earliest(value: str, *more: str, rule: Column | None = None) -> Column:
+        return F.min(F.when(F.col(value).isNotNull() if rule is None else rule, F.struct("line_number", value, *more)))
+    docs = x.groupBy(*DOC).agg(F.max(F.when(~body, F.col("pdf"))).alias("pdf"), earliest("vendor", "block_at").alias("v"),
+                               earliest("words", "block_at", rule=F.col("second") | F.col("starts")).alias("g"))
+    own = F.min(F.when(F.col("bank").isNotNull(), F.struct((~F.col("in_context")).alias("elsewhere"), "line_number", "bank")))
+    blocks = x.groupBy(*DOC, "block_at").agg(earliest("number").alias("n"), earliest("total_due").alias("due"), earliest("total").alias("t"), own.alias("b"))
+    blocks = running(blocks, DOC, [("_blk", line_block(F.col("block_at")))], [F.col("block_at")], {"nth": F.lit(1)}).join(docs, DOC)
+    further, known = F.col("nth") > 0, F.col("v.block_at") <= F.col("block_at")
+    guessed = (F.col("g.block_at") <= F.col("block_at")) & (F.col("v").isNull() | (F.col("v.line_number") > F.col("g.line_number")))
+    name = F.when(further, F.concat(F.substring_index("pdf", " #", 1), F.lit(" #"), F.col("nth") + 1)).otherwise(F.col("pdf"))
+    return blocks.select("dataset_id", (F.col("block_at") - further.cast("int")).alias("start"), name.alias("name"),
+                         F.col("n.line_number").alias("number_line"), F.col("n.number").alias("number"),
+                         F.coalesce("due.line_number", "t.line_number").alias("total_line"), F.coalesce("due.total_due", "t.total").alias("total"),
+                         F.col("b.line_number").alias("bank_line"), F.col("b.bank").alias("bank"),
+                         F.when(known, F.col("v.line_number")).alias("vendor_line"), F.when(known, F.col("v.vendor")).alias("vendor"),
+                         F.when(guessed, F.col("g.line_number")).alias("guess_line"), F.when(guessed, F.col("g.words")).alias("guess"))

@@ -1,7 +1,7 @@
 import pytest
 
 from payproof.plans.audit import files_from_lines
-from payproof.sources import headers, lines, reports, tables
+from payproof.sources import headers, lines, reports, tables, textfiles
 from payproof.streaming import folder
 
 LINE = "dataset_id string, source_file string, line_number long, text string"
@@ -122,3 +122,32 @@ def test_folder_job_reports_new_findings_once(spark, tmp_path):
 def test_files_nobody_can_match_are_reported(spark):
     _, report = files_from_lines(file(spark, ["a,b,c", "1,2,3"]), ["payments.csv"])
     assert folder.data_problems(report).count() == 1
+
+
+def invoices(spark, *documents):
+    rows = [("A", "invoices.txt", i, t) for i, t in enumerate((t for d in documents for t in d), 1)]
+    return textfiles.invoice_blocks(spark.createDataFrame(rows, LINE).repartition(4)).orderBy("start").collect()
+
+
+def test_invoices_inside_one_document(spark):
+    got = invoices(spark, ["[PDF a.pdf]", "Birch Ltd", "Invoice No: A-1", "Invoice No: A-2", "Total 5.00", "Invoice No: A-1", "Amount due: 6.00", "Total 7.00", "Invoice No: A-3", "From: Ashby", "Total 9.00"],
+                   ["[PDF b #1.pdf]", "Total 1.00", "Invoice No: B-1", "Invoice No: B-2"], ["[PDF c.pdf]"],
+                   ["[PDF d.pdf]", "From: Cedar", "Account no 11111", "Pay to bank account 22222", "Pay to bank account 33333", "Invoice No: D-1", "Total 2.00", "Invoice No: D-1", "Invoice No: D-2"])
+    # another number before a total isn't another invoice, the first one's own number after it neither
+    assert [(r["name"], r["start"], r["number"], r["total"], r["bank"], r["vendor"], r["guess"]) for r in got] == [
+        ("a.pdf", 1, "A-1", "6.00", None, None, "Birch Ltd"), ("a.pdf #2", 8, "A-3", "9.00", None, "Ashby", "Birch Ltd"),
+        ("b #1.pdf", 12, "B-1", "1.00", None, None, "Total 1.00"), ("b #2", 14, "B-2", None, None, None, "Total 1.00"),
+        ("c.pdf", 16, None, None, None, None, None),
+        ("d.pdf", 17, "D-1", "2.00", "22222", "Cedar", None), ("d.pdf #2", 24, "D-2", None, None, "Cedar", None)]
+    assert [(r["number_line"], r["total_line"], r["vendor_line"], r["guess_line"]) for r in got[:2]] == [(3, 7, None, 2), (9, 11, 10, 2)]
+
+
+def test_a_document_of_many_invoices(spark):
+    pages = [t for i in range(3000) for t in (f"Invoice No: N-{i}", "some words", f"Total {i}.00", f"Invoice No: N-{i}")]
+    got = invoices(spark, ["[PDF all.pdf]", "From: Ashby", *pages], ["[PDF one.pdf]", "Invoice No: X-1"])
+    assert len(got) == 3001 and {r["vendor"] for r in got[:-1]} == {"Ashby"} and got[2999]["name"] == "all.pdf #3000"
+    assert all((r["number"], r["total"], r["number_line"]) == (f"N-{i}", f"{i}.00", 4 * i + 3) for i, r in enumerate(got[:-1]))
+
+
+def test_no_invoices(spark):
+    assert invoices(spark, ["no document", "Invoice No: A-1", "Total 5.00"]) == []
