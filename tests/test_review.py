@@ -6,7 +6,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from payproof import schema as S
-from payproof.operators import evidence, review, scoring, trail
+from payproof.operators import anonymise, evidence, review, scoring, trail
 from payproof.plans import bridge, catalogue
 
 
@@ -81,3 +81,28 @@ def test_unverified_quotes_do_not_pass(spark):
     f, n = bridge.view(spark, SF, "findings"), bridge.view(spark, SF, "lines")
     bad = evidence.verify(f, n).where("NOT verified").collect()
     assert bad and all(r["line_number"] % 97 == 0 or r["related_text"] == "no such line" for r in bad)
+
+
+def test_scrubbed_text_keeps_parties_apart(spark):
+    said = ["Pay GB29 NWBK 6016 1331 9268 19 for Kate Lowe", "Pay GB29 NWBK 6016 1331 9268 18 for Kate Lowry", "acct no: **77-123 SSN 123-45-6789", "acct no: 77123 SSN 123-45-6780",
+            "call (020) 7946 0958 or +44 20 7946 0959", "Kate Lowe met K. Lowe, mail k.lowe@ashby.co.uk", "Team Dinner at 12 High Street, SW1A 1AA", "PLAIN WORDS only", "", None, "a\ue000b"]
+    rows = spark.createDataFrame(list(enumerate(said)), "n int, text string").select("n", anonymise.scrub(F.col("text"), "k", free=True).alias("t"))
+    got = [r["t"] for r in rows.orderBy("n").collect()]
+    ids = {r["digits"]: r["fake"] for r in anonymise.id_map(spark.createDataFrame([("77-123",), ("77123",), ("123-45-6789",), ("123-45-6780",), ("29601613319268 19",)], "value string"), "k").collect()}
+    assert len(ids) == 4 and got[2].startswith(f"acct no: **{ids['77123'][:2]}-{ids['77123'][2:]} SSN ") and got[3].startswith(f"acct no: {ids['77123']} SSN ")
+    assert "".join(c for c in got[0] if c.isdigit()) == ids["2960161331926819"] and got[0].startswith("Pay GB") and got[0].split(" for ")[0] != got[1].split(" for ")[0]
+    one, two = [g.split("SSN ")[1] for g in got[2:4]]
+    assert one.replace("-", "") == ids["123456789"] and one != two and not {one, two} & {"123-45-6789", "123-45-6780"}
+    kate, lowry = got[0].split(" for ")[1], got[1].split(" for ")[1]
+    assert "Lowe" not in kate and kate.split()[0] == lowry.split()[0] and kate.split()[1] != lowry.split()[1]
+    first, rest = got[5].split(" met ")
+    assert first == kate and rest == f"{kate[0]}. {kate.split()[1]}, mail someone@example.com"
+    assert "7946 0958" not in got[4] and got[4][:6] == "call (" and len(got[4]) == len(said[4])
+    assert got[6:] == ["Team Dinner at 1 Example Street, AB1 2CD", "PLAIN WORDS only", "", None, "ab"]
+
+
+def test_a_quote_that_a_third_of_all_lines_repeat(spark):
+    lines = spark.range(30000).select(F.lit("A").alias("dataset_id"), F.lit("f").alias("source_file"), F.col("id").alias("line_number"), F.when(F.col("id") % 3 == 0, "same").otherwise(F.concat(F.lit("line "), "id")).alias("text"))
+    found = spark.createDataFrame([("A", 1, "f", 3, "same", "line 4", 4), ("A", 2, "f", 4, "same", "", None), ("A", 3, "f", 5, "line 5", "no line", 7)],
+                                  "dataset_id string, finding long, source_file string, line_number long, evidence string, related_text string, related_line long")
+    assert [(r["finding"], r["verified"], r["matched_n"]) for r in evidence.verify(found, lines).orderBy("finding").collect()] == [(1, True, 10001), (2, False, 10000), (3, False, 1)]
