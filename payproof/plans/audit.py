@@ -4,9 +4,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from payproof import schema as S
-from payproof.operators import approvals, documents, expenses, payments, reconcile, vendors
+from payproof.operators import approvals, documents, expenses, gate, payments, reconcile, vendors
 from payproof.operators.findings import Found, all_of
 from payproof.scale import checkpointed
 from payproof.sources import headers, reports, tables
@@ -65,20 +66,30 @@ def analyze(f: Files, limits: dict | None = None) -> Found:
     return all_of([found for area in S.AREAS for found in run_area(area, f, limits)])
 
 
-def files_from_lines(lines: DataFrame, kinds: list[str]) -> tuple[Files, DataFrame]:
+def hold_or_release(f: Files) -> DataFrame | None:
+    """The payment gate's decision on every line of the payment runs; None without one. A kind that nobody sent is empty,
+    and the reasons say what could not be compared."""
+    if f.payment_run is None:
+        return None
+    spark = f.payment_run.sparkSession
+    others = [t if t is not None else tables.empty(spark, kind) for t, kind in ((f.vendors, "vendors.csv"), (f.approvals, "approvals.csv"), (f.payments, "payments.csv"))]
+    return gate.evaluate(f.payment_run, *others)
+
+
+def files_from_lines(lines: DataFrame, kinds: list[str]) -> tuple[Files, DataFrame | None]:
     """(typed tables, header report) from numbered raw lines whose source_file is the kind. Headers are matched without
     a person; a file that lacks a column nobody can suggest is not checked, and the report says so."""
+    typed: dict[str, DataFrame] = {kind: lines.where(F.col("source_file") == kind) for kind in kinds if kind.endswith(".txt")}
+    listed = [kind for kind in kinds if kind not in typed]
     report = None
-    typed: dict[str, DataFrame] = {}
-    for kind in kinds:
-        mine = lines.where(lines.source_file == kind)
-        if kind.endswith(".txt"):
-            typed[kind] = mine
-            continue
-        plain = reports.tidied(reports.to_commas(reports.join_broken(mine)))
-        heads = checkpointed(headers.auto_matched(headers.headers(plain)))         # a row per file, read by every check
-        report = heads if report is None else report.unionByName(heads)
-        typed[kind] = tables.typed(plain, heads.where("checked"), kind)
+    if listed:
+        # all kinds in one pass, as every step works file by file; each is read several times by the next
+        joined = checkpointed(reports.join_broken(lines.where(F.col("source_file").isin(listed))))
+        plain = checkpointed(reports.tidied(checkpointed(reports.to_commas(joined))))
+        report = checkpointed(headers.auto_matched(headers.headers(plain)))         # a row per file, read by every check
+        for kind in listed:
+            mine = F.col("source_file") == kind
+            typed[kind] = tables.typed(plain.where(mine), report.where(mine & F.col("checked")), kind)
     files = Files(payments=typed.get("payments.csv"), approvals=typed.get("approvals.csv"), vendors=typed.get("vendors.csv"),
                   expenses=typed.get("expenses.csv"), bank=typed.get("bank_statement.csv"), payment_run=typed.get("payment_run.csv"),
                   contracts=typed.get("contracts.txt"), invoices=typed.get("invoices.txt"))

@@ -92,9 +92,24 @@ def numbered_text(spark: SparkSession, path: str) -> DataFrame:
     return raw.join(starts, ["path", "block"]).select("path", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_number"), "text")
 
 
+def file_of(path: Column) -> Column:
+    """The file a path belongs to. One that Spark or Hadoop saved in parts is a folder of parts, and is one file."""
+    return F.regexp_replace(path, r"/part-[^/]*$", "")
+
+
+def parts_joined(lines: DataFrame) -> DataFrame:
+    """Numbered lines of parts (file, path, line_number, text) numbered through each file: parts follow by name, and the
+    lines of those before place a part. What is put in order is one row per part."""
+    sizes = lines.groupBy("file", "path").agg(F.max("line_number").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("path", F.coalesce(before, F.lit(0)).alias("before"))
+    return lines.join(starts, "path").withColumn("line_number", F.col("line_number") + F.col("before")).drop("path", "before")
+
+
 def kind_of(path: Column) -> Column:
-    """The kind a file's name says: its stem is the kind, starts with it or ends with it; NULL when it says nothing."""
-    stem = F.lower(F.regexp_replace(F.regexp_extract(F.replace(path, F.lit("\\"), F.lit("/")), r"([^/]*)$", 1), r"\.[^.]*$", ""))
+    """The kind a file's name says: its stem is the kind, starts with it or ends with it; NULL when it says nothing. Of
+    a name written as column=value the value counts."""
+    stem = F.lower(F.regexp_replace(F.regexp_extract(F.replace(path, F.lit("\\"), F.lit("/")), r"([^/=]*)$", 1), r"\.[^.]*$", ""))
     return F.coalesce(*[F.when((stem == k) | stem.startswith(k + "_") | stem.endswith("_" + k), F.lit(STEMS[k])) for k in STEMS])
 
 

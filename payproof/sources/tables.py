@@ -2,7 +2,7 @@
 with one aggregate per file, and joined back."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payproof import schema as S
@@ -78,6 +78,13 @@ def typed(lines: DataFrame, heads: DataFrame, kind: str, chosen_order: DataFrame
     return x.select("dataset_id", "source_file", "line_number", "text", *out)
 
 
+def empty(spark: SparkSession, kind: str) -> DataFrame:
+    """The typed table of a kind nobody sent."""
+    lines = spark.createDataFrame([], "dataset_id string, source_file string, line_number long, text string")
+    heads = spark.createDataFrame([], "dataset_id string, source_file string, header_line long, header array<string>")
+    return typed(lines, heads, kind)
+
+
 # ---------------------------------------------------------------- data check before a run
 def profile(rows: DataFrame, kind: str) -> DataFrame:
     """What was believed about each file of a kind: rows, date order, unreadable amounts and dates (with the first

@@ -107,7 +107,8 @@ def test_folder_job_reports_new_findings_once(spark, tmp_path):
     assert alerts == [{"acme": 1}]
     (src / "acme" / "expenses_late.csv").write_text("not,an,audit\n")          # touches the dataset; the slot is taken
     folder.watch(spark, str(src), out, ["expenses.csv"], alert).awaitTermination()
-    assert alerts[1] == {}
+    assert alerts[1] == {"acme": 0}                                           # nothing new, but a file that was not read
+    assert [r["note"] for r in spark.read.parquet(out + "/problems/batch=1").collect()] == ["Two files are read as expenses.csv: kept expenses.csv, skipped expenses_late.csv"]
     (src / "beta").mkdir()
     (src / "beta" / "expenses.csv").write_text(head + "C9,2026-09-01,Raj Patel,Parking,60.00,,gym,\n")
 
@@ -119,6 +120,55 @@ def test_folder_job_reports_new_findings_once(spark, tmp_path):
     assert alerts[2] == {"beta": 2}                                           # a failed alert is tried again
 
 
+EXPENSES = "claim_id,date,employee,category,amount,receipt_ref,notes,people"
+NO_RECEIPT = "C1,2026-09-01,Kate Lowe,Parking,90.00,,,"
+
+
+def put(at, *rows):
+    at.parent.mkdir(parents=True, exist_ok=True)
+    at.write_text("".join(r + "\n" for r in rows))
+
+
+def check_folder(spark, src, out, areas=("Expenses", "Vendors")):
+    feeds = []
+    kinds = ["expenses.csv", "vendors.csv", "approvals.csv", "payments.csv", "payment_run.csv"]
+    folder.watch(spark, str(src), out, kinds, lambda feed: feeds.extend(feed.collect()), list(areas)).awaitTermination()
+    return {r["dataset_id"]: r for r in feeds}
+
+
+def test_folder_job_holds_payments_and_reports_what_it_could_not_check(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    put(src / "acme" / "payment_run.csv", "line,vendor_id,supplier,invoice,amount,bank_last4", "1,V-1,Ashby,I-1,50.00,", "2,V-9,=Nobody,I-2,60.00,")
+    put(src / "acme" / "vendors.csv", "vendor_id,name,tax_id,status,bank_changed_on,bank_verified,w9_on_file,last_paid_on,last_paid_amount", "V-1,Ashby,T1,ACTIVE,,,Y,,0")
+    put(src / "beta" / "payment_run.csv", "a,b,c", "1,2,3")
+    put(src / "gamma" / "notes.md", "nothing to check")
+    # one file that was saved in parts: its lines are numbered through
+    put(src / "dataset=delta" / "kind=expenses.csv" / "part-00000", EXPENSES, "C0,2026-09-01,Kate Lowe,Parking,9.00,R1,,")
+    put(src / "dataset=delta" / "kind=expenses.csv" / "part-00001", NO_RECEIPT, "C2,2026-09-02,Kate Lowe,Parking,9.00,R2,gym,")
+    got = check_folder(spark, src, out)
+    assert {k: (r["new_findings"], r["held"], r["problems"]) for k, r in got.items()} == {"acme": (0, 1, 0), "beta": (0, 0, 2), "gamma": (0, 0, 1), "delta": (2, 0, 0)}
+    holds = spark.read.option("header", True).csv(out + "/holds").collect()
+    assert [(r["dataset_id"], r["line"], r["supplier"], r["amount"]) for r in holds] == [("acme", "2", "'=Nobody", "60.00")] and "not checked: no approvals.csv, payments.csv" in holds[0]["reason"]
+    assert sorted((r["clause"], r["line_number"]) for r in spark.read.option("header", True).csv(out + "/findings").collect()) == [("6.2", "3"), ("6.3", "4")]
+    assert sorted((r["dataset_id"], r["nth"], r["line"][:40]) for r in spark.read.parquet(out + "/alert_lines").where("line LIKE 'NOT%'").collect()) == [
+        ("beta", 11, "NOT CHECKED: payment_run.csv is missing "), ("beta", 12, "NOT CHECKED: payment_run.csv could not b"), ("gamma", 11, "NOT CHECKED: No audit files were found i")]
+
+
+def test_state_is_the_last_report_of_each_dataset(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    for name in ("acme", "beta"):
+        put(src / name / "expenses.csv", EXPENSES, NO_RECEIPT)
+    assert {k: r["new_findings"] for k, r in check_folder(spark, src, out).items()} == {"acme": 1, "beta": 1}
+    put(src / "acme" / "expenses.csv", EXPENSES, NO_RECEIPT.replace("90.00", "9.00"))          # the finding goes
+    put(src / "acme" / "read.me", "")
+    assert check_folder(spark, src, out) == {}
+    put(src / "acme" / "expenses.csv", EXPENSES, NO_RECEIPT)                                   # and comes again
+    put(src / "acme" / "read2.me", "")
+    assert {k: r["new_findings"] for k, r in check_folder(spark, src, out).items()} == {"acme": 1}
+    put(src / "beta" / "read.me", "")                                                          # another dataset's state stayed
+    assert check_folder(spark, src, out) == {}
+
+
 def test_files_nobody_can_match_are_reported(spark):
     _, report = files_from_lines(file(spark, ["a,b,c", "1,2,3"]), ["payments.csv"])
     assert folder.data_problems(report).count() == 1
