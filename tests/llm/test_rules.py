@@ -1,9 +1,13 @@
+import math
 import random
+import re
+import string
 import zlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from helpers_llm import docs  # noqa: F401
+from helpers_llm import corpus, docs  # noqa: F401
 from payproof.llm import rules
 
 
@@ -40,3 +44,41 @@ def test_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert [r.score for r in rules.scored(docs(["a", None]), none)[0].collect()] == [0.5, 0.5]
     assert rules.scored(docs([]), none)[0].collect() == []
+
+
+def statistics_of(text):
+    """The statistics of a text, counted plainly."""
+    text = text or ""
+    words = [w for w in re.split(r"[ \t-\r]+", text) if w]
+    lines = text.split("\n")
+    seen, dup_lines = set(), 0
+    for line in lines:
+        if re.search(r"[^ \t-\r]", line):
+            dup_lines += line in seen
+            seen.add(line)
+    windows = [tuple(words[i:i + 5]) for i in range(len(words) - 4)]
+    times = Counter(windows)
+    repeated = {j for i, w in enumerate(windows) if times[w] > 1 for j in range(i, i + 5)}
+    chars, n = sum(map(len, words)), len(words)
+    count = lambda wanted: sum(c in wanted for c in text)
+    per = lambda a, b: a / max(b, 1)
+    return {"n_words": n, "word_length": per(chars, n), "symbols": per(count("#*$%&|<>"), chars), "capitals": per(count(string.ascii_uppercase), chars),
+            "digits": per(count(string.digits), chars), "marks": per(count("!?.,;:|-_=~^@/\\()[]{}\"'"), chars), "dup_lines": per(dup_lines, len(lines)),
+            "repeats": per(len(repeated), n), "line_words": per(n, len(lines)), "distinct": per(len(set(words)), n)}
+
+
+def test_scores_against_brute_force(spark, docs):
+    texts, labels = labelled(2)
+    odd = ["A-1 {x} [y] \"z\" 'q' \\ ^ ~", "one two three four five six\none two three four five six\n\n\n", "é漢😀 ABC\tABC\x0bABC", "word " * 30000, "a\nb\na\nb\na"]
+    texts += [*corpus(5, 60), *odd, *odd]                   # nulls, empty, very long and repeated texts
+    table = docs(texts, [*range(400), *[None if i % 17 == 3 else 400 + i for i in range(len(texts) - 400)]])
+    marks = spark.createDataFrame([*labels, (401, 1, 0), (401, 0, 0)], "doc_id long, quality int, toxic int")
+    scored, fitted = rules.scored(table, marks)
+    assert any(fitted.weights)
+    want = []
+    for r in table.select("doc_id", "text").collect():
+        s = statistics_of(r.text)
+        total = fitted.constant + sum(w for p, w in zip(fitted.paths, fitted.weights) if all((s[n] > at) == above for n, above, at in p))
+        want.append((-1 if r.doc_id is None else r.doc_id, *[round(s[n], 9) for n in rules.STATISTICS], round(1 / (1 + math.exp(-total)), 9)))
+    got = [(-1 if r.doc_id is None else r.doc_id, *[round(r[n], 9) for n in rules.STATISTICS], round(r.score, 9)) for r in scored.collect()]
+    assert sorted(got) == sorted(want)
