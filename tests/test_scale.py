@@ -45,3 +45,12 @@ def test_components_match_union_find(spark):
     for n in got:
         groups.setdefault(find(n), set()).add(n)
     assert all({got[n] for n in g} == {min(g)} for g in groups.values())
+
+
+def test_facts_are_sent_whole_only_while_few(spark, monkeypatch):
+    lines = spark.range(1000).selectExpr("id % 3 AS file", "id")
+    few = spark.range(3).selectExpr("id AS file", "id * 10 AS told")
+    plan = lambda: lines.join(scale.facts(few), "file")
+    assert "BroadcastHashJoin" in plan()._jdf.queryExecution().executedPlan().toString() and plan().count() == 1000
+    monkeypatch.setattr(scale, "FEW_ROWS", 2)
+    assert "SortMergeJoin" in plan()._jdf.queryExecution().executedPlan().toString() and plan().count() == 1000
