@@ -5,6 +5,7 @@ import random
 from conftest import SF
 from pyspark.sql import functions as F
 
+from payproof import scale
 from payproof import schema as S
 from payproof.operators import anonymise, evidence, review, scoring, trail
 from payproof.plans import bridge, catalogue
@@ -35,6 +36,21 @@ def test_cases_join_findings_that_share_a_text(spark):
     assert all(got[x] == min(want[find(x)]) for x in parent) and len(want) < len(parent)
 
 
+
+def test_only_shared_texts_are_walked_for_cases(spark, monkeypatch):
+    rows = [("D", n, "f.csv", f"own {n}", "") for n in range(1, 60)] + [("D", 100, "f.csv", "own 7", "own 9"), ("D", 101, "f.csv", "x", None), ("E", 7, "f.csv", "own 7", "")]
+    seen = []
+
+    def counted(edges):
+        seen.append(edges.count())
+        return scale.components(edges)
+    monkeypatch.setattr(review, "components", counted)
+    got = {(r["dataset_id"], r["finding"]): r["case"] for r in review.cases(spark.createDataFrame(
+        rows, "dataset_id string, finding long, source_file string, evidence string, related_text string")).collect()}
+    assert len(got) == 62 and seen == [2]
+    assert {k for k, case in got.items() if case != k[1]} == {("D", 9), ("D", 100)} and got["D", 9] == got["D", 100] == 7
+
+
 def test_credit_is_one_by_one(spark):
     rng = random.Random(7)
     # K9 stands before K10 in the key, whatever their ids' order as text
