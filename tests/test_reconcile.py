@@ -125,3 +125,12 @@ def test_pick_sum_takes_the_first_of_all_sets():
         sets = [c for n in range(2, min(most, len(pool)) + 1) for c in combinations(range(len(pool)), n) if sum(pool[order[i]][1] for i in c) == target]
         assert pick_sum(pool, target, most) == ([pool[order[i]][0] for i in min(sets)] if sets else None)
     assert pick_sum([(i, 3 + i % 2) for i in range(40)], 2, 25) is None
+
+
+def test_pools_meet_by_whole_names(spark):
+    bank = spark.createDataFrame([("D", 1, 10, 500, "Paid Supplier 7 and Supplier 70 Ltd", "")], "dataset_id string, line_number long, day int, cents long, description string, reference string")
+    pays = spark.createDataFrame([("D", n, 8, 100, f"Supplier {n}") for n in range(1, 80)] + [("D", 90, 3, 100, "Supplier 7"), ("D", 91, 8, 100, "Supplier"), ("D", 92, 8, 100, "")],
+                                 "dataset_id string, line_number long, day int, cents long, supplier string")
+    pools = reconcile._pools(bank, pays, 5, L)
+    assert {r["pay_line"] for r in pools.collect()} == {7, 70, 91}
+    assert "contains" not in pools._jdf.queryExecution().executedPlan().toString().lower()
