@@ -95,6 +95,17 @@ def test_recognition_reasons(spark):
     assert got["B"].kind is None and got["D"].kind is None and got["E"].why_not == "its columns do not look like any of the audit files"
 
 
+def test_header_cells_are_never_broadcast(spark):
+    files = spark.createDataFrame([("A", "a.csv", ["Date", "Amount"], ["amount"])], "dataset_id string, source_file string, header array<string>, missing array<string>")
+    assert "SortMergeJoin" in headers._assigned(files, headers.FILE)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_headings_meet_no_lines_without_a_group(spark):
+    rows = ["Acme", ",Date,Num,Amount", "Ashby", ",2026-09-01,I1,10.00", "Total Ashby,,,10.00", "5", ",2026-09-02,I2,4.00", "7,2026-09-02,I3,5.00", "Total 5,,,4.00"]
+    got = {r["line_number"]: (r["kind"], r["under"]) for r in reports.classified(file(spark, rows)).collect()}
+    assert got[4] == ("row", "Ashby") and got[5][0] == "total" and got[7] == ("row", "5") and got[8][0] == "row" and got[9][0] == "total"
+
+
 def test_folder_job_reports_new_findings_once(spark, tmp_path):
     src, out, alerts = tmp_path / "in", str(tmp_path / "out"), []
     (src / "acme").mkdir(parents=True)
