@@ -83,3 +83,18 @@ def test_csv_cells(spark):
 @pytest.mark.parametrize("cell, want", [("=SUM(A1)", "'=SUM(A1)"), ("-500.00", "-500.00"), ("+cmd", "'+cmd"), ("plain", "plain")])
 def test_safe_cells(spark, cell, want):
     assert one(spark, cell, text.safe_cell) == want
+
+
+def test_folding_asks_the_long_class_of_little_text(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from payproof.functions import text
+    many = text._fold_tables()[3]
+    pattern = text._class_of("".join(many))
+    assert len(pattern) < len(many) + 2
+    assert all(bool(re.fullmatch(pattern, chr(p))) == (chr(p) in many) for p in range(0xFFFE) if not 0xD800 <= p <= 0xDFFF)
+    words = ["S\u00f6hne", "\u00c5ngstr\u00f6m", "\ufb01n", "\u2460\u00bd", "\u0416\u044f", "plain"]
+    got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(text.fold(F.col("w"))).collect()]
+    assert got[:2] == ["sohne", "angstrom"] and got[2] == "fin" and got[5] == "plain"
