@@ -131,6 +131,6 @@ def test_pools_meet_by_whole_names(spark):
     bank = spark.createDataFrame([("D", 1, 10, 500, "Paid Supplier 7 and Supplier 70 Ltd", "")], "dataset_id string, line_number long, day int, cents long, description string, reference string")
     pays = spark.createDataFrame([("D", n, 8, 100, f"Supplier {n}") for n in range(1, 80)] + [("D", 90, 3, 100, "Supplier 7"), ("D", 91, 8, 100, "Supplier"), ("D", 92, 8, 100, "")],
                                  "dataset_id string, line_number long, day int, cents long, supplier string")
-    pools = reconcile._pools(bank, pays, 5, L)
+    pools = reconcile._pools(bank, pays, 5, S.limits_with(None))
     assert {r["pay_line"] for r in pools.collect()} == {7, 70, 91}
     assert "contains" not in pools._jdf.queryExecution().executedPlan().toString().lower()
