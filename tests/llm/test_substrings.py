@@ -1,5 +1,8 @@
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from payproof.llm import substrings
@@ -44,3 +47,17 @@ def test_very_long_texts_and_one_word(docs):
 
 def test_empty_table(docs):
     assert substrings.remove_repeats(docs([])).collect() == []
+
+
+def test_a_task_holds_little_beside_its_batch():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 50_000, 4_000))) for _ in range(400)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(400), pa.int64()), "text": texts})
+    stretches = pa.Table.from_batches(substrings._emit("stretches", 13, 5)[0](iter([batch]))).to_pandas().groupby("doc_id")["s1"].apply(list)
+    batch = batch.append_column("own", pa.array([stretches[i] for i in range(400)], pa.list_(pa.int64())))
+    tracemalloc.start()
+    rows = [(b.num_rows, b.nbytes) for b in substrings._emit("windows", 13, 5)[0](iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n for n, _ in rows) == 400 * (4_000 - 12)
+    assert peak < 120 << 20 and max(size for _, size in rows) < 12 << 20
