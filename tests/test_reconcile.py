@@ -134,3 +134,17 @@ def test_pools_meet_by_whole_names(spark):
     pools = reconcile._pools(bank, pays, 5, S.limits_with(None))
     assert {r["pay_line"] for r in pools.collect()} == {7, 70, 91}
     assert "contains" not in pools._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_clusters_without_and_with_many_lines(spark, monkeypatch):
+    rng = random.Random(7)
+    pays = [payment(2 + i, f"INV-{i % 40}", rng.choice(["100.00", "250.00"]), pay=rng.randrange(9)) for i in range(160)]
+    bank = [bank_line(2 + i, "-" + rng.choice(["100.00", "250.00"]), on=rng.randrange(9), reference=rng.choice(["", f"xp-{2 + rng.randrange(160)}", f"inv-{rng.randrange(40)}y", f"P-{i} inv-{i % 40}"])) for i in range(120)]
+    exact, _ = brute(bank, pays)
+    _, todo, open_ = reconcile.prepared(spark.createDataFrame(bank, BANK), spark.createDataFrame(pays, PAYMENT))
+    asked, with_names = [], reconcile._with_names
+    monkeypatch.setattr(reconcile, "_with_names", lambda b, p, key: asked.append(b.count()) or with_names(b, p, key))
+    for most, lines in ((10_000, 0), (3, 120)):              # only of large clusters is it asked by a join whether they have names
+        monkeypatch.setattr(reconcile, "FOLDED", most)
+        got = {(x["bank_line"], x["pay_line"]) for x in reconcile.exact_pass(todo, open_, L["bank_days"]).collect()}
+        assert got == exact and asked.pop() == lines and len(exact) > 80
