@@ -1,8 +1,12 @@
 import random
 
+from conftest import SF
 from pyspark.sql import functions as F
 
 from payproof import scale
+from payproof.operators import gate
+from payproof.plans import bridge
+from payproof.scale import checkpointed
 from payproof.sources.textfiles import latest
 
 
@@ -54,3 +58,20 @@ def test_facts_are_sent_whole_only_while_few(spark, monkeypatch):
     assert "BroadcastHashJoin" in plan()._jdf.queryExecution().executedPlan().toString() and plan().count() == 1000
     monkeypatch.setattr(scale, "FEW_ROWS", 2)
     assert "SortMergeJoin" in plan()._jdf.queryExecution().executedPlan().toString() and plan().count() == 1000
+
+
+def test_the_gate_reads_payments_once(spark):
+    n = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: n.add(1) or x)
+    v, a, p = (bridge.view(spark, SF, k).limit(300) for k in ("vendors", "approvals", "payments"))
+    p = checkpointed(p)
+    rows = p.count()
+    d = gate.evaluate(bridge.view(spark, SF, "payment_run").limit(100), v, a, p.withColumn("dataset_id", seen("dataset_id")))
+    assert d.count() == 100 and n.value == rows
+
+
+def test_payments_are_worked_out_once_for_a_query(spark):
+    for name, v in zip(("findings", "lines"), bridge.views(spark, SF, ["findings", "lines"]), strict=True):
+        assert not any("lineitem" in f for f in v.inputFiles())
+        plain = bridge.run_sql(spark, SF, bridge.VIEWS[name])
+        assert v.exceptAll(plain).isEmpty() and v.count() == plain.count() > 0
