@@ -39,6 +39,16 @@ def test_edited_copies(docs):
     assert sorted([(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept_bytes)) for r in got], key=str) == brute(list(enumerate(texts)), 400)
 
 
+def test_repeats_where_nothing_is_opened(docs):
+    """Texts with repeated stretches, none of which was opened, have no list of opened ones."""
+    import random
+    rnd = random.Random(7)
+    copy, other = ("".join(rnd.choice("abcdefgh ") for _ in range(600)) for _ in range(2))
+    texts = [copy, copy, copy, other, None, "short"]
+    got = suffixes.remove_repeats(docs(texts)).collect()
+    assert sorted([(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept_bytes)) for r in got], key=str) == brute(list(enumerate(texts)), 400)
+
+
 def test_longer_than_a_block(docs):
     import random
     rnd = random.Random(5)
