@@ -49,6 +49,13 @@ def test_repeats_where_nothing_is_opened(docs):
     assert sorted([(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept_bytes)) for r in got], key=str) == brute(list(enumerate(texts)), 400)
 
 
+def test_short_texts_share_small_pieces():
+    """A task's memory follows the bytes of a piece; every text of `length` bytes is in one, whole."""
+    texts = [b"x" * n for n in (300_000, 400, 399, 262_144, 100_000, 200_000, 500)]
+    pieces = [(owner.tolist(), ends.tolist()) for _, owner, _, _, ends in suffixes._pieces(texts, 400)]
+    assert pieces == [([0], [300_000]), ([1], [400]), ([3], [262_144]), ([4], [100_000]), ([5, 6], [200_000, 200_500])]
+
+
 def test_longer_than_a_block(docs):
     import random
     rnd = random.Random(5)
