@@ -49,6 +49,24 @@ def test_repeats_where_nothing_is_opened(docs):
     assert sorted([(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept_bytes)) for r in got], key=str) == brute(list(enumerate(texts)), 400)
 
 
+def test_the_query_returns_what_is_left(docs, tmp_path):
+    """Passages of 400 bytes go wherever they stand, shorter ones and clean documents stay as they are; n_bytes counts whole texts."""
+    import hashlib
+    import random
+    from payproof.llm import queries
+    rnd = random.Random(8)
+    prose = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    long, short = prose(401), prose(398)
+    clean = [prose(700), "é" * 50, ""]
+    table = docs([f"1{long}2", f"3{long}4", f"5{short}6", f"7{short}8", *clean])
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.QUERIES["op7_suffix_array_dedup"](table.sparkSession, str(tmp_path)).collect()
+    want = dict(enumerate(["12", "34", f"5{short}6", f"7{short}8", *clean]))
+    assert {r.doc_id: r.text for r in rows} == want
+    assert {r.doc_id: r.kept_sha256 for r in rows} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in rows) == [(0, 403, 401), (1, 403, 401), (2, 400, 0), (3, 400, 0), (4, 700, 0), (5, 100, 0), (6, 0, 0)]
+
+
 def test_short_texts_share_small_pieces():
     """A task's memory follows the bytes of a piece; every text of `length` bytes is in one, whole."""
     texts = [b"x" * n for n in (300_000, 400, 399, 262_144, 100_000, 200_000, 500)]
