@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from payproof.llm.arrow import small, texts
 
-SIZE = 300_000                       # pieces, and pairs, of one generation that a worker remembers
+SIZE = 1 << 17                       # pieces, and pairs, of one generation that a worker remembers
+SLICE = 2 << 20                      # bytes of text a task takes at once
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -182,7 +183,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, check: bool = False,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(content, pattern)
-        for batch in small(batches):
+        for batch in small(batches, most=SLICE):
             ids = [c.encode(t.decode()) for t in texts(batch)]
             cols = [batch.column("row"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
             if check:
@@ -198,7 +199,7 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(content, pattern)
-        for batch in small(batches, "ids"):
+        for batch in small(batches, "ids", SLICE):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([c.decode(i) for i in texts(batch, "ids")], pa.binary())],
                                              names=["doc_id", "decoded"])
     return encoded.mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, decoded binary")

@@ -33,6 +33,7 @@ LOSS = 1e-12
 MULTIPLY = mix(np.arange(1, BANDS * ROWS + 1, dtype=U)) | U(1)
 ADD = mix(np.arange(1, BANDS * ROWS + 1, dtype=U) << U(32))
 PART = 1 << 16       # shingles hashed at once, so that they stay in the processor's cache
+SLICE = 2 << 20      # bytes of text a task takes at once: a word takes some hundred bytes in names and sets
 
 
 def shingle_sets(batch: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +68,7 @@ def minima(x: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _signatures(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
+        for batch in small(batches, most=SLICE):
             x, n = shingle_sets(texts(batch), words)
             sets = [np.unique(p) for p in np.split(x, np.cumsum(n)[:-1])]
             size = np.array([len(s) for s in sets])
@@ -89,7 +90,7 @@ def _signatures(words: int):
 def _confirm(words: int, percent: int):
     """Pairs whose full sets are similar enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(small(batches, "text_a"), "text_b"):
+        for batch in small(small(batches, "text_a", SLICE), "text_b", SLICE):
             (xa, na), (xb, nb) = (shingle_sets(texts(batch, c), words) for c in ("text_a", "text_b"))
             keep = []
             for p, q in zip(np.split(xa, np.cumsum(na)[:-1]), np.split(xb, np.cumsum(nb)[:-1]), strict=True):
@@ -154,7 +155,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 def _shingles(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
+        for batch in small(batches, most=SLICE):
             x, n = shingle_sets(texts(batch), words)
             sets = [np.unique(p) for p in np.split(x, np.cumsum(n)[:-1])]
             size = np.array([len(s) for s in sets])

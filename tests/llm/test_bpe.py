@@ -67,3 +67,11 @@ def test_over_a_table(docs, library):
     back = {r.doc_id: bytes(r.decoded).decode() for r in bpe.decode(kept, queries.VOCABULARY, public_tokenizers.PATTERN).collect()}
     assert back == {i: t or "" for i, t in enumerate(texts)}
     assert bpe.encode(docs([]), queries.VOCABULARY, public_tokenizers.PATTERN).collect() == []
+
+
+def test_a_worker_remembers_a_bounded_number():
+    """Two generations of pieces and two of pairs stay in a worker's memory through all later stages."""
+    kept = bpe.Remembered(lambda key: key)
+    for key in range(400_000):
+        assert kept.find(key) == key
+    assert len(kept.new) + len(kept.old) <= 1 << 18 and 399_999 in kept.new

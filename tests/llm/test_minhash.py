@@ -97,3 +97,23 @@ def test_signature_estimate_follows_the_percent():
         p, k = percent / 100, minhash.fewest(percent)
         below = [sum(math.comb(128, i) * p ** i * (1 - p) ** (128 - i) for i in range(n)) for n in (k, k + 1)]
         assert below[0] <= 1e-12 < below[1]
+
+
+def test_a_task_takes_little_text_at_once():
+    """A worker's memory follows SLICE and PIECE, not the size of a batch; what it finds is the same."""
+    import numpy as np
+    import pyarrow as pa
+    from payproof.llm import hashing
+    rnd = random.Random(9)
+    texts = [" ".join(str(rnd.randrange(10 ** 6)) for _ in range(n)) for n in (60_000, 300_000, *[2_000] * 300, 0, 3)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    out = list(minhash._signatures(5)[0](iter([batch])))
+    assert [i for b in out for i in b.column("doc_id").to_pylist()] == list(range(len(texts)))
+    size = [sum(len(texts[i]) for i in b.column("doc_id").to_pylist()) for b in out]
+    assert len(out) > 3 and all(s <= 2 << 20 or b.num_rows == 1 for s, b in zip(size, out, strict=True))
+    raw = [t.encode() for t in texts]
+    joined = list(hashing._joined(raw))
+    assert all(len(data) <= (1 << 18) + 20_000 or n <= 1 for _, n, data in joined)
+    words, counts = hashing.word_hashes(raw)
+    assert counts.tolist() == [len(t.split()) for t in texts]
+    assert np.array_equal(words, np.concatenate([hashing.word_hashes([t])[0] for t in raw]))
