@@ -4,7 +4,8 @@ from conftest import BANK, PAYMENT, bank_line, payment
 
 from payproof import schema as S
 from payproof.operators import reconcile
-from payproof.operators.reconcile import pick_sum
+from payproof.operators.reconcile import any_sum, pick_sum
+from payproof.plans.audit import Files, run_area
 
 L = S.LIMITS
 
@@ -148,3 +149,30 @@ def test_clusters_without_and_with_many_lines(spark, monkeypatch):
         monkeypatch.setattr(reconcile, "FOLDED", most)
         got = {(x["bank_line"], x["pay_line"]) for x in reconcile.exact_pass(todo, open_, L["bank_days"]).collect()}
         assert got == exact and asked.pop() == lines and len(exact) > 80
+
+
+def test_any_sum_takes_the_first_of_all_sets():
+    rng = random.Random(4)
+    for _ in range(600):
+        unit, top = rng.choice([1, 5]), rng.choice([6, 40, 4000])
+        pool = [(i, rng.randrange(-1, top) * unit) for i in range(rng.randrange(1, 15))]
+        target = rng.randrange(1, top * 4)
+        assert sorted(any_sum(pool, target) or []) == sorted(pick_sum(pool, target, len(pool)) or [])
+    large = [(i, rng.randrange(1_000, 1_000_000)) for i in range(150)]
+    target = sum(c for _, c in large[::3])
+    got = any_sum(large, target)
+    assert sum(dict(large)[i] for i in got) == target and len(set(got)) == len(got)
+    assert any_sum([(i, 30 + 30 * (i % 9)) for i in range(90)], 3_010) is None
+    assert any_sum([(i, 4 + 4 * (i % 9)) for i in range(90)] + [(90, 997)], 1_200 + 999) is None
+
+
+def test_batches_without_a_bound(spark):
+    """A transfer that pays 60 payments, more than a pool or a set usually has, and one of nine to a supplier."""
+    pays = [payment(2 + i, f"A-{i}", 1 + 2 * i, pay=3 + i % 3, supplier=f"Sup {i}") for i in range(60)] + [payment(100 + i, f"B-{i}", "7.50", pay=20, supplier="Calder") for i in range(9)]
+    bank = [bank_line(2, -3600, on=6, description="BACS batch"), bank_line(3, "-67.50", on=22, description="Calder Ltd"), bank_line(4, "-1.23", on=40)]
+    B, P = spark.createDataFrame(bank, BANK), spark.createDataFrame(pays, PAYMENT)
+    bounded, whole = reconcile.reconcile(B, P, L), reconcile.reconcile(B, P, L | S.WHOLE)
+    assert bounded.batch.isEmpty() and {r["bank_line"] for r in bounded.notes.collect()} == {2, 3}
+    assert sorted((r["bank_line"], r["pay_line"]) for r in whole.batch.collect()) == [(2, 2 + i) for i in range(60)] + [(3, 100 + i) for i in range(9)] and whole.notes.isEmpty()
+    found = [r for f in run_area("Payments", Files(payments=P, bank=B)) for r in f.findings.where("clause = '5.5'").collect()]
+    assert [(r["source_file"], r["line_number"]) for r in found] == [("bank_statement.csv", 4)]
