@@ -7,6 +7,7 @@ from conftest import APPROVAL, DAY0, EXPENSE, PAYMENT, approval, claim, lines_of
 
 from payproof import schema as S
 from payproof.operators import approvals, expenses, payments
+from payproof.plans.audit import Files, run_area
 
 L = S.LIMITS
 
@@ -75,6 +76,21 @@ def test_a_twin_beyond_the_neighbours_is_noted_or_found(spark):
     assert ("5.6", 62) in lines_of(payments.near_duplicates(p, wide)) and payments.cut_searches(p, wide).isEmpty()
 
 
+def test_equal_payments_without_a_bound(spark):
+    """All with all by equal joins, against comparing every pair."""
+    rng = random.Random(11)
+    text = lambda: "".join(rng.choice("OI01") for _ in range(rng.choice([3, 4, 5, 5, 6])))
+    rows = [payment(2 + i, text(), rng.choice(["500", "600"]), billed=rng.choice(["500", "500", "999", ""]), pay=rng.choice([None, *range(30)]), inv_day=rng.choice([0, None])) for i in range(400)]
+    p = pays(spark, rows)
+    whole, wide = (payments.near_duplicates(p, L | limits) for limits in (S.WHOLE, {"near_neighbours": 1_000}))
+    for part in ("findings", "links"):
+        a, b = (sorted(map(tuple, getattr(f, part).collect()), key=str) for f in (whole, wide))
+        assert a == b and len(a) > 50
+    rows = [payment(2 + i, f"X{i:03d}{'ABCDEFGH'[i % 8] * 4}{i * 7919 % 1000:03d}", "500", billed="500", pay=i // 5) for i in range(80)]
+    rows[0], rows[60] = payment(2, "QRS-44871", "500", billed="500", pay=0), payment(62, "QRS-44871A", "500", billed="500", pay=12)
+    assert ("5.6", 62) in [x for f in run_area("Payments", Files(payments=pays(spark, rows))) for x in lines_of(f)]
+
+
 def test_earlier_payments_shown(spark):
     p = pays(spark, [payment(2 + i, "INV-1", "100", pay=i) for i in range(14)])
     shown = lambda limits: sum(r["line_number"] == 15 for r in payments.paid_twice(p, limits).links.collect())
